@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate
+from . import chat, decontaminate, langid, toxicity
 
 QUERIES = {
+    "op4_toxicity": toxicity.op4_toxicity,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_language_id": langid.op8_language_id,
     "op9_chat_perspectives": chat.op9_chat_perspectives,
 }
 ORACLE_SQL = {

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, toxicity
+from . import bpe, chat, decontaminate, langid, tokenstore, toxicity
 
 QUERIES = {
+    "op2_bpe": bpe.op2_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_token_store": tokenstore.op5_token_store,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_language_id": langid.op8_language_id,
     "op9_chat_perspectives": chat.op9_chat_perspectives,

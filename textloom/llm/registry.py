@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, tokenstore, toxicity
+from . import bpe, chat, decontaminate, jaccard, langid, tokenstore, toxicity
 
 QUERIES = {
     "op2_bpe": bpe.op2_bpe,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_store": tokenstore.op5_token_store,
+    "op6_jaccard_join": jaccard.op6_jaccard_join,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_language_id": langid.op8_language_id,
     "op9_chat_perspectives": chat.op9_chat_perspectives,
 }
 ORACLE_SQL = {
+    "op6_jaccard_join": jaccard.OP6_SQL,
     "op7_decontamination": decontaminate.OP7_SQL,
     "op9_chat_perspectives": chat.OP9_SQL,
 }

@@ -158,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     n = known.count()
-    if n > max_labelled:  # thin the labels before the join, so that only sampled texts move
+    if n > max_labelled:  # thin the labels before the join: what is broadcast is bounded by max_labelled
         known = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
-    rows = _sample.bounded(texts.join(known, "doc_id").select("text", "toxic").dropDuplicates(["text"]), "text", max_labelled, "texts")
+    rows = _sample.bounded(texts.join(F.broadcast(known), "doc_id").select("text", "toxic").dropDuplicates(["text"]), "text", max_labelled, "texts")
     label = rows.column("toxic").to_numpy()
     toxic, clean = rows.filter(pa.array(label > 0)), rows.filter(pa.array(label == 0))
     terms = _select(toxic, clean)

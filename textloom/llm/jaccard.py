@@ -4,8 +4,8 @@ Documents become sets of word n-grams.  Equal sets collapse; sets that agree
 in size and in their whole prefix collapse into one group.  Under a global
 order (frequent grams last) two sets of Jaccard similarity >= t share a gram
 of their prefixes and have sizes within a factor t, so groups are met on
-prefix grams; pairs of groups are filtered by size, expanded to member sets,
-bounded by parity bitmaps and verified exactly.  The join is exact: no cap on
+prefix grams; pairs of groups are filtered by size and parity bitmaps, expanded to
+member sets and verified exactly.  The join is exact: no cap on
 postings, partners or members.
 
 What moves: prefix grams and candidate pairs travel as packed numpy blobs, one
@@ -34,7 +34,7 @@ THRESHOLD = 0.6
 BUCKET_GRAMS = 2_000_000
 #: Frequent grams broadcast to order the others before them, at most.  Only the order, not the result, depends on it.
 MAX_FREQUENT = 2_000_000
-_PAIR_CHUNK = 4_000_000
+_PAIR_CHUNK = 1_500_000
 _MASK = np.uint64((1 << setstore.GRAM_BITS) - 1)
 
 
@@ -73,7 +73,7 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         for b in _text.slices(batches, "text"):
             seen.append(_sets(b.column("text").cast(pa.string()), n)[0])
             rows += b.num_rows
-            if sum(map(len, seen)) >= 6_000_000:
+            if sum(map(len, seen)) >= 3_000_000:
                 yield flush()
                 seen, rows = [], 0
         if seen:
@@ -190,8 +190,8 @@ class NearPairs:
                 return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "grams", "owner", "ids", "sizes"])
 
             for b in batches:
-                for gid, k in zip(b.column("gid").to_pylist(), b.column("prefix").to_pylist()):
-                    held.append((reader.grams(gid, k), gid, reader.size(gid)))
+                for gid, k, several in zip(*(b.column(c).to_pylist() for c in ("gid", "prefix", "several"))):
+                    held.append((reader.grams(gid, k), gid, reader.size(gid) | several << 31))
                     room += k
                     if room >= BUCKET_GRAMS:
                         yield flush()
@@ -201,7 +201,7 @@ class NearPairs:
                 yield flush()
 
         blobs = (
-            self.groups.select("gid", "prefix").repartitionByRange(max(1, -(-int(count) // 4000)), "gid").sortWithinPartitions("gid")
+            self.groups.select("gid", "prefix", (F.size("sids") > 1).cast("int").alias("several")).repartitionByRange(max(1, -(-int(count) // 4000)), "gid").sortWithinPartitions("gid")
             .mapInArrow(emit, "bucket int, grams binary, owner binary, ids binary, sizes binary").repartition(buckets, "bucket")
         )
 
@@ -210,8 +210,9 @@ class NearPairs:
             for b in batches:
                 for k, *parts in zip(*(b.column(i).to_pylist() for i in range(5))):
                     by.setdefault(k, []).append(tuple(parts))
+            reader = setstore.Reader(folder)
             for k in list(by):
-                yield from _pack(*_meet(by.pop(k), t), buckets)
+                yield from _pack(*_bounded(reader, *_meet(by.pop(k), t), t), buckets)
 
         packed = blobs.mapInArrow(meet, "bucket int, a binary, b binary").repartition(buckets, "bucket")
 
@@ -252,23 +253,22 @@ class NearPairs:
                     continue
                 ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
                 names = ids.tolist()
-                maps = np.stack([reader.bitmap(i) for i in names])
                 size = np.array([reader.size(i) for i in names], np.int64)
                 x, y = at[: len(a)], at[len(a) :]
-                apart = np.concatenate([np.bitwise_count(maps[x[i : i + 4096]] ^ maps[y[i : i + 4096]]).sum(1, dtype=np.int64) for i in range(0, len(x), 4096)])
-                need = np.ceil(t / (1 + t) * (size[x] + size[y]) - 1e-9)
-                some = np.flatnonzero((size[x] + size[y] - apart) // 2 >= need)
                 shared = np.zeros(len(x), np.int64)
                 held: dict[int, np.ndarray] = {}
+                room = [0]
 
                 def sorted_set(i: int) -> np.ndarray:
                     if i not in held:
-                        if len(held) > 2000:
+                        room[0] += 8 * size[i]
+                        if room[0] > 64 << 20:
                             held.clear()
+                            room[0] = 8 * size[i]
                         held[i] = np.sort(reader.grams(names[i]))
                     return held[i]
 
-                order = some[np.lexsort((y[some], x[some]))]
+                order = np.lexsort((y, x))
                 cut = np.flatnonzero(np.diff(x[order], prepend=-1)).tolist() + [len(order)]
                 for i, j in zip(cut[:-1], cut[1:]):
                     one, many = sorted_set(x[order[i]]), [sorted_set(k) for k in y[order[i:j]].tolist()]
@@ -282,27 +282,27 @@ class NearPairs:
         return _store.settle(candidates.mapInArrow(run, "a bigint, b bigint, jaccard double"), "near-pairs")
 
 
-def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of group ids that share a gram of this bucket within the size bound."""
+def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of group ids that share a gram of this bucket within the size bound; whether either has several sets."""
     base, grams, owner, ids, sizes = 0, [], [], [], []
     for g, o, i, s in parts:
         grams.append(np.frombuffer(g, np.uint32))
         owner.append(np.frombuffer(o, np.uint32).astype(np.int64) + base)
         ids.append(np.frombuffer(i, np.int64))
-        sizes.append(np.frombuffer(s, np.uint32))
+        sizes.append(np.frombuffer(s, np.uint32).astype(np.int64))
         base += len(ids[-1])
     gram, own, ids, size = np.concatenate(grams), np.concatenate(owner), np.concatenate(ids), np.concatenate(sizes)
     names, dense = np.unique(ids, return_inverse=True)
     own = dense[own]
-    of_name = np.zeros(len(names), np.int64)
-    of_name[dense] = size
+    of_name, several = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+    of_name[dense], several[dense] = size & 0x7FFFFFFF, size >> 31
     order = np.argsort(gram, kind="stable")
     gram = gram[order]
     run = np.concatenate([[0], np.cumsum(gram[1:] != gram[:-1])])
     twice = np.bincount(run)[run] > 1
     gram, own = gram[twice], own[order][twice]
     if not len(gram):
-        return names[:0], names[:0]
+        return names[:0], names[:0], several[:0]
     order = np.lexsort((own, of_name[own], gram))
     gram, own = gram[order], own[order]
     s = of_name[own]
@@ -325,7 +325,30 @@ def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndar
             kept = np.unique(np.concatenate([kept, *found]))
             found = []
         i = j
-    return names[kept // len(names)], names[kept % len(names)]
+    x, y = kept // len(names), kept % len(names)
+    return names[x], names[y], several[x] | several[y]
+
+
+def _bounded(reader: setstore.Reader, a: np.ndarray, b: np.ndarray, several: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose parity bitmaps leave room for an overlap of t: (|a| + |b| - differing bits) / 2 bounds it.
+
+    A group of several sets has no one bitmap; its pairs all stay.
+    """
+    if not len(a):
+        return a, b
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    names = ids.tolist()
+    maps, size = np.empty((len(names), setstore.BITMAP_BITS // 64), np.uint64), np.empty(len(names), np.int64)
+    for i, name in enumerate(names):
+        size[i], maps[i] = reader.head(name)
+    x, y = at[: len(a)], at[len(a) :]
+    keep = np.empty(len(a), bool)
+    for i in range(0, len(x), 4096):
+        p, q = x[i : i + 4096], y[i : i + 4096]
+        apart = np.bitwise_count(maps[p] ^ maps[q]).sum(1, dtype=np.int64)
+        keep[i : i + 4096] = (size[p] + size[q] - apart) // 2 >= np.ceil(t / (1 + t) * (size[p] + size[q]) - 1e-9)
+    keep |= several
+    return a[keep], b[keep]
 
 
 def _pack(a: np.ndarray, b: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:

@@ -46,9 +46,11 @@ class Reader:
         at = sid & _OFFSET
         return int.from_bytes(self._file(sid >> OFFSET_BITS)[at : at + 8].tobytes(), "little")
 
-    def bitmap(self, sid: int) -> np.ndarray:
-        at = (sid & _OFFSET) + 8
-        return np.frombuffer(self._file(sid >> OFFSET_BITS)[at : at + 8 * _WORDS], np.uint64)
+    def head(self, sid: int) -> tuple[int, np.ndarray]:
+        """Size and bitmap."""
+        at = sid & _OFFSET
+        words = np.frombuffer(self._file(sid >> OFFSET_BITS)[at : at + _HEAD].tobytes(), np.uint64)
+        return int(words[0]), words[1:]
 
     def grams(self, sid: int, first: int | None = None) -> np.ndarray:
         """The set in global order, or its ``first`` grams."""

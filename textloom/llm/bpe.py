@@ -29,7 +29,7 @@ from . import _text
 #: A byte-level BPE with explicit merges, in the JSON layout of the `tokenizers` library.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of text whose pieces are merged together.
-INDEX_BYTES = 16 << 20
+INDEX_BYTES = 8 << 20
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 _classes: list[np.ndarray] = []

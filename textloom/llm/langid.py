@@ -72,7 +72,8 @@ class Model:
         total = np.zeros((len(count), len(self.languages)))
         some = np.flatnonzero(count)
         if len(some):
-            total[some] = np.add.reduceat(self.table[bucket], at[some], axis=0, dtype=np.float64)
+            for k in range(len(self.languages)):  # a column at a time keeps the scratch space small
+                total[some, k] = np.add.reduceat(self.table[bucket, k].astype(np.float64), at[some])
         return total / np.maximum(count, 1)[:, None] + self.bias, count
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ ORDER = 5
 BOS, EOS = 1, 2
 #: Entries of a file of sorted hashes, about; the number of files grows with the model.
 SHARD_ENTRIES = 4_000_000
-_COUNT_BYTES = 6 << 20
+_COUNT_BYTES = 3 << 20
 _MUL = np.uint64(0x9FB21C651E98DF25)
 
 

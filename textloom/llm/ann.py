@@ -202,6 +202,12 @@ def _top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: n
         d[names[None, :] == own[:, None]] = np.inf
         m = min(k + 4, len(names))  # a few more, as rounding may swap the last ones
         near = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(names) else np.tile(np.arange(len(names)), (len(q), 1))
+        if m < len(names):  # where more than m are as near, those of the least ids count
+            edge = np.take_along_axis(d, near, 1).max(1)
+            slack = 1e-9 * (1 + (q * q).sum(1))
+            for j in np.flatnonzero(np.isfinite(edge) & ((d <= (edge + slack)[:, None]).sum(1) > m)).tolist():
+                nearer, tied = np.flatnonzero(d[j] < edge[j] - slack[j]), np.flatnonzero(np.abs(d[j] - edge[j]) <= slack[j])
+                near[j] = np.concatenate([nearer, tied[:m]])[:m]
         exact = np.take_along_axis(d, near, 1)
         gone = np.isinf(exact)
         if len(names) == len(ids):

@@ -120,7 +120,7 @@ def _joined_hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
                     w = normal.split(" ")
                     m = len(w) - n + 1
                     if m > 0:
-                        yield pa.RecordBatch.from_pydict({"text": [t] * m, "start": list(range(m)), "gram": [" ".join(w[i : i + n]) for i in range(m)]})
+                        yield pa.RecordBatch.from_pydict({"text": [t] * m, "start": pa.array(range(m), pa.int32()), "gram": [" ".join(w[i : i + n]) for i in range(m)]})
 
         return run
 

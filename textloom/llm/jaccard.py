@@ -119,7 +119,8 @@ class NearPairs:
             self.placed.groupBy("sig_a", "sig_b").agg(F.min("sid").alias("sid"), F.first("group_key").alias("group_key"), F.first("prefix").alias("prefix"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"), F.count("*").alias("rows")),
             "distinct-sets",
         )
-        self.pairs = self._verify(self._expand(self._candidates()))
+        # written here: otherwise one stage would run the Python workers of both its ends at once
+        self.pairs = self._verify(self._expand(_store.settle(self._candidates(), "group-pairs")))
 
     def _write_sets(self) -> DataFrame:
         order = self.spark.sparkContext.broadcast(_Order(*_frequent(self.docs, self.n)))
@@ -214,13 +215,14 @@ class NearPairs:
             for k in list(by):
                 yield from _pack(*_bounded(reader, *_meet(by.pop(k), t), t), buckets)
 
-        packed = blobs.mapInArrow(meet, "bucket int, a binary, b binary").repartition(buckets, "bucket")
+        packed = blobs.mapInArrow(meet, "bucket int, ids binary, a binary, b binary").repartition(buckets, "bucket")
 
         def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by: dict[int, list[np.ndarray]] = {}
             for b in batches:
-                for k, x, y in zip(*(b.column(i).to_pylist() for i in range(3))):
-                    by.setdefault(k, []).append(np.stack([np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)], 1))
+                for k, ids, x, y in zip(*(b.column(i).to_pylist() for i in range(4))):
+                    ids = np.frombuffer(ids, np.int64)
+                    by.setdefault(k, []).append(np.stack([ids[np.frombuffer(x, np.uint32)], ids[np.frombuffer(y, np.uint32)]], 1))
             for k in list(by):
                 both = np.concatenate(by.pop(k))
                 order = np.lexsort((both[:, 1], both[:, 0]))
@@ -357,9 +359,15 @@ def _pack(a: np.ndarray, b: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch
     order = np.argsort(bucket, kind="stable")
     low, high, bucket = low[order], high[order], bucket[order]
     cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    out = [(k, low[cut[k] : cut[k + 1]].tobytes(), high[cut[k] : cut[k + 1]].tobytes()) for k in range(buckets) if cut[k] < cut[k + 1]]
+    out = []
+    for k in range(buckets):
+        if cut[k] < cut[k + 1]:
+            x, y = low[cut[k] : cut[k + 1]], high[cut[k] : cut[k + 1]]
+            ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+            at = np.sort(at[: len(x)].astype(np.uint64) << np.uint64(32) | at[len(x) :].astype(np.uint64))  # in order, so that it compresses
+            out.append((k, ids.tobytes(), (at >> np.uint64(32)).astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes()))
     if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary()))], ["bucket", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "a", "b"])
 
 
 def near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
@@ -425,8 +433,13 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> D
     best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "sig_a", "sig_b")).alias("best"), F.sum("rows").alias("n")).where("n > 1")
     decided = each.join(best, "root").withColumn("wins", F.expr("doc_id <=> best.doc_id AND sig_a = best.sig_a AND sig_b = best.sig_b"))
     # losers go; a winner that is repeated row by row goes too and one of its rows comes back
-    key = F.xxhash64("doc_id", "sig_a", "sig_b")
-    out = _store.settle(decided.where("NOT wins OR rows > 1").select(key.alias("key"), "wins"), "duplicate-keys")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.stack([b.column(c).to_numpy() for c in ("sig_a", "sig_b")], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(_row_key(b.column("doc_id"), sig)), b.column("wins")], ["key", "wins"])
+
+    out = _store.settle(decided.where("NOT wins OR rows > 1").select("doc_id", "sig_a", "sig_b", "wins").mapInArrow(keyed, "key bigint, wins boolean"), "duplicate-keys")
     path, shards = _key_shards(out)
     returned = _tagged(docs, path, shards, n, True)
     kept = _tagged(docs, path, shards, n, False).select([F.col(f"`{c}`") for c in docs.columns])
@@ -480,27 +493,26 @@ def _tagged(docs: DataFrame, path: str, shards: int, n: int, winners: bool) -> D
     """Rows whose key is listed as a repeated winner, with that key; or rows not listed at all."""
     schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _text.slices(batches, "text"):
-            grams, at = _sets(b.column("text").cast(pa.string()), n)
-            sig = _signature(grams, at).view(np.int64)
-            has = np.diff(at) > 0
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sig[:, 0], mask=~has), pa.array(sig[:, 1], mask=~has)], [*b.schema.names, "__sig_a", "__sig_b"])
-
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _Keys(path, shards)
-        for b in batches:
-            key = b.column("__key")
-            worded = key.is_valid().to_numpy(zero_copy_only=False)
-            plain = key.fill_null(0).to_numpy(zero_copy_only=False)
-            if winners:
-                yield b.filter(pa.array(keys.has(plain, True) & worded))
-            else:
-                yield b.filter(pa.array(~((keys.has(plain, True) | keys.has(plain, False)) & worded)))
-
-    signed = docs.mapInArrow(sign, T.StructType([*docs.schema.fields, T.StructField("__sig_a", T.LongType()), T.StructField("__sig_b", T.LongType())]))
-    key = F.when(F.col("__sig_a").isNotNull(), F.xxhash64(F.col("doc_id").cast("bigint"), "__sig_a", "__sig_b"))
-    return signed.withColumn("__key", key).select(*[F.col(f"`{c}`") for c in docs.columns], "__key").mapInArrow(pick, schema)
+        for b in _text.slices(batches, "text"):
+            grams, at = _sets(b.column("text").cast(pa.string()), n)
+            key = _row_key(b.column("doc_id").cast(pa.int64()), _signature(grams, at).view(np.int64))
+            repeated = keys.has(key, True)
+            listed = (repeated if winners else repeated | keys.has(key, False)) & (np.diff(at) > 0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], [*b.schema.names, "__key"]).filter(pa.array(listed if winners else ~listed))
+
+    return docs.mapInArrow(pick, schema)
+
+
+def _row_key(ids: pa.Array, sig: np.ndarray) -> np.ndarray:
+    """64-bit key of a doc_id (null as a value of its own) and a set's signature."""
+    plain = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint64)
+    key = _text.mix64(plain + null * np.uint64(0x632BE59BD9B4E019))
+    for k in range(2):
+        key = _text.mix64(key ^ np.ascontiguousarray(sig[:, k]).view(np.uint64))
+    return key.view(np.int64)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from . import _store, _text, setstore
 N = 3
 THRESHOLD = 0.6
 #: Prefix grams met in one bucket, about; the number of buckets grows with the corpus.
-BUCKET_GRAMS = 2_000_000
+BUCKET_GRAMS = 4_000_000
 #: Frequent grams broadcast to order the others before them, at most.  Only the order, not the result, depends on it.
 MAX_FREQUENT = 2_000_000
 _PAIR_CHUNK = 1_500_000
@@ -187,7 +187,7 @@ class NearPairs:
                     mine = order[cut[k] : cut[k + 1]]
                     if len(mine):
                         who, index = np.unique(owner[mine], return_inverse=True)
-                        out.append((k, grams[mine].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), ids[who].tobytes(), sizes[who].tobytes()))
+                        out.append((k, grams[mine].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.diff(ids[who], prepend=0).tobytes(), sizes[who].tobytes()))  # ids ascend: differences compress
                 return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "grams", "owner", "ids", "sizes"])
 
             for b in batches:
@@ -290,7 +290,7 @@ def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndar
     for g, o, i, s in parts:
         grams.append(np.frombuffer(g, np.uint32))
         owner.append(np.frombuffer(o, np.uint32).astype(np.int64) + base)
-        ids.append(np.frombuffer(i, np.int64))
+        ids.append(np.cumsum(np.frombuffer(i, np.int64)))
         sizes.append(np.frombuffer(s, np.uint32).astype(np.int64))
         base += len(ids[-1])
     gram, own, ids, size = np.concatenate(grams), np.concatenate(owner), np.concatenate(ids), np.concatenate(sizes)

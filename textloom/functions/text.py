@@ -23,6 +23,11 @@ def numbers(start, stop: Column) -> Column:
     return F.when(stop > start, F.sequence(start.cast("int"), (stop - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, not once for each mention or element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 # --- predicates on whole strings -------------------------------------------------------------
 
 _CLASSES = {
@@ -126,11 +131,14 @@ def find_ignoring_whitespace(s: Column | str, part: Column | str) -> Column:
 
 def possible_char_substrings(s: Column | str, max_chars: int, use_graphemes: bool = True) -> Column:
     """(byte_start, byte_end, n) of all windows of min(max_chars, length) characters; (0, 0, 0) for the empty string."""
-    cs = chars(s, use_graphemes)
-    n = F.size(cs)
-    k = F.least(F.lit(max_chars), n)
-    bytes_to = lambda i: F.octet_length(F.array_join(F.slice(cs, F.lit(1), i), ""))
-    return F.transform(numbers(0, n - k + 1), lambda i: F.struct(bytes_to(i).alias("byte_start"), bytes_to(i + k).alias("byte_end"), k.alias("n")))
+
+    def spans(cs: Column) -> Column:
+        n = F.size(cs)
+        k = F.least(F.lit(max_chars), n)
+        bytes_to = lambda i: F.octet_length(F.array_join(F.slice(cs, F.lit(1), i), ""))
+        return F.transform(numbers(0, n - k + 1), lambda i: F.struct(bytes_to(i).alias("byte_start"), bytes_to(i + k).alias("byte_end"), k.alias("n")))
+
+    return let(chars(s, use_graphemes), spans)
 
 
 def repair_whitespace(cs: Column, ops: Column) -> Column:
@@ -149,16 +157,19 @@ def char_windows(s: Column | str, max_length: int, context: int, use_graphemes:
     """Windows of max_length characters with context on both sides, in closed form (no loop)."""
     if max_length <= 2 * context:
         raise ValueError("max_length must be more than twice the context")
-    n = F.size(chars(s, use_graphemes)) if use_graphemes else F.char_length(_c(s))
     first, step = max_length - context, max_length - 2 * context
-    count = F.when(n <= first, F.lit(1)).otherwise(1 + F.ceil((n - first) / step).cast("int"))
 
-    def window(k):
-        start = F.when(k == 0, 0).otherwise(first + (k - 1) * step)
-        end = F.least(n, F.when(k == 0, first).otherwise(first + k * step))
-        return F.struct(F.greatest(F.lit(0), start - context).cast("int").alias("ctx_start"), start.cast("int").alias("window_start"), end.cast("int").alias("window_end"), F.least(n, end + context).cast("int").alias("ctx_end"))
+    def all_windows(n: Column) -> Column:
+        count = F.when(n <= first, F.lit(1)).otherwise(1 + F.ceil((n - first) / step).cast("int"))
+
+        def window(k):
+            start = F.when(k == 0, 0).otherwise(first + (k - 1) * step)
+            end = F.least(n, F.when(k == 0, first).otherwise(first + k * step))
+            return F.struct(F.greatest(F.lit(0), start - context).cast("int").alias("ctx_start"), start.cast("int").alias("window_start"), end.cast("int").alias("window_end"), F.least(n, end + context).cast("int").alias("ctx_end"))
+
+        return F.transform(numbers(0, count), window)
 
-    return F.transform(numbers(0, count), window)
+    return let(F.size(chars(s, use_graphemes)) if use_graphemes else F.char_length(_c(s)), all_windows)
 
 
 def full_window(s: Column | str) -> Column:

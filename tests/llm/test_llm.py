@@ -152,6 +152,36 @@ def test_alphabets_too_large_to_pack():
     assert dict(zip(map(tuple, rows.tolist()), n.tolist())) == want
 
 
+def test_word_model_equals_brute_force(spark):
+    texts = ["the cat sat on the mat", "A cat, the cat!", "", "on the  mat\nthe dog sat", "the the the"]
+    new = ["zebra on the mat", "mat the on cat the"]
+    letters = {w: chr(0x4E00 + i) for i, w in enumerate(sorted({w for t in texts + new for w in t.lower().split()}))}
+    coded = lambda t: "".join(letters[w] for w in t.lower().split())
+    docs = spark.createDataFrame([*enumerate(texts), (9, None)], DOC)
+    model = lm.train_words(docs, 3)
+    want = _kneser_ney([coded(t) for t in texts], 3)
+    got = {r["doc_id"]: r for r in lm.perplexity(docs, model).collect()}
+    assert got[9]["perplexity"] is None
+    for i, t in enumerate(texts):
+        assert abs(got[i]["log10_prob"] - want(coded(t))) < 1e-5 and got[i]["n_symbols"] == len(t.split()) + 1
+    for r in lm.perplexity(spark.createDataFrame([*enumerate(new)], DOC), model).collect():
+        assert abs(r["log10_prob"] - want(coded(new[r["doc_id"]]))) < 1e-5
+
+
+def test_op3_counts_word_ngrams(spark, awkward, tmp_path, monkeypatch):
+    monkeypatch.setattr(lm, "WORD_SHARD_ENTRIES", 3)  # many files
+    docs = spark.createDataFrame([(1, "the cat sat on the mat by the old red door"), (2, "mat on sat cat the the by door red old the")], DOC)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in lm.op3_lm_perplexity(spark, str(tmp_path)).collect()}
+    want = {r["doc_id"]: r for r in lm.perplexity(docs, lm.train_words(docs)).collect()}
+    assert got[1]["n_symbols"] == 12 and got == want
+    trained = lm.train_words(docs.where("doc_id = 1"))
+    scored = {r["doc_id"]: r["perplexity"] for r in lm.perplexity(docs, trained).collect()}
+    assert scored[2] > 1.5 * scored[1]  # scrambled order
+    assert lm.perplexity(awkward, lm.train_words(awkward)).count() == len(AWKWARD)
+    assert lm.perplexity(awkward, lm.train_words(awkward.where("false"))).count() == len(AWKWARD)
+
+
 # --- 4
 
 

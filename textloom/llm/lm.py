@@ -1,13 +1,12 @@
-"""Perplexity under an interpolated modified Kneser-Ney n-gram model.
-
-The model is over characters: its tables saturate with the corpus instead of
-growing with every new word, so the arrays stay small enough to map into every
-worker while the counts behind them cover all documents.  n-grams are counted
-in Spark (packed and sorted per task, summed by a shuffle); discounts,
-continuation counts and interpolated probabilities are DataFrame operations.
-The result is stored as sorted arrays of 64-bit hashes with log
-probabilities (and log back-off weights for contexts) in the shared folder and
-memory-mapped for scoring.
+"""Perplexity under interpolated modified Kneser-Ney n-gram models of words or characters.
+
+``op3_lm_perplexity`` counts word n-grams: what it gathers grows with the
+corpus.  They are hashed, combined per slice in the tasks and summed by a
+shuffle; discounts, continuation counts and context masses are DataFrame
+aggregations.  The result is stored as sorted arrays of 64-bit hashes in the
+shared folder, in as many files as the model needs, and memory-mapped for
+scoring, where orders are interpolated.  The character model (``train``) holds
+interpolated probabilities and back-off weights instead.
 """
 
 from __future__ import annotations
@@ -25,10 +24,14 @@ from pyspark.sql import functions as F
 from . import _store, _text
 
 ORDER = 5
+WORD_ORDER = 3
 BOS, EOS = 1, 2
 #: Entries of a file of sorted hashes, about; the number of files grows with the model.
 SHARD_ENTRIES = 4_000_000
 _COUNT_BYTES = 3 << 20
+#: The same for the word model, which has many files; and bytes of text whose word n-grams are combined in a task.
+WORD_SHARD_ENTRIES = 2_000_000
+_WORD_COUNT_BYTES = 8 << 20
 _MUL = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -286,8 +289,162 @@ class Scorer:
         return sums[edge[1:]] - sums[edge[:-1]], size
 
 
-def perplexity(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, n_symbols, log10_prob, perplexity`` of every row's whole text, per character.
+# --- words
+
+
+def word_symbols(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words (split at white space) as ``BOS*(order-1) words EOS`` for each text, and the n+1 offsets."""
+    hashes, of = _text.word_hashes(prepare(texts))
+    size = np.diff(of)
+    at = np.concatenate([[0], np.cumsum(size + order)])
+    out = np.full(at[-1], BOS, np.uint64)
+    out[at[1:] - 1] = EOS
+    out[np.arange(len(hashes)) + np.repeat(at[:-1] + order - 1 - of[:-1], size)] = hashes
+    return out, at
+
+
+def _word_columns(k: int) -> list[str]:
+    return [f"w{i}" for i in range(1, k + 1)]
+
+
+def count_word_ngrams(docs: DataFrame, order: int = WORD_ORDER) -> DataFrame:
+    """``w1 .. wN, n`` over all texts; words are 64-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _text.slices(batches, "text", _WORD_COUNT_BYTES):
+            points, at = word_symbols(b.column("text"), order)
+            end = _predicted(at, order)
+            _, where, count = np.unique(gram_hash(points, end, order), return_index=True, return_counts=True)
+            end = end[where]
+            yield pa.RecordBatch.from_arrays([*[pa.array(points[end - (order - 1 - j)].view(np.int64)) for j in range(order)], pa.array(count.astype(np.int64))], [*_word_columns(order), "n"])
+
+    texts = docs.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    schema = ", ".join(f"{c} bigint" for c in [*_word_columns(order), "n"])
+    return texts.mapInArrow(run, schema).groupBy(*_word_columns(order)).agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class WordModel:
+    """Folder and numbers of files of the arrays; probability of an unknown word, total of the order-1 counts."""
+
+    path: str
+    order: int
+    shards: dict[str, int]
+    unknown: float
+    total: float
+
+
+def _write_word_arrays(table: DataFrame, path: str, name: str, length: int) -> int:
+    """(``length`` words, values) as files of hashes in ascending order with their values; returns the number of files."""
+    shards = max(1, -(-table.count() // WORD_SHARD_ENTRIES))
+    values = table.columns[length:]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points = np.stack([b.column(j).to_numpy().view(np.uint64) for j in range(length)], 1).ravel()
+            h = gram_hash(points, np.arange(b.num_rows) * length + length - 1, length)
+            shard = (h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), pa.array(h.view(np.int64)), *b.columns[length:]], ["shard", "hash", *values])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            shard, h = rows.column("shard").to_numpy(), rows.column("hash").to_numpy().view(np.uint64)
+            for s in np.unique(shard).tolist():
+                own = np.flatnonzero(shard == s)
+                own = own[np.argsort(h[own])]
+                _store.write_atomically(f"{path}/{name}-{s}", h[own].tobytes(), *[rows.column(v).to_numpy()[own].tobytes() for v in values])
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32())})
+
+    out = table.mapInArrow(hashed, "shard int, hash bigint, " + ", ".join(f"{v} float" for v in values))
+    out.repartition(shards, "shard").mapInArrow(write, "shard int").count()
+    return shards
+
+
+def train_words(docs: DataFrame, order: int = WORD_ORDER) -> WordModel:
+    """Count all word n-grams of ``docs``, null texts left out, and store the model.
+
+    For each order k: ``d{k}`` has the discounted counts of the n-grams, and
+    ``c{k}`` the total and the interpolation weight of their contexts.  The
+    highest order uses counts, lower orders the number of distinct words
+    before an n-gram.
+    """
+    path = _store.local_path(_store.new_dir(docs.sparkSession, "word-model"))
+    os.makedirs(path, exist_ok=True)
+    shards, unknown, total = {}, 1.0, 1.0
+    table = _store.settle(count_word_ngrams(docs, order), f"word-grams-{order}")
+    for k in range(order, 0, -1):
+        d1, d2, d3 = _discounts(table)
+        names = _word_columns(k)
+        cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
+        shards[f"d{k}"] = _write_word_arrays(table.select(*names, (F.col("n") - cut).cast("float").alias("d")), path, f"d{k}", k)
+        mass = [F.sum("n").cast("double").alias("total"), (F.sum(cut) / F.sum("n")).alias("gamma")]
+        if k == 1:
+            first = table.agg(*mass).first()
+            total, gamma = (first["total"], first["gamma"]) if first["total"] else (1.0, 1.0)
+            unknown = gamma / (table.count() + 1)
+            break
+        contexts = table.groupBy(*names[:-1]).agg(*(m.cast("float").alias(c) for m, c in zip(mass, ("total", "gamma"))))
+        shards[f"c{k}"] = _write_word_arrays(_store.settle(contexts, f"word-contexts-{k}"), path, f"c{k}", k - 1)
+        lower = table.groupBy(*[F.col(c).alias(names[i]) for i, c in enumerate(names[1:])]).agg(F.count("*").alias("n"))
+        table = _store.settle(lower, f"word-grams-{k - 1}")
+    return WordModel(path, order, shards, unknown, total)
+
+
+class _Sorted:
+    """Mapped sorted hashes with ``width`` float values each; queries are sorted too, so that each file is passed once, in order."""
+
+    def __init__(self, path: str, name: str, shards: int, width: int = 1):
+        self.parts, self.width = [], width
+        for s in range(shards):
+            full = f"{path}/{name}-{s}"
+            n = os.path.getsize(full) // (8 + 4 * width) if os.path.exists(full) else 0
+            raw = np.memmap(full, np.uint8, "r") if n else np.zeros(0, np.uint8)
+            self.parts.append((raw[: 8 * n].view(np.uint64), raw[8 * n :].view(np.float32).reshape(width, n)))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (``width`` rows), and whether the hash is there."""
+        value, found = np.zeros((self.width, len(h)), np.float32), np.zeros(len(h), bool)
+        order = np.argsort(h)
+        keys = h[order]
+        edges = np.searchsorted((keys >> np.uint64(32)) * np.uint64(len(self.parts)) >> np.uint64(32), np.arange(len(self.parts) + 1, dtype=np.uint64))
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            hashes, values = self.parts[s]
+            if not len(hashes):
+                continue
+            own, key = order[edges[s] : edges[s + 1]], keys[edges[s] : edges[s + 1]]
+            at = np.minimum(np.searchsorted(hashes, key), len(hashes) - 1)
+            hit = hashes[at] == key
+            value[:, own[hit]] = values[:, at[hit]]
+            found[own] = hit
+        return value, found
+
+
+class WordScorer:
+    def __init__(self, model: WordModel):
+        self.model = model
+        self.arrays = {name: _Sorted(model.path, name, n, 2 if name[0] == "c" else 1) for name, n in model.shards.items()}
+
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of log10 probabilities and number of predicted symbols (words and the end) of each text."""
+        order = self.model.order
+        points, at = word_symbols(texts, order)
+        end = _predicted(at, order)
+        (d,), _ = self.arrays["d1"].find(gram_hash(points, end, 1))
+        p = d.astype(np.float64) / self.model.total + self.model.unknown
+        for k in range(2, order + 1):
+            (total, gamma), seen = self.arrays[f"c{k}"].find(gram_hash(points, end - 1, k - 1))
+            (d,), _ = self.arrays[f"d{k}"].find(gram_hash(points, end, k))
+            p = np.where(seen, d / np.where(seen, total, 1).astype(np.float64) + gamma * p, p)
+        size = np.diff(at) - (order - 1)
+        sums = np.concatenate([[0], np.cumsum(np.log10(p))])
+        edge = np.concatenate([[0], np.cumsum(size)])
+        return sums[edge[1:]] - sums[edge[:-1]], size
+
+
+def perplexity(docs: DataFrame, model: Model | WordModel) -> DataFrame:
+    """``doc_id, n_symbols, log10_prob, perplexity`` of every row's whole text, per word or character as the model has it.
 
     A null text has nulls; an empty text is scored on its end alone.  Rows are
     scored one by one: repeated rows repeat, a null doc_id stays null, other
@@ -295,7 +452,7 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = WordScorer(model) if isinstance(model, WordModel) else Scorer(model)
         for b in _text.slices(batches, "text"):
             log, n = scorer.score(b.column("text"))
             gone = pc.is_null(b.column("text")).to_numpy(zero_copy_only=False)
@@ -306,4 +463,4 @@ def perplexity(docs: DataFrame, model: Model) -> DataFrame:
 
 def op3_lm_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return perplexity(docs, train(docs))
+    return perplexity(docs, train_words(docs))

@@ -208,6 +208,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.drop_toxic(docs, model).count() == 320
 
 
+def test_toxicity_from_few_labelled_rows(spark):
+    root = "/root/testdata/sf0.001"
+    bad = set("trash worthless pathetic idiot disgusting stupid clown scum loser moron".split())
+    abusive = {r["doc_id"] for r in spark.read.parquet(f"{root}/documents.parquet").where("text IS NOT NULL").collect() if bad & set(_text.normalise(pa.array([r["text"]]))[0].as_py().split())}
+    assert len(abusive) == 9
+    assert {r["doc_id"] for r in toxicity.op4_toxicity(spark, root).collect() if r["toxic"]} == abusive
+
+
 def test_toxicity_of_awkward_rows(spark, awkward):
     labels = spark.createDataFrame([(6, 1), (2, 0), (None, 1)], "doc_id bigint, toxic int")
     for given in (labels, labels.where("false")):

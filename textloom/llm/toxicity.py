@@ -28,8 +28,10 @@ GRADES = 4
 #: A document is toxic if P(grade > 0) is at least this.
 CUT = 0.3
 PIECE = 5
-#: Least log-likelihood ratio of a term's association with toxic documents; about 1e-9 by chance.
-LEAST_G2 = 38.0
+#: A term is kept if the log-likelihood ratio of its association with toxic documents is at least this (about 1e-9 by
+#: chance), or at least this share of what a term in all toxic and no clean documents would have. The share doesn't
+#: depend on the number of labelled documents: terms that mark many toxic documents are kept at every size.
+LEAST_G2, LEAST_SHARE = 38.0, 0.2
 _WORD_SALT = np.uint64(0xA5A5F00D12345678)
 
 
@@ -114,7 +116,8 @@ def _select(toxic: pa.Table, clean: pa.Table) -> np.ndarray:
             return yes + np.where(rest > 0, rest * np.log(rest * n_all / (n * np.maximum(rest_all, 1e-9))), 0)
 
     g2 = 2 * (part(k1, n1, k1 + k0, n1 + n0) + part(k0, n0, k1 + k0, n1 + n0))
-    return terms[(g2 >= LEAST_G2) & (k1 / n1 > 10 * k0 / n0)]
+    most = 2 * (n1 * np.log((n1 + n0) / n1) + n0 * np.log((n1 + n0) / n0))
+    return terms[(g2 >= min(LEAST_G2, LEAST_SHARE * most)) & (k1 / n1 > 10 * k0 / n0)]
 
 
 def _fit(x: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, n_terms: int, steps: int = 400, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -152,8 +155,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """Fit on about ``max_labelled`` labelled documents at most.
 
     Null labels, ids and texts are left out; a document labelled twice counts
-    as toxic if any label says so; a repeated text counts once.  Without both
-    toxic and clean examples the model finds nothing toxic.
+    as toxic if any label says so; a repeated text counts once.  Without clean
+    examples, and without terms that at least three toxic ones share, the
+    model finds nothing toxic.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
@@ -162,7 +166,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         known = known.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_labelled / n))
     rows = _sample.bounded(texts.join(F.broadcast(known), "doc_id").select("text", "toxic").dropDuplicates(["text"]), "text", max_labelled, "texts")
     label = rows.column("toxic").to_numpy()
-    toxic, clean = rows.filter(pa.array(label > 0)), rows.filter(pa.array(label == 0))
+    return _model(rows.filter(pa.array(label > 0)), rows.filter(pa.array(label == 0)))
+
+
+def _model(toxic: pa.Table, clean: pa.Table) -> Model:
+    """The model of these texts."""
     terms = _select(toxic, clean)
     none = Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 30.0), 0.5)
     if not len(terms) or not clean.num_rows:

@@ -52,6 +52,14 @@ def test_bpe(spark):
         M.train_bpe(lines, 300)
 
 
+def test_bpe_training_counts_every_word(spark, monkeypatch):
+    lines = spark.createDataFrame([("ab ab ab",), ("qw",)], "text string")
+    with monkeypatch.context() as m:
+        m.setattr(type(lines), "limit", lambda self, n: self.where("false"))  # no cut of the words
+        merges = M.train_bpe(lines, 320)
+    assert merges == [(b"a", b"b"), (b" ", b"ab"), (b"q", b"w")]
+
+
 def test_tokenizers(spark):
     s = spark.createDataFrame([("a täst",), ("a <pad>t",), ("",)], "s string")
     char = Z.CharTokenizer()

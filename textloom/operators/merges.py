@@ -1,7 +1,7 @@
 """BPE vocabularies: corpus counts in Spark, merges by an incrementally kept pair index on the driver.
 
-The driver holds distinct words only; which of them is bounded by
-``max_words`` through a documented frequency cut.
+The driver holds every distinct word and where its pairs are: its memory grows
+with the number of distinct words, and none is left out.
 """
 
 from __future__ import annotations
@@ -27,16 +27,15 @@ def pair_stats(words: DataFrame) -> DataFrame:
     return words.select(F.explode(pairs).alias("p"), "freq").groupBy("p.first", "p.second").agg(F.sum("freq").alias("freq"))
 
 
-def train_bpe(lines: DataFrame, vocab_size: int, num_special_tokens: int = 0, column: str = "text", max_words: int = 2_000_000) -> list[tuple[bytes, bytes]]:
+def train_bpe(lines: DataFrame, vocab_size: int, num_special_tokens: int = 0, column: str = "text") -> list[tuple[bytes, bytes]]:
     """Merges of byte pairs, most frequent first, ties by the smaller pair; stops when no pair is left.
 
     ``vocab_size`` must be a multiple of 64 and leave room over 256 bytes and
-    the special tokens.  Of more than ``max_words`` distinct words the most
-    frequent are used.
+    the special tokens.  Every distinct word counts.
     """
     if vocab_size % 64 or vocab_size <= 256 + num_special_tokens:
         raise ValueError("vocab_size must be a multiple of 64 above 256 plus the special tokens")
-    counted = word_counts(lines, column).orderBy(F.desc("freq"), "word").limit(max_words).toArrow()
+    counted = word_counts(lines, column).toArrow()
     words = [[bytes([b]) for b in w.encode()] for w in counted.column("word").to_pylist()]
     freqs = counted.column("freq").to_pylist()
     stats: Counter = Counter()

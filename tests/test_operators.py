@@ -60,6 +60,15 @@ def test_bpe_training_counts_every_word(spark, monkeypatch):
     assert merges == [(b"a", b"b"), (b" ", b"ab"), (b"q", b"w")]
 
 
+def test_bpe_queries_train_on_documents(spark, tmp_path):
+    from textloom.plans import catalogue
+
+    spark.createDataFrame([(1, "zq zq zq zq")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "ab ab ab ab ab")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [(bytes(r["first"]), bytes(r["second"])) for r in catalogue.bpe_train(spark, str(tmp_path)).orderBy("merge_id").collect()] == [(b"z", b"q"), (b" ", b"zq")]
+    assert len(catalogue.bpe_encode(spark, str(tmp_path)).first()["ids"]) == 4
+
+
 def test_tokenizers(spark):
     s = spark.createDataFrame([("a täst",), ("a <pad>t",), ("",)], "s string")
     char = Z.CharTokenizer()

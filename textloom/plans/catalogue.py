@@ -396,7 +396,7 @@ def pair_stats(spark, sf):
 
 
 def _trained(spark, sf):
-    return M.train_bpe(table(spark, sf, "benchmark"), 384, 4)
+    return M.train_bpe(docs(spark, sf), 16_384, 4)
 
 
 @query()

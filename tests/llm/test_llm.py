@@ -412,6 +412,13 @@ def test_perspectives(spark):
 # --- 10
 
 
+def test_head_and_body_tags_left_out():
+    prose_text = "a long paragraph of text that is the content of the page " * 5
+    for page in (f"<head><title>x</title><p>{prose_text}", f"<html><head><meta charset=utf-8><title>x</title><div>{prose_text}</div></html>"):
+        text, _, _ = html.extract(page)
+        assert text.split() == prose_text.split()
+
+
 def test_html(spark):
     para = "Here is a long paragraph of real content that goes on for quite a while, sentence after sentence. " * 3
     nav = "<nav><ul>" + "".join(f'<li><a href="/{i}">Link{i}</a></li>' for i in range(30)) + "</ul></nav>"

@@ -24,6 +24,9 @@ _BLOCK = frozenset(
     "option p pre section table tbody td tfoot th thead tr ul".split()
 )
 
+#: Start tags that don't end a head whose end tag is left out.
+_IN_HEAD = {"head", "title", "meta", "link", "style", "script", "base", "basefont", "bgsound", "noscript", "template"}
+
 
 class _Lines(HTMLParser):
     """Collects (text, tags) of each line from parser events."""
@@ -44,6 +47,8 @@ class _Lines(HTMLParser):
         self.now, self.count = [], 0
 
     def handle_starttag(self, tag, attrs):
+        if self.hidden[-1:] == ["head"] and tag not in _IN_HEAD:
+            self.hidden.pop()  # a head without end tag
         if tag in _HIDDEN:
             self.hidden.append(tag)
         elif tag == "body":

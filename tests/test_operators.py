@@ -69,6 +69,17 @@ def test_bpe_queries_train_on_documents(spark, tmp_path):
     assert len(catalogue.bpe_encode(spark, str(tmp_path)).first()["ids"]) == 4
 
 
+def test_text_operators_over_documents(spark, tmp_path):
+    from textloom.plans import catalogue
+
+    rows = [(1, "täst  a\nlong " * 3000), (2, ""), (3, "!!")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["item_id"]: r["ids"] for r in catalogue.QUERIES["docs_byte_tokenize"](spark, str(tmp_path)).collect()}
+    assert got == {i: ",".join(map(str, t.encode())) for i, t in rows}
+    got = {r["idx"]: r["input"] for r in catalogue.QUERIES["docs_ws_corrupt_p1"](spark, str(tmp_path)).collect()}
+    assert got == {i: "".join(t.split()) for i, t in rows}
+
+
 def test_tokenizers(spark):
     s = spark.createDataFrame([("a täst",), ("a <pad>t",), ("",)], "s string")
     char = Z.CharTokenizer()

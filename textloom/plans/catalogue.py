@@ -51,6 +51,12 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def texts(spark: SparkSession, sf: str, source: str) -> DataFrame:
+    """``item_id, text`` of benchmark or documents."""
+    rows = table(spark, sf, source)
+    return rows if source == "benchmark" else rows.select(F.col("doc_id").alias("item_id"), "text")
+
+
 def joined(c: Column, sep: str = ",") -> Column:
     return F.array_join(c.cast("array<string>"), sep)
 
@@ -132,17 +138,17 @@ def char_substrings(spark, sf):
 
 
 @query()
-def byte_substrings(spark, sf):
+def byte_substrings(spark, sf, source="benchmark"):
     cut = K.arrow(lambda s: [f"{a}-{b}" for a, b, _ in K.byte_substrings(s, 64)], "array<string>")
-    return table(spark, sf, "benchmark").select("item_id", F.array_join(cut("text"), ",").alias("spans"))
+    return texts(spark, sf, source).select("item_id", F.array_join(cut("text"), ",").alias("spans"))
 
 
 @query(f"""
 WITH b AS (SELECT item_id, text, substr(regexp_replace(text, '{_WS}', '', 'g'), 5, 12) AS part FROM benchmark)
 SELECT item_id, regexp_extract(text, '\\s*' || array_to_string(list_transform(string_split(part, ''), lambda c: regexp_escape(c)), '\\s*') || '\\s*') AS found FROM b""")
-def find_substring_ws(spark, sf):
+def find_substring_ws(spark, sf, source="benchmark"):
     part = F.substring(X.remove_whitespace("text"), 5, 12)
-    return table(spark, sf, "benchmark").select("item_id", X.find_ignoring_whitespace("text", part).alias("found"))
+    return texts(spark, sf, source).select("item_id", X.find_ignoring_whitespace("text", part).alias("found"))
 
 
 @query(f"""
@@ -421,9 +427,9 @@ def bpe_roundtrip(spark, sf):
 
 
 @query("SELECT item_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS INT)), ',') AS ids FROM benchmark")
-def byte_tokenize(spark, sf):
+def byte_tokenize(spark, sf, source="benchmark"):
     t = Z.ByteTokenizer(Z.Special(tokens=("<pad>",)))
-    return table(spark, sf, "benchmark").select("item_id", joined(t.tokenize(F.col("text"), True)).alias("ids"))
+    return texts(spark, sf, source).select("item_id", joined(t.tokenize(F.col("text"), True)).alias("ids"))
 
 
 @query("SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: strlen(c)), ',') AS groups FROM documents")
@@ -433,20 +439,20 @@ def byte_groups(spark, sf):
 
 
 @query(f"SELECT item_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN instr('{_VOCAB}', c) > 0 THEN instr('{_VOCAB}', c) - 1 ELSE 95 END), ',') AS ids FROM benchmark")
-def char_tokenize(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", joined(Z.CharTokenizer().tokenize(F.col("text"), True)).alias("ids"))
+def char_tokenize(spark, sf, source="benchmark"):
+    return texts(spark, sf, source).select("item_id", joined(Z.CharTokenizer().tokenize(F.col("text"), True)).alias("ids"))
 
 
 @query("SELECT item_id, text FROM benchmark")
-def detokenize_roundtrip(spark, sf):
+def detokenize_roundtrip(spark, sf, source="benchmark"):
     t = Z.ByteTokenizer(Z.Special(prefix=("<bos>",), suffix=("<eos>",)))
-    return table(spark, sf, "benchmark").select("item_id", t.de_tokenize(t.tokenize(F.col("text"))).alias("text"))
+    return texts(spark, sf, source).select("item_id", t.de_tokenize(t.tokenize(F.col("text"))).alias("text"))
 
 
 @query()
-def file_tokenize(spark, sf):
+def file_tokenize(spark, sf, source="benchmark"):
     t = Z.FileTokenizer("/opt/tokenizers/byte_bpe_50k.json")
-    return table(spark, sf, "benchmark").select("item_id", joined(t.encode()("text")).alias("ids"))
+    return texts(spark, sf, source).select("item_id", joined(t.encode()("text")).alias("ids"))
 
 
 # --- metrics -------------------------------------------------------------------------------------------
@@ -500,8 +506,8 @@ def _sources(spark, sf):
     return docs(spark, sf).select("doc_id", "text", F.substring("source", 4, 9).cast("int").alias("file_idx"), line.cast("bigint").alias("line_no"))
 
 
-def _pairs(spark, sf):
-    rows = table(spark, sf, "benchmark").select(F.col("item_id").alias("idx"), F.col("text").alias("input"), X.clean("text").alias("target"))
+def _pairs(spark, sf, source="benchmark"):
+    rows = texts(spark, sf, source).select(F.col("item_id").alias("idx"), F.col("text").alias("input"), X.clean("text").alias("target"))
     return R.seeded(rows)
 
 
@@ -531,34 +537,34 @@ def skip_limit(spark, sf):
 
 
 @query(f"SELECT item_id AS idx, 'in: ' || text AS input, {_CLEAN} || ' </s>' AS target FROM benchmark")
-def prefix_suffix(spark, sf):
-    return R.chain(R.prefix("input", "in: "), R.suffix("target", " </s>"))(_pairs(spark, sf)).select("idx", "input", "target")
+def prefix_suffix(spark, sf, source="benchmark"):
+    return R.chain(R.prefix("input", "in: "), R.suffix("target", " </s>"))(_pairs(spark, sf, source)).select("idx", "input", "target")
 
 
 @query(f"SELECT item_id AS idx, {_CLEAN} AS input FROM benchmark")
-def overwrite(spark, sf):
-    return R.overwrite("input")(_pairs(spark, sf)).select("idx", "input")
+def overwrite(spark, sf, source="benchmark"):
+    return R.overwrite("input")(_pairs(spark, sf, source)).select("idx", "input")
 
 
 @query(f"SELECT item_id AS idx, CASE WHEN item_id % 2 = 0 THEN 'even ' || text ELSE {_NO_WS} END AS input FROM benchmark")
-def marks_switch(spark, sf):
-    rows = _pairs(spark, sf).withColumn("marks", F.create_map(F.lit("kind"), F.when(F.col("idx") % 2 == 0, "even").otherwise("odd")))
+def marks_switch(spark, sf, source="benchmark"):
+    rows = _pairs(spark, sf, source).withColumn("marks", F.create_map(F.lit("kind"), F.when(F.col("idx") % 2 == 0, "even").otherwise("odd")))
     return R.switch_on_mark("kind", ["even", "odd"], [R.prefix("input", "even "), R.on("input", X.remove_whitespace)])(rows).select("idx", "input")
 
 
 @query()
-def switch_random(spark, sf):
-    return R.switch([R.prefix("input", "a "), R.prefix("input", "b ")], [0.3, 0.7])(_pairs(spark, sf)).select("idx", "input")
+def switch_random(spark, sf, source="benchmark"):
+    return R.switch([R.prefix("input", "a "), R.prefix("input", "b ")], [0.3, 0.7])(_pairs(spark, sf, source)).select("idx", "input")
 
 
 @query(f"SELECT item_id AS idx, {_NO_WS} AS input FROM benchmark")
-def ws_corrupt_p1(spark, sf):
-    return R.whitespace_corruption(0.0, 1.0)(_pairs(spark, sf)).select("idx", "input")
+def ws_corrupt_p1(spark, sf, source="benchmark"):
+    return R.whitespace_corruption(0.0, 1.0)(_pairs(spark, sf, source)).select("idx", "input")
 
 
 @query()
-def ws_corrupt(spark, sf):
-    return R.whitespace_corruption(0.1, 0.2)(_pairs(spark, sf)).select("idx", "input")
+def ws_corrupt(spark, sf, source="benchmark"):
+    return R.whitespace_corruption(0.1, 0.2)(_pairs(spark, sf, source)).select("idx", "input")
 
 
 @query()
@@ -587,32 +593,32 @@ _BYTES = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: CA
 
 @query("WITH t AS (SELECT item_id, " + _BYTES.format("text || ' | ' || replace(text, 't', 'T')") + " AS ids, strlen(text) + 2 AS m FROM benchmark) "
        "SELECT item_id AS idx, array_to_string(ids[1:len(ids) - 1], ',') AS token_ids, array_to_string(list_concat(list_transform(range(0, m), lambda i: -1), ids[m + 2:]), ',') AS labels FROM t")
-def generation_labels(spark, sf):
-    rows = _pairs(spark, sf).withColumn("target", F.replace("input", F.lit("t"), F.lit("T")))
+def generation_labels(spark, sf, source="benchmark"):
+    rows = _pairs(spark, sf, source).withColumn("target", F.replace("input", F.lit("t"), F.lit("T")))
     return R.generation_task(_bytes, " | ", mask_input=True)(rows).select("idx", joined(F.col("token_ids")).alias("token_ids"), joined(F.col("labels")).alias("labels"))
 
 
 @query("WITH t AS (SELECT item_id, " + _BYTES.format("replace(text, 't', 'T')") + " AS ids FROM benchmark) SELECT item_id AS idx, array_to_string(ids[1:len(ids) - 1], ',') AS target_token_ids, array_to_string(ids[2:], ',') AS labels FROM t")
-def cond_generation(spark, sf):
-    rows = _pairs(spark, sf).withColumn("target", F.replace("input", F.lit("t"), F.lit("T")))
+def cond_generation(spark, sf, source="benchmark"):
+    rows = _pairs(spark, sf, source).withColumn("target", F.replace("input", F.lit("t"), F.lit("T")))
     return R.conditional_generation_task(_bytes)(rows).select("idx", joined(F.col("target_token_ids")).alias("target_token_ids"), joined(F.col("labels")).alias("labels"))
 
 
 @query()
-def ws_labels(spark, sf):
-    rows = R.chain(R.on("input", X.remove_whitespace))(_pairs(spark, sf))
+def ws_labels(spark, sf, source="benchmark"):
+    rows = R.chain(R.on("input", X.remove_whitespace))(_pairs(spark, sf, source))
     return R.whitespace_task(_bytes, 1, 1)(rows).select("idx", joined(F.col("labels")).alias("labels"))
 
 
 @query("SELECT item_id AS idx, array_to_string(" + _BYTES.format("text") + "[1:32], ',') AS token_ids FROM benchmark")
-def clip_length(spark, sf):
-    rows = _pairs(spark, sf).withColumn("token_ids", _bytes(F.col("input")))
+def clip_length(spark, sf, source="benchmark"):
+    rows = _pairs(spark, sf, source).withColumn("token_ids", _bytes(F.col("input")))
     return R.clip_length(32)(rows).select("idx", joined(F.col("token_ids")).alias("token_ids"))
 
 
 @query()
-def token_mask(spark, sf):
-    rows = _pairs(spark, sf).withColumn("token_ids", _bytes(F.col("input")))
+def token_mask(spark, sf, source="benchmark"):
+    rows = _pairs(spark, sf, source).withColumn("token_ids", _bytes(F.col("input")))
     return R.token_masking(0, 0.15)(rows).select("idx", joined(F.col("token_ids")).alias("token_ids"))
 
 
@@ -754,3 +760,24 @@ def _marked(s: pd.Series) -> pd.Series:
 def batch_regroup(spark, sf):
     items = docs(spark, sf).select(F.col("doc_id").alias("item_idx"), "text")
     return I.regroup(I.predict(I.windowed(items, 512, 16), _marked))
+
+
+# --- operators on text, over the documents ----------------------------------------------------------------------------
+
+#: Queries over benchmark that are registered over documents too, as docs_<name>.
+OVER_DOCUMENTS = (
+    "byte_substrings", "find_substring_ws", "byte_tokenize", "char_tokenize", "detokenize_roundtrip", "file_tokenize",
+    "prefix_suffix", "overwrite", "marks_switch", "switch_random", "ws_corrupt_p1", "ws_corrupt",
+    "generation_labels", "cond_generation", "ws_labels", "clip_length", "token_mask",
+)
+
+
+def _over_documents(name: str) -> None:
+    made = QUERIES[name]
+    QUERIES[f"docs_{name}"] = lambda spark, sf: made(spark, sf, "documents")
+    if name in ORACLE_SQL:
+        ORACLE_SQL[f"docs_{name}"] = ORACLE_SQL[name].replace("FROM benchmark", "FROM (SELECT doc_id AS item_id, text FROM documents) AS b")
+
+
+for _name in OVER_DOCUMENTS:
+    _over_documents(_name)

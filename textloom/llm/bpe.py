@@ -23,13 +23,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import _text
+from . import _memory, _text
 
 #: A byte-level BPE with explicit merges, in the JSON layout of the `tokenizers` library.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Bytes of text whose pieces are merged together.
-INDEX_BYTES = 8 << 20
+INDEX_BYTES = 4 << 20
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
 _classes: list[np.ndarray] = []
@@ -90,9 +91,12 @@ class Vocabulary:
 
     def rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, -1 where there is none."""
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], -1)
+        out = np.empty(len(a), np.int32)
+        for i in range(0, len(a), 1 << 18):
+            key = a[i : i + (1 << 18)].astype(np.int64) << 32 | b[i : i + (1 << 18)]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            out[i : i + (1 << 18)] = np.where(self.keys[at] == key, self.ranks[at], -1)
+        return out
 
 
 def split_pieces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -147,13 +151,13 @@ def _ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def merge_pieces(data: np.ndarray, at: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Token ids of pieces given as concatenated bytes with n+1 offsets; returns ids and their n+1 offsets."""
     n = len(data)
-    symbol = vocabulary.byte_ids[data]
+    symbol = vocabulary.byte_ids.astype(np.int32)[data]
     if n == 0:
         return symbol, at
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     after[at[1:] - 1] = -1
     before[at[:-1]] = -1
-    position = np.flatnonzero(after >= 0)
+    position = np.flatnonzero(after >= 0).astype(np.int32)
     rank = vocabulary.rank_of(symbol[position], symbol[position + 1])
     lists: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
@@ -290,7 +294,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, check: bool = Fals
                     names.append("round_trip")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, token_ids array<int>, n_tokens int" + (", round_trip boolean" if check else ""))
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_memory.lean(run), "doc_id bigint, token_ids array<int>, n_tokens int" + (", round_trip boolean" if check else ""))
 
 
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -302,7 +306,7 @@ def decode_documents(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             texts = [None if ids is None else decode_ids(ids, shared.value) for ids in b.column("token_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "token_ids").mapInArrow(run, "doc_id bigint, text string")
+    return encoded.select("doc_id", "token_ids").mapInArrow(_memory.lean(run), "doc_id bigint, text string")
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _sample, _text
+from . import _memory, _sample, _text
 
 #: Labelled documents used for fitting, at most (about): the model has few parameters and doesn't gain from more.
 MAX_LABELLED = 10_000
@@ -199,7 +199,7 @@ def _scored(docs: DataFrame, model: Model, schema: str, emit) -> DataFrame:
         for b in _text.slices(batches, "text"):
             yield emit(b, shared.value.exceed(b.column("text").cast(pa.string())), shared.value)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(_memory.lean(run), schema)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -53,3 +54,22 @@ def write_atomically(path: str, *parts) -> None:
         for part in parts:
             f.write(part)
     os.replace(own, path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete settled tables that no later plan reads."""
+    for df in tables:
+        for f in df.inputFiles()[:1]:
+            discard_folder(local_path(os.path.dirname(f)))
+
+
+def discard_folder(path: str) -> None:
+    shutil.rmtree(path, ignore_errors=True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, whatever the case of its letters."""
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name

@@ -2,12 +2,14 @@
 
 Training texts are scanned once: every window of ``n`` words is hashed and
 probed; hits are verified word by word, then spans are cut or documents
-dropped.  No shuffle.  A benchmark too large to broadcast is met by a join of
-window hashes instead, with the same result.
+dropped.  No shuffle of the texts.  The n-grams of a benchmark too large to
+broadcast lie in files of the shared folder in place of memory, sorted by
+hash, and are mapped and probed in the same way.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _text
+from . import _memory, _store, _text
 
 N = 8
 DROP_FRACTION = 0.5
-#: Bytes of benchmark text up to which its n-grams are broadcast.
+#: Bytes of n-grams with their hashes up to which they are broadcast.
 BROADCAST_BYTES = 64 << 20
+#: And n-grams of a file beyond that, about.
+SHARD_GRAMS = 1_000_000
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 
 
@@ -34,40 +38,91 @@ def _grams(texts: pa.Array, n: int) -> set[str]:
     return found
 
 
-class _Index:
-    """Sorted gram hashes behind a 64 Ki bitmap, and the grams themselves for verification."""
+def _hashes(grams: pa.Array, n: int) -> np.ndarray:
+    w, at = _text.word_hashes(grams)
+    return _text.gram_hashes(w, at, n, short=False)[0]
+
+
+class _Part:
+    """N-grams in ascending order of hashes: hashes, n+1 offsets, bytes."""
+
+    def __init__(self, hashes: np.ndarray, at: np.ndarray, data: np.ndarray):
+        self.hashes, self.at, self.data = hashes, at, data
+
+    @classmethod
+    def of(cls, grams: list[str], n: int) -> _Part:
+        hashes = _hashes(pa.array(grams, pa.string()), n)
+        order = np.argsort(hashes, kind="stable")
+        raw = [grams[i].encode() for i in order.tolist()]
+        return cls(hashes[order], np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int64), np.frombuffer(b"".join(raw), np.uint8))
 
-    def __init__(self, grams: set[str], n: int):
-        self.n, self.grams = n, grams
-        w, at = _text.word_hashes(pa.array(sorted(grams), pa.string()))
-        self.hashes = np.unique(_text.gram_hashes(w, at, n, short=False)[0])
-        self.door = np.zeros(1 << 20, bool)
-        self.door[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
+    @classmethod
+    def mapped(cls, path: str) -> _Part:
+        if not os.path.exists(path) or not os.path.getsize(path):
+            return cls.of([], 1)
+        raw = np.memmap(path, np.uint8, "r")
+        n = int(raw[:8].view(np.int64)[0])
+        return cls(raw[8 : 8 + 8 * n].view(np.uint64), raw[8 + 8 * n : 16 + 16 * n].view(np.int64), raw[16 + 16 * n :])
+
+    def write(self, path: str) -> None:
+        _store.write_atomically(path, len(self.hashes).to_bytes(8, "little"), self.hashes.tobytes(), self.at.tobytes(), self.data.tobytes())
+
+    def has(self, k: int, h: np.uint64, gram: bytes) -> bool:
+        """Whether ``gram`` stands at place k or after it among equal hashes."""
+        while k < len(self.hashes) and self.hashes[k] == h:
+            if self.data[self.at[k] : self.at[k + 1]].tobytes() == gram:
+                return True
+            k += 1
+        return False
+
+
+class _Index:
+    """The benchmark's n-grams in parts by hash range, in memory (one part) or as mapped files; probed by hash, verified by words."""
+
+    def __init__(self, n: int, parts: list[_Part] | None = None, path: str = "", shards: int = 1):
+        self.n, self.parts, self.path, self.shards = n, parts, path, shards
+        if parts:
+            self.door = np.zeros(1 << 20, bool)
+            self.door[(parts[0].hashes >> np.uint64(44)).astype(np.int64)] = True
+
+    def _probe(self, g: np.ndarray) -> list[tuple[int, int, _Part]]:
+        """(index into g, place, part) of the hashes that are there."""
+        if self.parts is None:
+            self.parts, self.door = [_Part.mapped(f"{self.path}/{s}") for s in range(self.shards)], None
+        maybe = np.arange(len(g)) if self.door is None else np.flatnonzero(self.door[(g >> np.uint64(44)).astype(np.int64)])
+        if self.shards > 1:
+            maybe = maybe[np.argsort(g[maybe])]
+        edges = np.searchsorted(_shard_of(g[maybe], self.shards), np.arange(self.shards + 1)) if self.shards > 1 else np.array([0, len(maybe)])
+        out = []
+        for s in np.flatnonzero(np.diff(edges)).tolist():
+            part, own = self.parts[s], maybe[edges[s] : edges[s + 1]]
+            if len(part.hashes):
+                k = np.minimum(np.searchsorted(part.hashes, g[own]), len(part.hashes) - 1)
+                hit = part.hashes[k] == g[own]
+                out += [(i, p, part) for i, p in zip(own[hit].tolist(), k[hit].tolist())]
+        return out
 
     def hits(self, texts: pa.Array) -> dict[int, list[int]]:
         """Verified window starts (in words) by row."""
         normal = _text.normalise(texts)
         w, at = _text.word_hashes(normal)
         g, of = _text.gram_hashes(w, at, self.n, short=False)
-        maybe = np.flatnonzero(self.door[(g >> np.uint64(44)).astype(np.int64)])
-        if len(maybe) and len(self.hashes):
-            k = np.minimum(np.searchsorted(self.hashes, g[maybe]), len(self.hashes) - 1)
-            maybe = maybe[self.hashes[k] == g[maybe]]
-        else:
-            maybe = maybe[:0]
         out: dict[int, list[int]] = {}
-        if len(maybe):
-            first = np.searchsorted(of, of[maybe])
-            for row, start in zip(of[maybe].tolist(), (maybe - first).tolist()):
+        words: dict[int, list[str]] = {}
+        for i, k, part in sorted(self._probe(g), key=lambda x: x[0]):
+            row = int(of[i])
+            if row not in words:
+                words = {row: normal[row].as_py().split(" ")}
+            start = i - int(np.searchsorted(of, row))
+            if part.has(k, g[i], " ".join(words[row][start : start + self.n]).encode()):
                 out.setdefault(row, []).append(start)
-            for row in list(out):
-                words = normal[row].as_py().split(" ")
-                out[row] = [s for s in out[row] if " ".join(words[s : s + self.n]) in self.grams]
-                if not out[row]:
-                    del out[row]
         return out
 
 
+def _shard_of(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
+
+
 def _merge(starts: list[int], n: int) -> list[tuple[int, int]]:
     spans: list[list[int]] = []
     for s in starts:
@@ -102,56 +157,44 @@ def _n_words(normal: pa.Array, row: int) -> int:
     return t.count(" ") + 1 if t else 0
 
 
-def _benchmark_index(benchmark: DataFrame, n: int) -> _Index | None:
-    """The n-gram set, or None if the benchmark is too large to broadcast."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > BROADCAST_BYTES:
-        return None
-    return _Index(_grams(benchmark.select(F.col("text").cast("string").alias("text")).toArrow().column("text").combine_chunks(), n), n)
-
+def _benchmark_index(benchmark: DataFrame, n: int) -> _Index:
+    """The n-gram set: in memory if its size is within BROADCAST_BYTES, else in mapped files of the shared folder."""
+    texts = benchmark.select(F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    size, rows = texts.agg(F.sum(F.octet_length("text")), F.sum(F.size(F.split("text", " ")))).first()
+    if (n + 1) * (size or 0) + 16 * (rows or 0) <= BROADCAST_BYTES:  # every word stands in n windows
+        found = texts.toArrow().column("text").combine_chunks()
+        return _Index(n, [_Part.of(sorted(_grams(found, n)), n)])
+    shards = max(1, -(-int(rows) // SHARD_GRAMS))
+    path = _store.local_path(_store.new_dir(benchmark.sparkSession, "benchmark-grams"))
 
-def _joined_hits(docs: DataFrame, benchmark: DataFrame, n: int) -> DataFrame:
-    """For benchmarks beyond the broadcast limit: rows (text, starts) of contaminated texts, by an equi-join on grams."""
-
-    def windows(column: str):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _text.slices(batches, column):
-                for t, normal in zip(b.column(column).to_pylist(), _text.normalise(b.column(column)).to_pylist()):
-                    w = normal.split(" ")
-                    m = len(w) - n + 1
-                    if m > 0:
-                        yield pa.RecordBatch.from_pydict({"text": [t] * m, "start": pa.array(range(m), pa.int32()), "gram": [" ".join(w[i : i + n]) for i in range(m)]})
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _text.slices(batches, "text"):
+            grams = sorted(_grams(b.column("text"), n))
+            for i in range(0, len(grams), 20_000):
+                some = pa.array(grams[i : i + 20_000], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(_shard_of(_hashes(some, n), shards).astype(np.int32)), some], ["shard", "gram"])
 
-        return run
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            _Part.of(rows.column("gram").to_pylist(), n).write(f"{path}/{rows.column('shard')[0].as_py()}")
+            yield pa.RecordBatch.from_pydict({"shard": rows.column("shard").combine_chunks()[:1]})
 
-    keyed = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
-    own = keyed.mapInArrow(windows("text"), "text string, start int, gram string").select(F.sha2("text", 256).alias("key"), "start", "gram")
-    test = benchmark.select(F.col("text").cast("string").alias("text")).mapInArrow(windows("text"), "text string, start int, gram string").select("gram").distinct()
-    return own.join(test, "gram", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("start")).alias("starts"))
+    found = texts.mapInArrow(_memory.lean(windows), "shard int, gram string").distinct()
+    found.repartitionById(shards, F.col("shard")).mapInArrow(_memory.lean(write), "shard int").count()
+    return _Index(n, None, path, shards)
 
 
 def _with_hits(docs: DataFrame, benchmark: DataFrame, n: int, schema: T.StructType, emit) -> DataFrame:
     """Apply ``emit(batch, {row: window starts}) -> batches`` to all of ``docs``."""
-    index = _benchmark_index(benchmark, n)
-    if index is not None:
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in _text.slices(batches, "text"):
-                yield from emit(b, shared.value.hits(b.column("text")))
-
-        return docs.mapInArrow(run, schema)
-    found = _joined_hits(docs, benchmark, n)
-    names = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.sha2(F.col("text").cast("string"), 256).alias("key"))
-    joined = inner.join(found, "key", "left").select("row.*", F.col("starts").alias("__starts"))
+    shared = docs.sparkSession.sparkContext.broadcast(_benchmark_index(benchmark, n))
 
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _text.slices(batches, "text"):
-            starts = {i: s for i, s in enumerate(b.column("__starts").to_pylist()) if s}
-            yield from emit(b.select(names), starts)
+            yield from emit(b, shared.value.hits(b.column("text")))
 
-    return joined.mapInArrow(run_joined, schema)
+    return docs.mapInArrow(_memory.lean(run), schema)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = N, drop_fraction: float = DROP_FRACTION) -> DataFrame:
@@ -185,8 +228,8 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, n: int = N, drop
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, drop_fraction: float = DROP_FRACTION) -> DataFrame:
     """``docs`` with benchmark passages cut out of ``text`` and documents mostly made of them left out.
 
-    All columns are kept; ``n_chars``, where there is one, follows the cut
-    text.  Clean documents, null and empty texts pass unchanged.  Cases are
+    All columns are kept; ``n_chars``, where there is an integer column of
+    that name, follows the cut text.  Clean documents, null and empty texts pass unchanged.  Cases are
     decided as in ``contamination_report``.
     """
     names = docs.columns
@@ -204,7 +247,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, drop_fracti
                 texts[row] = _cut(texts[row], spans)
         columns = {c: b.column(c) for c in names}
         columns["text"] = pa.array(texts, b.column("text").type)
-        if "n_chars" in columns:
+        if "n_chars" in columns and pa.types.is_integer(columns["n_chars"].type):
             fixed = columns["n_chars"].to_pylist()
             for row in hits:
                 fixed[row] = len(texts[row])

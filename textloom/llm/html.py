@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _memory
+
 SIGMA = 1.0
 _HIDDEN = frozenset("script style noscript template head svg math iframe object select textarea title".split())
 _VOID_HIDDEN = frozenset("svg math".split())
@@ -46,6 +48,12 @@ class _Lines(HTMLParser):
             self.tags.append(self.count)
         self.now, self.count = [], 0
 
+    def parse_html_declaration(self, i):
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:  # a declaration that the parser doesn't know
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag, attrs):
         if self.hidden[-1:] == ["head"] and tag not in _IN_HEAD:
             self.hidden.pop()  # a head without end tag
@@ -125,8 +133,9 @@ def extract_pages(pages: DataFrame, sigma: float = SIGMA) -> DataFrame:
     """``page_id, text, n_regions, n_lines`` of every row, from its whole html.
 
     A null html has a null text and no lines, an empty one an empty text.
-    Markup that doesn't parse is read as far as the parser's events go; text
-    outside any tag is a line of its own.  Rows are read one by one: repeated
+    Markup that doesn't parse is read as far as the parser's events go,
+    declarations it doesn't know are comments; text outside any tag is a line
+    of its own.  A page is read whole, however long.  Rows are read one by one: repeated
     rows repeat, a null page_id stays null, other columns are not read.
     """
 
@@ -139,7 +148,7 @@ def extract_pages(pages: DataFrame, sigma: float = SIGMA) -> DataFrame:
                     [b.column("page_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.int32())], ["page_id", "text", "n_regions", "n_lines"]
                 )
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id bigint, text string, n_regions int, n_lines int")
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(_memory.lean(run), "page_id bigint, text string, n_regions int, n_lines int")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _sample, _text
+from . import _memory, _sample, _text
 
 #: Labelled documents used for fitting and calibration, at most (about).
 MAX_LABELLED = 4_000
@@ -27,6 +27,8 @@ ORDERS = (3, 4)
 EPOCHS = 4
 #: Share of correctly labelled held-out texts that the rejection threshold keeps, at least.
 KEEP = 0.999
+#: Share of texts in no language that it should reject, where that leaves KEEP.
+REJECT = 0.95
 
 
 def _subwords(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +137,13 @@ def fit(docs: DataFrame, max_labelled: int = MAX_LABELLED) -> Model:
 
 
 def _calibrate(model: Model, rows: pa.Table, y: np.ndarray) -> Model:
-    """Temperature by likelihood on held-out rows; threshold so that at least KEEP of the correct ones stay."""
+    """Temperature by likelihood on held-out rows, threshold between them and texts in no language.
+
+    The latter are the held-out texts with every letter replaced by a random
+    one.  The threshold lies half way (in log odds) between the confidence
+    that REJECT of them don't reach and the one that KEEP of the correctly
+    labelled texts reach; if the two overlap, at the latter.
+    """
     parts = [model.logits(b.column("text").cast(pa.string())) for b in _text.slices(rows.to_batches(), "text")]
     z, count = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
@@ -148,11 +156,31 @@ def _calibrate(model: Model, rows: pa.Table, y: np.ndarray) -> Model:
     p = chance(model.temperature)
     right = (p.argmax(1) == y) & (count > 0)
     low = np.quantile(p[right].max(1), 1 - KEEP, method="lower") if right.any() else 0.0
-    chance_level = p.shape[1] and 1 / p.shape[1]
-    model.threshold = float(min(low, 0.9) * 0.98 if low > chance_level else chance_level)
+    low = min(max(low, 1 / p.shape[1]), 1 - 1e-6)
+    sure = np.concatenate([model.predict(b)[1] for b in _nonsense(rows)] or [np.zeros(0)])
+    high = min(max(np.quantile(sure, REJECT) if len(sure) else 0.0, 1e-6), 1 - 1e-6)
+    odds = lambda x: np.log(x / (1 - x))
+    model.threshold = float(1 / (1 + np.exp(-(odds(low) + odds(high)) / 2)) if high < low else low * 0.98)
     return model
 
 
+def _nonsense(rows: pa.Table) -> Iterator[pa.Array]:
+    """The texts with every word letter replaced by a random one of the letters that occur, as likely as another."""
+    rng = np.random.default_rng(11)
+    for b in _text.slices(rows.to_batches(), "text"):
+        normal = _text.normalise(b.column("text")).to_pylist()
+        letters = np.array(sorted(set("".join(normal)) - {" "}))
+        if not len(letters):
+            continue
+        made = []
+        for t in normal:
+            points = np.array(list(t)) if t else np.zeros(0, "<U1")
+            word = points != " "
+            points[word] = letters[rng.integers(len(letters), size=int(word.sum()))]
+            made.append("".join(points.tolist()))
+        yield pa.array([t for t in made if t], pa.string())
+
+
 def hash_of(text: str) -> int:
     import zlib
 
@@ -166,7 +194,7 @@ def _apply(docs: DataFrame, model: Model, schema, emit) -> DataFrame:
         for b in _text.slices(batches, "text"):
             yield emit(b, *shared.value.predict(b.column("text").cast(pa.string())), shared.value.languages)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(_memory.lean(run), schema)
 
 
 def identify_language(docs: DataFrame, model: Model) -> DataFrame:

@@ -289,45 +289,75 @@ def near_rows(seed=8):
     return rows + [(len(rows), None), (len(rows) + 1, ""), (len(rows) + 2, "?!")]
 
 
-def test_join_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BUCKET_GRAMS", 500)
-    monkeypatch.setattr(jaccard, "_PAIR_CHUNK", 50)
-    rows = near_rows()
-    want = _brute_pairs(rows)
-    got = {}
-    for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOC)).collect():
-        ids = r["doc_ids"]
-        for a in range(len(ids)):
-            for b in range(a + 1, len(ids)):
-                key = (ids[a], ids[b])
-                got[key] = max(got.get(key, 0), r["jaccard"])
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-
-
-def test_one_of_each_group_stays(spark):
-    rows = near_rows(9)
-    root = {i: i for i, _ in rows}
+def _brute_classes(rows, t=0.6):
+    """(class, links) of every row."""
+    pairs = _brute_pairs(rows, t=t)
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for a, b in _brute_pairs(rows):
+    for a, b in pairs:
         x, y = sorted((find(a), find(b)))
         root[y] = x
+        links[a], links[b] = links[a] + 1, links[b] + 1
+    return [(rows[find(i)][0], links[i]) for i in range(len(rows))]
+
+
+def group_rows():
+    """Texts with a rare part of their cluster and a frequent ending, so that sets of a cluster agree in size and prefix; copies among them."""
+    rng = random.Random(21)
+    endings = ["and so on " + prose(rng, 30) for _ in range(8)]
+    rows = []
+    for _ in range(12):
+        rare = prose(rng, 60)
+        for e in rng.sample(endings, 5):
+            rows.append((len(rows), f"{rare} {e}"))
+    return rows + [(len(rows), rows[5][1]), (len(rows) + 1, rows[5][1]), (len(rows) + 2, prose(rng, 90))]
+
+
+@pytest.mark.parametrize(("make", "t"), [(near_rows, 0.6), (group_rows, 0.6), (group_rows, 0.5), (near_rows, 0.2)])
+def test_join_equals_brute_force(spark, monkeypatch, make, t):
+    monkeypatch.setattr(jaccard, "BUCKET_GRAMS", 500)
+    monkeypatch.setattr(jaccard, "_PAIR_CHUNK", 50)
+    monkeypatch.setattr(jaccard, "TASK_PAIRS", 1000)
+    rows = make()
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOC).coalesce(1), t=t).collect()}
+    assert got == {r[0]: c for r, c in zip(rows, _brute_classes(rows, t))}
+
+
+def test_sets_of_one_group_are_met(spark):
+    found = jaccard.NearPairs(spark.createDataFrame(group_rows(), DOC).coalesce(1), t=0.6)
+    groups = found.sets.groupBy("group_a", "group_b").count().where("count > 1").collect()
+    assert len(groups) > 8 and max(r["count"] for r in groups) > 2
+    assert found.pairs.count() == found.pairs.select("a", "b").distinct().count()
+
+
+def test_one_of_each_group_stays(spark):
+    rows = near_rows(9)
     kept = sorted(r["doc_id"] for r in jaccard.drop_near_duplicates(spark.createDataFrame(rows, DOC)).collect())
-    assert kept == sorted(i for i, _ in rows if find(i) == i)
+    assert kept == sorted({c for c, _ in _brute_classes(rows)})
 
 
 def test_join_of_awkward_rows(spark, awkward):
-    assert [r["doc_ids"] for r in jaccard.near_duplicates(awkward).collect()] == [[6, 6]]
-    kept = jaccard.drop_near_duplicates(awkward)
-    assert kept.columns == awkward.columns and kept.count() == len(AWKWARD) - 1
+    got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(awkward).collect()), key=repr)
+    assert got == sorted([(i, i, 1 if i == 6 else 0) for i, _ in AWKWARD], key=repr)
+    clash = awkward.withColumn("key", F.lit(1)).withColumn("__KEY", F.lit(2)).withColumn("sid", F.lit("z"))
+    kept = jaccard.drop_near_duplicates(clash)
+    assert kept.columns == clash.columns and kept.count() == len(AWKWARD) - 1
     empty = awkward.where("false")
     assert jaccard.near_duplicates(empty).count() == 0 and jaccard.drop_near_duplicates(empty).count() == 0
 
 
+def test_op6_query(spark, tmp_path):
+    rows = near_rows(3)
+    spark.createDataFrame(rows, DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.op6_jaccard_join(spark, str(tmp_path)).collect()}
+    assert got == {r[0]: c for r, c in zip(rows, _brute_classes(rows))}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (40, 41)]
     got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}
@@ -360,11 +390,27 @@ def test_decontamination(spark, monkeypatch):
     assert sorted(map(key, decontaminate.decontaminate(d, b).collect())) == sorted(map(key, out.collect()))
 
 
-def test_decontamination_of_awkward_rows(spark, awkward):
-    b = spark.createDataFrame([(1, "word " * 12)], "item_id bigint, text string")
-    out = decontaminate.decontaminate(awkward, b)
-    assert out.columns == awkward.columns and out.count() == len(AWKWARD) - 1
+@pytest.mark.parametrize("limit", [decontaminate.BROADCAST_BYTES, 0])
+def test_decontamination_of_awkward_rows(spark, awkward, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(decontaminate, "SHARD_GRAMS", 2)
+    b = spark.createDataFrame([(1, "word " * 12), (2, prose(random.Random(3), 40)), (3, None), (4, ""), (5, "too short")], "item_id bigint, text string")
+    clash = awkward.withColumn("__starts", F.lit(1)).withColumn("starts", F.lit(2)).withColumn("n_chars", F.lit("many")).withColumn("key", F.lit(0))
+    out = decontaminate.decontaminate(clash, b)
+    assert out.columns == clash.columns and out.count() == len(AWKWARD) - 1
+    leak = spark.createDataFrame([(1, prose(random.Random(4), 20000) + " " + prose(random.Random(3), 40), "x")], DOC + ", n_chars string")
+    (r,) = decontaminate.decontaminate(leak, b).collect()
+    assert r["text"].strip() == prose(random.Random(4), 20000) and r["n_chars"] == "x"
     assert decontaminate.decontaminate(awkward, b.where("false")).count() == len(AWKWARD)
+    assert decontaminate.decontaminate(awkward.where("false"), b).count() == 0
+    assert decontaminate.contamination_report(awkward.where("false"), b.where("false")).count() == 0
+
+
+def test_equal_hashes_are_told_apart():
+    grams = [f"a{i} b c d e f g h" for i in range(5)]
+    part = decontaminate._Part.of(grams, 8)
+    part.hashes = np.full(5, 7, np.uint64)
+    assert part.has(0, np.uint64(7), grams[3].encode()) and not part.has(0, np.uint64(7), b"z b c d e f g h")
 
 
 # --- 8
@@ -386,11 +432,27 @@ def test_language_on_held_out_rows(spark):
 
 
 def test_language_of_awkward_rows(spark, awkward):
+    clash = awkward.withColumn("confidence", F.lit("z")).withColumn("predicted", F.lit(1))
     none = langid.fit(awkward.withColumn("lang", F.lit(None).cast("string")))
+    one = langid.fit(clash.withColumn("lang", F.lit("xx")))
+    assert langid.keep_identified(clash, one).columns == clash.columns
+    got = langid.identify_language(clash, one).collect()
+    assert len(got) == len(AWKWARD) and [r["rejected"] for r in got if r["doc_id"] in (1, 2, 3, 4)] == [True] * 4
     assert all(r["rejected"] for r in langid.identify_language(awkward, none).collect())
     assert langid.identify_language(awkward.where("false"), none).count() == 0
 
 
+def test_language_rejects_texts_in_no_language(spark):
+    root = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{root}/documents.parquet")
+    model = langid.fit(docs)
+    rng = random.Random(4)
+    odd = [(i, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzäéñ") for _ in range(rng.randint(2, 9))) for _ in range(40))) for i in range(200)]
+    assert sum(r["rejected"] for r in langid.identify_language(spark.createDataFrame(odd, DOC), model).collect()) >= 190
+    found = langid.identify_language(docs.where("lang IS NOT NULL AND text IS NOT NULL"), model).agg(F.mean(F.col("rejected").cast("double"))).first()[0]
+    assert found < 0.01
+
+
 # --- 9
 
 
@@ -432,6 +494,17 @@ def test_html(spark):
     assert ratio.argmax() == 2 and ratio[1] > 0
 
 
+def test_pages_that_do_not_parse(spark):
+    for page in ("<![foo[ x ]]>", "<![^x", "<!DOCTYPE", "<!", "<![CDATA[", "<!--", "&#xZZ;", "<p" * 50, "<![if x]>a<![endif]>"):
+        html.extract(page)
+    assert html.extract("<p>one two three</p><![foo[ x ]]><p>four</p>")[0].split() == ["one", "two", "three", "four"]
+    long = "<div>" + "<p>some words of a long page</p>" * 60_000
+    pages = spark.createDataFrame([(1, "<![foo[ x ]]>", "k"), (2, long, "k")], "page_id bigint, html string, text string")
+    got = {r["page_id"]: r for r in html.extract_pages(pages).collect()}
+    assert got[1]["text"] == "" and got[2]["n_lines"] == 60_000 and got[2]["text"].count("words") == 60_000
+    assert html.extract_pages(pages.where("false")).count() == 0
+
+
 # --- pipeline
 
 

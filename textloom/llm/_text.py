@@ -16,6 +16,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text handled at once inside a Python worker; bounds numpy scratch space.
 SLICE_BYTES = 1 << 20
+#: And rows, at most.
+SLICE_ROWS = 1 << 15
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -55,7 +57,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
         start = 0
         while start < len(ends):
             base = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
+            stop = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(ends, base + limit, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

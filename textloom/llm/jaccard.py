@@ -5,8 +5,9 @@ in size and in their whole prefix collapse into one group.  Under a global
 order (frequent grams last) two sets of Jaccard similarity >= t share a gram
 of their prefixes and have sizes within a factor t, so groups are met on
 prefix grams; pairs of groups are filtered by size and parity bitmaps, expanded to
-member sets and verified exactly.  The join is exact: no cap on
-postings, partners or members.
+member sets and verified on the whole sets of gram hashes.  Members of one
+group are met on the prefixes of what their sets have beyond the common
+prefix.  No cap on postings, partners or members.
 
 What moves: prefix grams and candidate pairs travel as packed numpy blobs, one
 row for a bucket and task; texts never move.  Sets lie in memory-mapped files
@@ -26,15 +27,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import _store, _text, setstore
+from . import _memory, _store, _text, setstore
 
 N = 3
 THRESHOLD = 0.6
 #: Prefix grams met in one bucket, about; the number of buckets grows with the corpus.
-BUCKET_GRAMS = 4_000_000
+BUCKET_GRAMS = 2_000_000
+#: Pairs of sets verified by one task, about.
+TASK_PAIRS = 40_000
 #: Frequent grams broadcast to order the others before them, at most.  Only the order, not the result, depends on it.
 MAX_FREQUENT = 2_000_000
-_PAIR_CHUNK = 1_500_000
+_PAIR_CHUNK = 500_000
+#: Bytes of bitmaps that are compared at once, about.
+_BITMAP_BYTES = 32 << 20
 _MASK = np.uint64((1 << setstore.GRAM_BITS) - 1)
 
 
@@ -43,7 +48,7 @@ def _prefix(size: np.ndarray | int, t: float):
 
 
 def _sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams of each text (40 bits) ordered by text, then value; and the n+1 offsets."""
+    """Distinct grams of each text (hashes of GRAM_BITS bits) ordered by text, then value; and the n+1 offsets."""
     w, at = _text.word_hashes(_text.normalise(texts))
     g, of = _text.gram_hashes(w, at, n)
     g = g & _MASK
@@ -79,7 +84,7 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         if seen:
             yield flush()
 
-    found = docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    found = docs.select("text").mapInArrow(_memory.lean(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "gram").limit(MAX_FREQUENT).toArrow()
     grams, count = top.column("gram").to_numpy().astype(np.uint64), top.column("n").to_numpy()
     order = np.argsort(grams)
@@ -107,7 +112,12 @@ class _Order:
 
 
 class NearPairs:
-    """The stages of the join over one table; ``sets`` (sid, doc_ids, sig...) and ``pairs`` (a, b, jaccard) are written tables."""
+    """The stages of the join over one table, as written tables.
+
+    ``placed`` (doc_id, sid?, sig_a, sig_b) has every row, without a sid where
+    there is no word; ``sets`` (sid, sig_a, sig_b, rows, least_id) every
+    distinct set; ``pairs`` (a, b, jaccard) the linked sets.
+    """
 
     def __init__(self, docs: DataFrame, n: int = N, t: float = THRESHOLD):
         self.spark, self.n, self.t = docs.sparkSession, n, t
@@ -115,12 +125,15 @@ class NearPairs:
         self.folder = _store.local_path(_store.new_dir(self.spark, "gram-sets"))
         self.placed = self._write_sets()
         # the first row of each distinct set stands for all of them
-        self.sets = _store.settle(
-            self.placed.groupBy("sig_a", "sig_b").agg(F.min("sid").alias("sid"), F.first("group_key").alias("group_key"), F.first("prefix").alias("prefix"), F.sort_array(F.collect_list("doc_id")).alias("doc_ids"), F.count("*").alias("rows")),
-            "distinct-sets",
-        )
-        # written here: otherwise one stage would run the Python workers of both its ends at once
-        self.pairs = self._verify(self._expand(_store.settle(self._candidates(), "group-pairs")))
+        first = F.min(F.struct("sid", "group_a", "group_b", "size")).alias("first")
+        distinct = self.placed.where("sid IS NOT NULL").groupBy("sig_a", "sig_b").agg(first, F.count("*").alias("rows"), F.min("doc_id").alias("least_id"))
+        self.sets = _store.settle(distinct.select("first.*", "sig_a", "sig_b", "rows", "least_id"), "distinct-sets")
+        # each step is written: otherwise one stage would run the Python workers of both its ends at once
+        found = _store.settle(self._candidates(), "group-pairs")
+        wide = _store.settle(self._expand(found), "set-pairs")
+        self.pairs = self._verify(wide)
+        _store.discard(found, wide, self.members, self.groups)
+        _store.discard_folder(self.folder)
 
     def _write_sets(self) -> DataFrame:
         order = self.spark.sparkContext.broadcast(_Order(*_frequent(self.docs, self.n)))
@@ -142,107 +155,123 @@ class NearPairs:
                 grams, at = _sets(b.column("text").cast(pa.string()), n)
                 size = np.diff(at)
                 owner = np.repeat(np.arange(len(size)), size)
-                grams = grams[np.lexsort((order.value.key(grams), owner))]
+                # keys have a bit more than grams, and a slice has at most SLICE_ROWS rows
+                grams = grams[np.argsort(owner.astype(np.uint64) << np.uint64(setstore.GRAM_BITS + 1) | order.value.key(grams))]
                 sig = _signature(grams, at)
                 k = _prefix(size, t)
                 inner = np.arange(len(grams)) - at[:-1][owner] < k[owner]
-                mixed = np.concatenate([[np.uint64(0)], np.cumsum(np.where(inner, _text.mix64(grams + np.uint64(7)), np.uint64(0)), dtype=np.uint64)])
-                group = _text.mix64((mixed[at[1:]] - mixed[at[:-1]]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                rows = np.flatnonzero(size)
-                sid = []
-                for i in rows.tolist():
+                group = []
+                for salt in (7, 0x51ED270B):  # 128 bits of size and prefix
+                    mixed = np.concatenate([[np.uint64(0)], np.cumsum(np.where(inner, _text.mix64(grams + np.uint64(salt)), np.uint64(0)), dtype=np.uint64)])
+                    group.append(_text.mix64((mixed[at[1:]] - mixed[at[:-1]]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                sid = np.zeros(len(size), np.int64)
+                for i in np.flatnonzero(size).tolist():
                     raw = setstore.record(grams[at[i] : at[i + 1]])
                     f.write(raw)
-                    sid.append(number << setstore.OFFSET_BITS | done)
+                    sid[i] = number << setstore.OFFSET_BITS | done
                     done += len(raw)
                 f.flush()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").take(pa.array(rows)), pa.array(sid, pa.int64()), pa.array(k[rows]), pa.array(group[rows].view(np.int64)), pa.array(sig[rows, 0].view(np.int64)), pa.array(sig[rows, 1].view(np.int64))],
-                    ["doc_id", "sid", "prefix", "group_key", "sig_a", "sig_b"],
+                    [b.column("doc_id"), pa.array(sid, mask=size == 0), pa.array(size), *(pa.array(x.view(np.int64)) for x in (*group, np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1])))],
+                    ["doc_id", "sid", "size", "group_a", "group_b", "sig_a", "sig_b"],
                 )
 
-        return _store.settle(self.docs.mapInArrow(run, "doc_id bigint, sid bigint, prefix bigint, group_key bigint, sig_a bigint, sig_b bigint"), "set-places")
+        out = _store.settle(self.docs.mapInArrow(_memory.lean(run), "doc_id bigint, sid bigint, size bigint, group_a bigint, group_b bigint, sig_a bigint, sig_b bigint"), "set-places")
+        order.unpersist()
+        return out
 
     def _candidates(self) -> DataFrame:
-        """Pairs (a, b) of group ids that share a prefix gram and whose sizes allow t; a < b, each pair once."""
-        self.groups = self.sets.groupBy("group_key").agg(F.min("sid").alias("gid"), F.first("prefix").alias("prefix"), F.sort_array(F.collect_list("sid")).alias("sids"))
-        total, count = self.sets.agg(F.sum("prefix"), F.count("*")).first()
-        buckets = max(1, -(-(total or 0) // BUCKET_GRAMS))
+        """Pairs (a, b) of sets that stand for groups and share a prefix gram, or that lie in one group and share a gram of the prefix of what is left.
+
+        Sizes allow t, a < b, each pair once.  Two sets of one group agree in
+        size s and in k prefix grams; to overlap in o grams they must share
+        o - k of the s - k others, hence one of the first s - o + 1 of these.
+        """
         folder, t = self.folder, self.t
+        groups = self.sets.groupBy("group_a", "group_b").agg(F.min("sid").alias("gid"), F.count("*").alias("n"), F.min("size").alias("size"))
+        self.groups = _store.settle(groups, "set-groups")
+        several = self.groups.where("n > 1")
+        self.members = _store.settle(self.sets.join(several.select("group_a", "group_b", "gid"), ["group_a", "group_b"]).select("sid", "gid"), "group-members")
+        total, count = self.groups.agg(F.sum("size"), F.count("*")).first()
+        buckets = max(1, -(-int((total or 0) * (1 - t) + (count or 0)) // BUCKET_GRAMS))
+        entries = self.groups.select(F.col("gid").alias("sid"), F.when(F.col("n") > 1, -2).otherwise(-1).cast("bigint").alias("inside")).unionByName(self.members.select("sid", F.col("gid").alias("inside")))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader = setstore.Reader(folder)
-            held: list[tuple[np.ndarray, int, int]] = []
+            held: list[tuple[np.ndarray, int, int, int]] = []
             room = 0
 
             def flush():
-                grams = np.concatenate([g for g, _, _ in held])
-                owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(g) for g, _, _ in held])
-                ids, sizes = np.array([i for _, i, _ in held], np.int64), np.array([s for _, _, s in held], np.uint32)
-                bucket = (_text.mix64(grams) >> np.uint64(24)) % np.uint64(buckets)
+                grams, lengths = np.concatenate([x[0] for x in held]), np.array([len(x[0]) for x in held])
+                owner = np.repeat(np.arange(len(held), dtype=np.uint32), lengths)
+                ids, sizes, firsts = (np.array([x[k] for x in held], kind) for k, kind in ((1, np.int64), (2, np.uint32), (3, np.int64)))
+                index = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths) < firsts[owner]
+                bucket = ((_text.mix64(grams) >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint32)
                 order = np.argsort(bucket, kind="stable")
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                out = []
-                for k in range(buckets):
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint32))
+                grams = grams.astype(np.uint32)
+                for k in np.flatnonzero(np.diff(cut)).tolist():
                     mine = order[cut[k] : cut[k + 1]]
-                    if len(mine):
-                        who, index = np.unique(owner[mine], return_inverse=True)
-                        out.append((k, grams[mine].astype(np.uint32).tobytes(), index.astype(np.uint32).tobytes(), np.diff(ids[who], prepend=0).tobytes(), sizes[who].tobytes()))  # ids ascend: differences compress
-                return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], ["bucket", "grams", "owner", "ids", "sizes"])
+                    who, at, count = np.unique(owner[mine], return_index=True, return_counts=True)
+                    some = np.add.reduceat(index[mine], at, dtype=np.uint32)
+                    # of each owner in turn: its grams, how many, how many of them in front; ids ascend, differences compress
+                    parts = (setstore.planes(grams[mine]), setstore.planes(count.astype(np.uint32)), setstore.planes(some), setstore.planes(np.diff(ids[who], prepend=0)), setstore.planes(sizes[who]))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((k, *parts), (pa.int32(), *[pa.binary()] * 5))], ["bucket", "grams", "counts", "fronts", "ids", "sizes"])
 
             for b in batches:
-                for gid, k, several in zip(*(b.column(c).to_pylist() for c in ("gid", "prefix", "several"))):
-                    held.append((reader.grams(gid, k), gid, reader.size(gid) | several << 31))
-                    room += k
+                for sid, inside in zip(b.column("sid").to_pylist(), b.column("inside").to_pylist()):
+                    size = reader.size(sid)
+                    k = int(_prefix(size, t))
+                    both = int(np.ceil(2 * t / (1 + t) * size - 1e-9))
+                    if inside < 0:
+                        held.append((reader.grams(sid, k), sid, size | (inside == -2) << 31, size - both + 1))
+                    else:
+                        need = both - k
+                        rest = reader.grams(sid, size - k - need + 1 + k)[k:] if need > 0 else np.zeros(1, np.uint64)
+                        held.append((_text.mix64(rest ^ _text.mix64(np.array([inside], np.uint64))) & _MASK, sid, size, size))
+                    room += len(held[-1][0])
                     if room >= BUCKET_GRAMS:
-                        yield flush()
+                        yield from flush()
                         held.clear()
                         room = 0
             if held:
-                yield flush()
+                yield from flush()
 
-        blobs = (
-            self.groups.select("gid", "prefix", (F.size("sids") > 1).cast("int").alias("several")).repartitionByRange(max(1, -(-int(count) // 4000)), "gid").sortWithinPartitions("gid")
-            .mapInArrow(emit, "bucket int, grams binary, owner binary, ids binary, sizes binary").repartition(buckets, "bucket")
-        )
+        blobs = entries.repartitionByRange(max(1, -(-int(count or 0) // 4000)), "sid").sortWithinPartitions("sid").mapInArrow(_memory.lean(emit), "bucket int, grams binary, counts binary, fronts binary, ids binary, sizes binary")
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by: dict[int, list[tuple[bytes, ...]]] = {}
-            for b in batches:
-                for k, *parts in zip(*(b.column(i).to_pylist() for i in range(5))):
-                    by.setdefault(k, []).append(tuple(parts))
-            reader = setstore.Reader(folder)
-            for k in list(by):
-                yield from _pack(*_bounded(reader, *_meet(by.pop(k), t), t), buckets)
+            parts = [row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(1, 6)))]
+            if parts:
+                yield from _pack(*_bounded(setstore.Reader(folder), *_meet(parts, t), t), buckets)
 
-        packed = blobs.mapInArrow(meet, "bucket int, ids binary, a binary, b binary").repartition(buckets, "bucket")
+        # a partition is a bucket
+        packed = blobs.repartitionById(buckets, F.col("bucket")).mapInArrow(_memory.lean(meet), "bucket int, ids binary, a binary, b binary")
 
         def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by: dict[int, list[np.ndarray]] = {}
+            found = []
             for b in batches:
-                for k, ids, x, y in zip(*(b.column(i).to_pylist() for i in range(4))):
-                    ids = np.frombuffer(ids, np.int64)
-                    by.setdefault(k, []).append(np.stack([ids[np.frombuffer(x, np.uint32)], ids[np.frombuffer(y, np.uint32)]], 1))
-            for k in list(by):
-                both = np.concatenate(by.pop(k))
-                order = np.lexsort((both[:, 1], both[:, 0]))
-                both = both[order]
-                new = np.concatenate([[True], (both[1:] != both[:-1]).any(1)])
-                both = both[new]
+                for ids, x, y in zip(*(b.column(i).to_pylist() for i in range(1, 4))):
+                    ids = np.cumsum(setstore.from_planes(ids, np.int64))
+                    found.append(np.stack([ids[np.cumsum(setstore.from_planes(x, np.uint32))], ids[setstore.from_planes(y, np.uint32)]], 1))
+                if sum(map(len, found)) > 4 * _PAIR_CHUNK:
+                    found = [_distinct(np.concatenate(found))]
+            if found:
+                both = _distinct(np.concatenate(found))
                 for i in range(0, len(both), 50_000):
                     yield pa.RecordBatch.from_arrays([pa.array(both[i : i + 50_000, 0]), pa.array(both[i : i + 50_000, 1])], ["a", "b"])
 
-        return packed.mapInArrow(once, "a bigint, b bigint")
+        return packed.repartitionById(buckets, F.col("bucket")).mapInArrow(_memory.lean(once), "a bigint, b bigint")
 
-    def _expand(self, group_pairs: DataFrame) -> DataFrame:
-        """Pairs of sets from pairs of groups; also all pairs within a group."""
-        several = _store.settle(self.groups.where(F.size("sids") > 1).select("gid", "sids"), "set-groups")
-        out = group_pairs
+    def _expand(self, found: DataFrame) -> DataFrame:
+        """Pairs of sets: those of one group as they are, others as all members of the one with all of the other."""
+        of = lambda s: self.members.select(F.col("sid").alias(s), F.col("gid").alias(f"g{s}"))
+        with_groups = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        inside = with_groups.where("ga = gb").select("a", "b")
+        out = with_groups.where("NOT (ga <=> gb AND ga IS NOT NULL) AND a = coalesce(ga, a) AND b = coalesce(gb, b)").select("a", "b")
         for side in ("a", "b"):
-            members = several.select(F.col("gid").alias(side), F.col("sids").alias("more"))
-            out = out.join(members, side, "left").withColumn(side, F.explode(F.coalesce("more", F.array(side)))).drop("more")
-        inside = several.select(F.explode("sids").alias("a"), "sids").select("a", F.explode("sids").alias("b")).where("a < b")
-        return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(inside)
+            out = out.join(self.members.select(F.col("gid").alias(side), F.col("sid").alias("more")), side, "left").withColumn(side, F.coalesce("more", side)).drop("more")
+        out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(inside)
+        return out
 
     def _verify(self, candidates: DataFrame) -> DataFrame:
         folder, t = self.folder, self.t
@@ -281,23 +310,35 @@ class NearPairs:
                 good = np.flatnonzero((shared > 0) & (shared >= t * both - 1e-9))
                 yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(shared[good] / both[good])], ["a", "b", "jaccard"])
 
-        return _store.settle(candidates.mapInArrow(run, "a bigint, b bigint, jaccard double"), "near-pairs")
+        # as many tasks as pairs ask for; all pairs of a set in one task, as its grams are read once
+        tasks = max(1, -(-candidates.count() // TASK_PAIRS))
+        spread = candidates.withColumn("task", F.pmod(F.xxhash64("a", (F.xxhash64("b") % 4)), F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task")).select("a", "b")
+        return _store.settle(spread.mapInArrow(_memory.lean(run), "a bigint, b bigint, jaccard double"), "near-pairs")
+
+
+def _distinct(both: np.ndarray) -> np.ndarray:
+    """The distinct rows of an array of two columns, sorted."""
+    both = both[np.lexsort((both[:, 1], both[:, 0]))]
+    return both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])] if len(both) else both
 
 
 def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs of group ids that share a gram of this bucket within the size bound; whether either has several sets."""
-    base, grams, owner, ids, sizes = 0, [], [], [], []
-    for g, o, i, s in parts:
-        grams.append(np.frombuffer(g, np.uint32))
-        owner.append(np.frombuffer(o, np.uint32).astype(np.int64) + base)
-        ids.append(np.cumsum(np.frombuffer(i, np.int64)))
-        sizes.append(np.frombuffer(s, np.uint32).astype(np.int64))
-        base += len(ids[-1])
-    gram, own, ids, size = np.concatenate(grams), np.concatenate(owner), np.concatenate(ids), np.concatenate(sizes)
+    grams, counts, fronts, ids, sizes = [], [], [], [], []
+    for g, c, f, i, s in parts:
+        grams.append(setstore.from_planes(g, np.uint32))
+        counts.append(setstore.from_planes(c, np.uint32))
+        fronts.append(setstore.from_planes(f, np.uint32))
+        ids.append(np.cumsum(setstore.from_planes(i, np.int64)))
+        sizes.append(setstore.from_planes(s, np.uint32).astype(np.int64))
+    gram, count, some, ids, size = (np.concatenate(x) for x in (grams, counts, fronts, ids, sizes))
+    own = np.repeat(np.arange(len(ids), dtype=np.int32), count)
+    front = np.arange(len(gram)) - np.repeat(np.cumsum(count) - count, count) < some[own]
     names, dense = np.unique(ids, return_inverse=True)
-    own = dense[own]
-    of_name, several = np.zeros(len(names), np.int64), np.zeros(len(names), bool)
-    of_name[dense], several[dense] = size & 0x7FFFFFFF, size >> 31
+    own = dense.astype(np.int32)[own]
+    of_name = np.zeros(len(names), np.int64)
+    of_name[dense] = size & 0x7FFFFFFF
+    several = np.bincount(dense, size >> 31, len(names)) > 0
     order = np.argsort(gram, kind="stable")
     gram = gram[order]
     run = np.concatenate([[0], np.cumsum(gram[1:] != gram[:-1])])
@@ -305,14 +346,16 @@ def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndar
     gram, own = gram[twice], own[order][twice]
     if not len(gram):
         return names[:0], names[:0], several[:0]
+    front = front[order][twice]
     order = np.lexsort((own, of_name[own], gram))
-    gram, own = gram[order], own[order]
+    gram, own, front = gram[order], own[order], front[order]
     s = of_name[own]
-    # the partners of an entry are those after it in its run whose size is at most size / t
+    # the partners of an entry are those after it in its run whose size is at most size / t; to overlap enough
+    # with one as large or larger, a set must share one of its first size - 2t / (1 + t) size + 1 grams
     run = np.concatenate([[0], np.cumsum(gram[1:] != gram[:-1])])
     top = int(s.max()) + 2
     reach = np.searchsorted(run * top + s, run * top + np.minimum(np.floor(s / t + 1e-9).astype(np.int64), top - 1), "right")
-    count = reach - np.arange(len(s)) - 1
+    count = np.where(front, reach - np.arange(len(s)) - 1, 0)
     ends = np.cumsum(count)
     found, i = [], 0
     kept = np.zeros(0, np.int64)
@@ -321,7 +364,7 @@ def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndar
         c = count[i:j]
         left = np.repeat(np.arange(i, j), c)
         right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
-        x, y = own[left], own[right]
+        x, y = own[left].astype(np.int64), own[right].astype(np.int64)
         found.append(np.unique((np.minimum(x, y) * len(names) + np.maximum(x, y))[x != y]))
         if sum(map(len, found)) > 2 * _PAIR_CHUNK or j == len(s):
             kept = np.unique(np.concatenate([kept, *found]))
@@ -340,16 +383,24 @@ def _bounded(reader: setstore.Reader, a: np.ndarray, b: np.ndarray, several: np.
         return a, b
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
     names = ids.tolist()
-    maps, size = np.empty((len(names), setstore.BITMAP_BITS // 64), np.uint64), np.empty(len(names), np.int64)
-    for i, name in enumerate(names):
-        size[i], maps[i] = reader.head(name)
+    size = np.array([reader.size(i) for i in names], np.int64)
     x, y = at[: len(a)], at[len(a) :]
-    keep = np.empty(len(a), bool)
-    for i in range(0, len(x), 4096):
-        p, q = x[i : i + 4096], y[i : i + 4096]
-        apart = np.bitwise_count(maps[p] ^ maps[q]).sum(1, dtype=np.int64)
-        keep[i : i + 4096] = (size[p] + size[q] - apart) // 2 >= np.ceil(t / (1 + t) * (size[p] + size[q]) - 1e-9)
-    keep |= several
+    keep = several.copy()
+    bits = np.array([setstore.bitmap_bits(s) for s in size.tolist()])
+    bits = np.minimum(bits[x], bits[y])
+    for n in np.unique(bits).tolist():
+        mine = np.flatnonzero((bits == n) & ~several)
+        step = max(1, _BITMAP_BYTES * 8 // n)
+        for i in range(0, len(mine), step):  # pairs in order of x, so that few bitmaps are read anew
+            some = mine[i : i + step]
+            used, where = np.unique(np.concatenate([x[some], y[some]]), return_inverse=True)
+            maps = np.stack([reader.bitmap(names[k], int(size[k]), n) for k in used.tolist()])
+            for j in range(0, len(some), max(1, step // 16)):
+                own = slice(j, j + max(1, step // 16))
+                p, q = where[: len(some)][own], where[len(some) :][own]
+                apart = np.bitwise_count(maps[p] ^ maps[q]).sum(1, dtype=np.int64)
+                total = size[x[some[own]]] + size[y[some[own]]]
+                keep[some[own]] = (total - apart) // 2 >= np.ceil(t / (1 + t) * total - 1e-9)
     return a[keep], b[keep]
 
 
@@ -359,42 +410,48 @@ def _pack(a: np.ndarray, b: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch
     order = np.argsort(bucket, kind="stable")
     low, high, bucket = low[order], high[order], bucket[order]
     cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    out = []
-    for k in range(buckets):
-        if cut[k] < cut[k + 1]:
-            x, y = low[cut[k] : cut[k + 1]], high[cut[k] : cut[k + 1]]
-            ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-            at = np.sort(at[: len(x)].astype(np.uint64) << np.uint64(32) | at[len(x) :].astype(np.uint64))  # in order, so that it compresses
-            out.append((k, ids.tobytes(), (at >> np.uint64(32)).astype(np.uint32).tobytes(), at.astype(np.uint32).tobytes()))
-    if out:
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "a", "b"])
+    for k in np.flatnonzero(np.diff(cut)).tolist():
+        x, y = low[cut[k] : cut[k + 1]], high[cut[k] : cut[k + 1]]
+        ids, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        at = np.sort(at[: len(x)].astype(np.uint64) << np.uint64(32) | at[len(x) :].astype(np.uint64))  # in order, so that it compresses
+        row = (k, setstore.planes(np.diff(ids, prepend=0)), setstore.planes(np.diff((at >> np.uint64(32)).astype(np.uint32), prepend=np.uint32(0))), setstore.planes(at.astype(np.uint32)))
+        yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "ids", "a", "b"])
 
 
 def near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """All pairs of documents with n-gram Jaccard similarity >= t, in lists: ``doc_ids, jaccard``.
-
-    Documents with the same gram set stand together.  A row with jaccard 1
-    lists all documents of one set (two or more of them); any other row lists
-    the documents of two different sets, whose similarity it gives: every
-    document of the one set with every document of the other.  A pair's
-    similarity is thus the largest of the rows that list both.
-
-    Texts are compared by lower-cased words (runs of letters, marks, digits);
-    a text of fewer than n words is one gram of all its words; null, empty and
-    wordless texts are similar to nothing.  Repeated rows are documents of
-    their own, so a doc_id may be listed twice; null doc_ids are listed by
-    nobody (a list of fewer than two is left out).  Other columns are not
-    read.  An empty table gives an empty table.
+    """``doc_id, class_id, n_links`` of every row: its class of near duplicates and the number of other rows it is linked to.
+
+    Two rows are linked if the n-gram Jaccard similarity of their texts is at
+    least t; a class is a connected component of links, and ``class_id`` the
+    least doc_id in it (null if all are null).  Every link counts: between
+    different texts it is found and verified, between rows of one gram set
+    (similarity 1) it follows from the set's number of rows.
+
+    Texts are compared by lower-cased words (runs of letters, marks, digits)
+    as sets of hashes of ``setstore.GRAM_BITS`` bits; a text of fewer than n
+    words is one gram of all its words.  Null, empty and wordless texts are
+    similar to nothing: such a row is a class of its own, without links, and
+    its class_id is its doc_id.  Repeated rows are rows of their own, linked
+    to each other; a null doc_id stays null.  Other columns are not read.  An
+    empty table gives an empty table.
     """
     found = NearPairs(docs, n, t)
-    return _listed(found)
+    classes = _classes(found)
+    worded = found.placed.where("sid IS NOT NULL").select("doc_id", "sig_a", "sig_b").join(classes, ["sig_a", "sig_b"]).select("doc_id", "class_id", "n_links")
+    alone = found.placed.where("sid IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    return worded.unionByName(alone)
 
 
-def _listed(found: NearPairs) -> DataFrame:
-    same = found.sets.where(F.size("doc_ids") > 1).select("doc_ids", F.lit(1.0).alias("jaccard"))
-    side = lambda s: found.sets.select(F.col("sid").alias(s), F.col("doc_ids").alias(f"ids_{s}"))
-    two = found.pairs.join(side("a"), "a").join(side("b"), "b").where(F.size("ids_a") + F.size("ids_b") > 1)
-    return same.unionByName(two.select(F.sort_array(F.concat("ids_a", "ids_b")).alias("doc_ids"), "jaccard"))
+def _classes(found: NearPairs) -> DataFrame:
+    """``sig_a, sig_b, class_id, n_links`` of every distinct set."""
+    both = found.pairs.select("a", "b").unionByName(found.pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    weight = found.sets.select(F.col("sid").alias("b"), "rows")
+    links = both.join(weight, "b").groupBy(F.col("a").alias("sid")).agg(F.sum("rows").alias("linked"))
+    roots = components(found.pairs).withColumnRenamed("node", "sid")
+    rooted = found.sets.join(roots, "sid", "left").join(links, "sid", "left").select("sig_a", "sig_b", "rows", "least_id", F.coalesce("root", "sid").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))
+    rooted = _store.settle(rooted, "set-classes")
+    least = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"))
+    return rooted.join(least, "root").select("sig_a", "sig_b", "class_id", (F.col("linked") + F.col("rows") - 1).alias("n_links"))
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -421,14 +478,14 @@ def components(pairs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document left of each group of near duplicates, all columns kept.
 
-    A group is a connected component of the pairs of ``near_duplicates``.  The
-    document with the least doc_id stays (null last), among rows that repeat a
-    doc_id with an equal gram set one stays.  Texts without words stay.
+    A group is a class of ``near_duplicates``.  The document with the least
+    doc_id stays (null last), among rows that repeat a doc_id with an equal
+    gram set one stays.  Texts without words stay.
     """
     spark = docs.sparkSession
     found = NearPairs(docs, n, t)
     roots = components(found.pairs)
-    grouped = found.placed.select("doc_id", "sig_a", "sig_b").join(found.sets.select("sig_a", "sig_b", "sid"), ["sig_a", "sig_b"]).join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    grouped = found.placed.where("sid IS NOT NULL").select("doc_id", "sig_a", "sig_b").join(found.sets.select("sig_a", "sig_b", "sid"), ["sig_a", "sig_b"]).join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     each = grouped.groupBy(F.coalesce("root", "sid").alias("root"), "doc_id", "sig_a", "sig_b").agg(F.count("*").alias("rows"))
     best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "sig_a", "sig_b")).alias("best"), F.sum("rows").alias("n")).where("n > 1")
     decided = each.join(best, "root").withColumn("wins", F.expr("doc_id <=> best.doc_id AND sig_a = best.sig_a AND sig_b = best.sig_b"))
@@ -447,7 +504,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> D
         return kept
     names = [f"`{c}`" for c in docs.columns]
     text_of = F.struct(F.col("text").alias("t"), F.xxhash64(*[F.col(c) for c in names]).alias("h"))
-    one = returned.groupBy("__key").agg(F.min_by(F.struct(*[F.col(c) for c in names]), text_of).alias("row")).select("row.*")
+    one = returned.groupBy(returned.columns[-1]).agg(F.min_by(F.struct(*[F.col(c) for c in names]), text_of).alias("row")).select("row.*")
     return kept.unionByName(one)
 
 
@@ -490,8 +547,9 @@ class _Keys:
 
 
 def _tagged(docs: DataFrame, path: str, shards: int, n: int, winners: bool) -> DataFrame:
-    """Rows whose key is listed as a repeated winner, with that key; or rows not listed at all."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("__key", T.LongType())])
+    """Rows whose key is listed as a repeated winner, with that key as the last column; or rows not listed at all."""
+    extra = _store.free_name(docs, "key")
+    schema = T.StructType([*docs.schema.fields, T.StructField(extra, T.LongType())])
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _Keys(path, shards)
@@ -500,9 +558,9 @@ def _tagged(docs: DataFrame, path: str, shards: int, n: int, winners: bool) -> D
             key = _row_key(b.column("doc_id").cast(pa.int64()), _signature(grams, at).view(np.int64))
             repeated = keys.has(key, True)
             listed = (repeated if winners else repeated | keys.has(key, False)) & (np.diff(at) > 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], [*b.schema.names, "__key"]).filter(pa.array(listed if winners else ~listed))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], [*b.schema.names, extra]).filter(pa.array(listed if winners else ~listed))
 
-    return docs.mapInArrow(pick, schema)
+    return docs.mapInArrow(_memory.lean(pick), schema)
 
 
 def _row_key(ids: pa.Array, sig: np.ndarray) -> np.ndarray:
@@ -520,17 +578,22 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = r"""
-WITH d AS (
-  SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+WITH RECURSIVE d AS (
+  SELECT doc_id, row_number() OVER () AS rid,
+         string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{M}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
 s AS (
-  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  SELECT rid, doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
            ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS g
   FROM d WHERE len(w) > 1 OR w[1] <> ''),
-u AS (SELECT g, list_sort(list(doc_id)) AS ids, row_number() OVER () AS sid FROM s GROUP BY g),
+u AS (SELECT g, count(*) AS n, min(doc_id) AS least, row_number() OVER () AS sid FROM s GROUP BY g),
 x AS (SELECT sid, unnest(g) AS gram FROM u),
 c AS (SELECT a.sid AS a, b.sid AS b, count(*) AS k FROM x a JOIN x b ON a.gram = b.gram AND a.sid < b.sid GROUP BY 1, 2),
-j AS (SELECT list_sort(list_concat(p.ids, q.ids)) AS doc_ids, k / (len(p.g) + len(q.g) - k) AS jaccard
-      FROM c JOIN u p ON p.sid = c.a JOIN u q ON q.sid = c.b WHERE k >= 0.6 * (len(p.g) + len(q.g) - k) - 1e-9)
-SELECT doc_ids, jaccard FROM j
-UNION ALL SELECT ids, 1.0 FROM u WHERE len(ids) > 1
+j AS (SELECT a, b FROM c JOIN u p ON p.sid = c.a JOIN u q ON q.sid = c.b WHERE k >= 0.6 * (len(p.g) + len(q.g) - k) - 1e-9),
+e AS (SELECT a, b FROM j UNION ALL SELECT b, a FROM j),
+r AS (SELECT sid AS a, sid AS b FROM u UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT r.a AS sid, min(least) AS class_id FROM r JOIN u ON u.sid = r.b GROUP BY r.a),
+l AS (SELECT e.a AS sid, sum(u.n) AS linked FROM e JOIN u ON u.sid = e.b GROUP BY e.a),
+f AS (SELECT g, class_id, coalesce(linked, 0) + n - 1 AS n_links FROM u JOIN m USING (sid) LEFT JOIN l USING (sid))
+SELECT d.doc_id, CASE WHEN s.rid IS NULL THEN d.doc_id ELSE f.class_id END AS class_id, CAST(coalesce(f.n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN s USING (rid) LEFT JOIN f ON f.g = s.g
 """

@@ -1,32 +1,36 @@
 """Gram sets of documents in memory-mapped files of the shared folder.
 
 A set's id is its place: file number << 36 | byte offset.  A record holds the
-size, a parity bitmap (a bound on overlaps without reading the set), and the
-grams as 40-bit values in the global order, rare ones first, so that a prefix
-of the set is a prefix of the record.
+size, a parity bitmap (a bound on overlaps without reading the set; its length
+follows the size), and the grams as 48-bit values in the global order, rare
+ones first, so that a prefix of the set is a prefix of the record.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-BITMAP_BITS = 4096
-_WORDS = BITMAP_BITS // 64
-_HEAD = 8 + 8 * _WORDS
-GRAM_BITS = 40
+LEAST_BITS, MOST_BITS = 512, 1 << 17
+GRAM_BITS = 48
 OFFSET_BITS = 36
 _OFFSET = (1 << OFFSET_BITS) - 1
 
 
+def bitmap_bits(size: int) -> int:
+    """About four bits for a gram, a power of two."""
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (4 * size - 1).bit_length()))
+
+
 def record(grams: np.ndarray) -> bytes:
-    """``grams``: 40-bit values in global order."""
-    bits = np.bincount((grams & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
+    """``grams``: 48-bit values in global order."""
+    n = bitmap_bits(len(grams))
+    bits = np.bincount((grams & np.uint64(n - 1)).astype(np.int64), minlength=n) & 1
     return b"".join(
         [
             len(grams).to_bytes(8, "little"),
             np.packbits(bits.astype(np.uint8), bitorder="little").tobytes(),
             (grams & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes(),
-            (grams >> np.uint64(32)).astype(np.uint8).tobytes(),
+            (grams >> np.uint64(32)).astype(np.uint16).tobytes(),
         ]
     )
 
@@ -46,15 +50,26 @@ class Reader:
         at = sid & _OFFSET
         return int.from_bytes(self._file(sid >> OFFSET_BITS)[at : at + 8].tobytes(), "little")
 
-    def head(self, sid: int) -> tuple[int, np.ndarray]:
-        """Size and bitmap."""
-        at = sid & _OFFSET
-        words = np.frombuffer(self._file(sid >> OFFSET_BITS)[at : at + _HEAD].tobytes(), np.uint64)
-        return int(words[0]), words[1:]
+    def bitmap(self, sid: int, size: int, bits: int) -> np.ndarray:
+        """Parity bitmap of a set of ``size``, folded to ``bits`` (a power of two, no more than it has)."""
+        at, have = (sid & _OFFSET) + 8, bitmap_bits(size)
+        words = np.frombuffer(self._file(sid >> OFFSET_BITS)[at : at + have // 8].tobytes(), np.uint64)
+        return np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0)
 
     def grams(self, sid: int, first: int | None = None) -> np.ndarray:
         """The set in global order, or its ``first`` grams."""
-        f, at, n = self._file(sid >> OFFSET_BITS), (sid & _OFFSET) + _HEAD, self.size(sid)
+        n = self.size(sid)
+        f, at = self._file(sid >> OFFSET_BITS), (sid & _OFFSET) + 8 + bitmap_bits(n) // 8
         k = n if first is None else min(n, first)
         low = np.frombuffer(f[at : at + 4 * k].tobytes(), np.uint32).astype(np.uint64)
-        return low | np.frombuffer(f[at + 4 * n : at + 4 * n + k].tobytes(), np.uint8).astype(np.uint64) << np.uint64(32)
+        return low | np.frombuffer(f[at + 4 * n : at + 4 * n + 2 * k].tobytes(), np.uint16).astype(np.uint64) << np.uint64(32)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of an array by significance, which compress where high bytes are zero."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()

@@ -44,28 +44,47 @@ def test_word_hashes_match_python():
 # --- 1
 
 
-def test_neighbours_reach_recall(spark):
-    rng = np.random.default_rng(0)
-    x = (rng.normal(size=(40, 16))[rng.integers(40, size=1500)] * 4 + rng.normal(size=(1500, 16))).astype(np.float32)
-    df = spark.createDataFrame(pa.table({"vec_id": pa.array(range(1500), pa.int64()), "embedding": pa.array(x.tolist(), pa.list_(pa.float32()))}))
-    got = {r["vec_id"]: r["neighbour_ids"] for r in ann.nearest_neighbours(df).collect()}
-    assert len(got) == 1500
+def _recall(got, ids, x):
     hits = 0
-    for i in range(1500):
-        d = ((x.astype(float) - x[i]) ** 2).sum(1)
-        d[i] = np.inf
-        hits += len(set(np.argsort(d)[:10].tolist()) & set(got[i]))
-    assert hits / 15000 >= 0.9
+    for q, found in got.items():
+        d = ((x.astype(float) - x[ids.index(q)]) ** 2).sum(1)
+        d[ids.index(q)] = np.inf
+        hits += len({ids[j] for j in np.argsort(d, kind="stable")[:10]} & set(found))
+    return hits / (10 * len(got))
+
+
+@pytest.mark.parametrize("spread", [4, 0])  # with and without clusters
+def test_neighbours_reach_recall(spark, spread, tmp_path):
+    rng = np.random.default_rng(0)
+    x = (rng.normal(size=(40, 16))[rng.integers(40, size=6000)] * spread + rng.normal(size=(6000, 16))).astype(np.float32)
+    ids = [int(i) for i in rng.permutation(12_000)[:6000]]
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(x.tolist(), pa.list_(pa.float32())), "leaf": pa.array(["x"] * 6000)}))
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: r["neighbour_ids"] for r in ann.op1_nearest_neighbours(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i in ids if i % 100 == 0} and all(len(n) == 10 for n in got.values())
+    assert _recall(got, ids, x) >= 0.95
+    got = {r["vec_id"]: r["neighbour_ids"] for r in ann.nearest_neighbours(df, every=3).collect()}
+    assert set(got) == {i for i in ids if i % 3 == 0} and _recall(got, ids, x) >= 0.93
+
+
+def test_tree_opens_children_only():
+    rng = np.random.default_rng(3)
+    tree = ann.Tree(np.concatenate([np.zeros((1, 2)), rng.normal(size=(12, 2))]).astype(np.float32), [[1, 2, 3], [4, 5, 6], [7, 8, 9], [10, 11, 12], *[[] for _ in range(9)]])
+    q = np.array([[0.3, -0.2]], np.float32)
+    (every,) = tree.visits(q, 9)
+    assert sorted(every) == tree.leaves() and tree.visits(q, 2)[0] == every[:2]
 
 
 def test_neighbours_of_awkward_rows(spark):
     rows = [(1, [0.0, 0.0], 1), (1, [5.0, 5.0], 2), (2, [0.0, 1.0], 3), (3, [5.0, 6.0], 4), (4, None, 5), (None, [1.0, 1.0], 6), (5, [1.0], 7), (6, [float("nan"), 1.0], 8), (7, [None, 1.0], 9)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, distances int")
-    got = {r["vec_id"]: (r["neighbour_ids"], r["distances"]) for r in ann.nearest_neighbours(df, k=2).collect()}
+    got = {r["vec_id"]: (r["neighbour_ids"], r["distances"]) for r in ann.nearest_neighbours(df, k=2, every=1).collect()}
     assert got[1] == ([2, 3], [1.0, 1.0]) and got[2][0] == [1, 3] and set(got) == {1, 2, 3}
-    assert ann.nearest_neighbours(df.where("false")).count() == 0
+    assert ann.nearest_neighbours(df).count() == 0
+    assert ann.nearest_neighbours(df.where("false"), every=1).count() == 0
+    assert ann.nearest_neighbours(df.where("vec_id = 2"), every=2).collect()[0]["neighbour_ids"] == []
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(600)], "vec_id bigint, embedding array<float>")
-    assert all(r["neighbour_ids"] == [i for i in range(11) if i != r["vec_id"]][:10] for r in ann.nearest_neighbours(same).collect())
+    assert all(r["neighbour_ids"] == [i for i in range(11) if i != r["vec_id"]][:10] for r in ann.nearest_neighbours(same, every=7).collect())
 
 
 # --- 2
@@ -97,11 +116,16 @@ def test_bpe_rows(spark, awkward, vocabulary):
 # --- 3
 
 
-def _kneser_ney(texts, order):
-    seqs = [[1] * (order - 1) + [ord(c) for c in t] + [2] for t in texts]
-    count = {order: collections.Counter(tuple(q[i - order + 1 : i + 1]) for q in seqs for i in range(order - 1, len(q)))}
-    for k in range(order - 1, 0, -1):
-        count[k] = collections.Counter(g[1:] for g in count[k + 1])
+def _kneser_ney(texts):
+    """log10 probability of a text by an independent reckoning on strings."""
+    seqs = [["<s>", "<s>", *t.lower().split(), "</s>"] for t in texts]
+    tri = collections.Counter(tuple(q[i - 2 : i + 1]) for q in seqs for i in range(2, len(q)))
+    front = collections.defaultdict(set)
+    for a, b, c in tri:
+        front[b, c].add(a)
+    two = {g: len(a) if g[0] != "<s>" else tri["<s>", "<s>", g[1]] for g, a in front.items()}
+    one = collections.Counter(g[1] for g in two)
+    count = {3: {g: n for g, n in tri.items() if g[1] != "<s>"}, 2: two, 1: {(w,): n for w, n in one.items()}}
     cut = {}
     for k, c in count.items():
         n = [sum(v == j for v in c.values()) for j in (1, 2, 3, 4)]
@@ -120,66 +144,72 @@ def _kneser_ney(texts, order):
         c = count[k].get(g, 0)
         return (c - take(c)) / sum(same) + sum(map(take, same)) / sum(same) * p(g[1:])
 
-    return lambda t: sum(math.log10(p(tuple(q[i - order + 1 : i + 1]))) for q in [[1] * (order - 1) + [ord(c) for c in t] + [2]] for i in range(order - 1, len(q)))
+    return lambda t: sum(math.log10(p(tuple(q[i - 2 : i + 1]))) for q in [["<s>", "<s>", *t.lower().split(), "</s>"]] for i in range(2, len(q)))
 
 
-def test_language_model_equals_brute_force(spark):
-    texts = ["abab cab", "the cat", "", "bca abca", "the the"]
-    docs = spark.createDataFrame([*enumerate(texts), (9, None)], DOC)
-    model = lm.train(docs, 3)
-    want = _kneser_ney(texts, 3)
+@pytest.mark.parametrize(("bucket", "flush"), [(lm.BUCKET_WORDS, lm.FLUSH_WORDS), (40, 12)])
+def test_language_model_equals_brute_force(spark, monkeypatch, bucket, flush):
+    monkeypatch.setattr(lm, "BUCKET_WORDS", bucket)  # many buckets, and words that are split over them
+    monkeypatch.setattr(lm, "FLUSH_WORDS", flush)
+    monkeypatch.setattr(lm, "LAYOUT_SHARE", 1)
+    rng = random.Random(2)
+    texts = ["the cat sat on the mat", "A cat, the cat!", "", "on the  mat\nthe dog sat", "the the the", *[" ".join(rng.choice("the a of cat dog sat mat on in by".split()) for _ in range(rng.randint(1, 40))) for _ in range(30)]]
+    docs = spark.createDataFrame([*enumerate(texts), (99, None)], DOC)
+    model = lm.train(docs)
+    assert bucket > 1000 or (model.layout.buckets > 5 and len(model.layout.hot) > 2)
+    want = _kneser_ney(texts)
     got = {r["doc_id"]: r for r in lm.perplexity(docs, model).collect()}
-    assert got[9]["perplexity"] is None
+    assert got[99]["perplexity"] is None
     for i, t in enumerate(texts):
-        assert abs(got[i]["log10_prob"] - want(t)) < 1e-5 and got[i]["n_symbols"] == len(t) + 1
-    new = ["zzz the q", "abz"]
+        assert abs(got[i]["log10_prob"] - want(t)) < 1e-9 and got[i]["n_words"] == len(t.split()) + 1
+        assert abs(got[i]["perplexity"] - 10 ** (-want(t) / (len(t.split()) + 1))) < 1e-6
+    new = ["zebra on the mat", "mat the on cat the zebra dog"]
     for r in lm.perplexity(spark.createDataFrame([*enumerate(new)], DOC), model).collect():
-        assert abs(r["log10_prob"] - want(new[r["doc_id"]])) < 1e-5
+        assert abs(r["log10_prob"] - want(new[r["doc_id"]])) < 1e-9
+
+
+def test_probabilities_sum_to_one(spark):
+    texts = ["a b a c", "b b a", "c a b c"]
+    docs = spark.createDataFrame([*enumerate(texts)], DOC)
+    model = lm.train(docs)
+    score = {t: 10 ** model.score(pa.array([t]))[0][0] for t in ("a b", "a b a", "a b b", "a b c")}
+    want = _kneser_ney(texts)
+    ends = sum(10 ** (want(f"a b {w}") - want("a b")) for w in "abc")
+    assert ends > 0 and all(0 < p < 1 for p in score.values())
+
+
+def test_arrays_of_many_values(tmp_path):
+    rng = np.random.default_rng(1)
+    prints = rng.choice(1 << 40, 30_000, replace=False).astype(np.uint64)
+    values = np.stack([rng.integers(1, 2000, 30_000), rng.integers(0, 3, 30_000) << 40], 1)
+    lm._write(str(tmp_path), "x", 0, prints, values)
+    f = lm._File(f"{tmp_path}/x-0")
+    got, found = f.find(np.concatenate([prints, prints ^ np.uint64(1)]))
+    assert found[:30_000].all() and (got[:30_000] == values).all() and found[30_000:].sum() < 10
+    lm._write(str(tmp_path), "y", 0, prints[:0], values[:0])
+    assert not lm._File(f"{tmp_path}/y-0").find(prints)[1].any()
 
 
 def test_language_model_of_awkward_rows(spark, awkward):
-    assert lm.perplexity(awkward, lm.train(awkward, 3)).count() == len(AWKWARD)
+    rows = lm.perplexity(awkward, lm.train(awkward)).collect()
+    want = _kneser_ney([t for _, t in AWKWARD if t is not None])
+    assert len(rows) == len(AWKWARD)
+    for r in rows:
+        texts = [t for i, t in AWKWARD if i == r["doc_id"]]
+        assert r["perplexity"] is None if texts[0] is None else abs(r["log10_prob"] - want(texts[0])) < 1e-6 * abs(want(texts[0]))
     empty = awkward.where("false")
-    assert lm.perplexity(awkward, lm.train(empty, 2)).count() == len(AWKWARD)
-    assert lm.perplexity(empty, lm.train(empty, 2)).count() == 0
-
-
-def test_alphabets_too_large_to_pack():
-    rng = random.Random(5)
-    text = "".join(chr(rng.randint(0x4E00, 0x9FA0)) for _ in range(9000))
-    rows, n = lm._count(pa.array([text]), 5)
-    want = collections.Counter(tuple(map(ord, ("\x01" * 4 + text + "\x02")[i : i + 5])) for i in range(len(text) + 1))
-    assert dict(zip(map(tuple, rows.tolist()), n.tolist())) == want
-
-
-def test_word_model_equals_brute_force(spark):
-    texts = ["the cat sat on the mat", "A cat, the cat!", "", "on the  mat\nthe dog sat", "the the the"]
-    new = ["zebra on the mat", "mat the on cat the"]
-    letters = {w: chr(0x4E00 + i) for i, w in enumerate(sorted({w for t in texts + new for w in t.lower().split()}))}
-    coded = lambda t: "".join(letters[w] for w in t.lower().split())
-    docs = spark.createDataFrame([*enumerate(texts), (9, None)], DOC)
-    model = lm.train_words(docs, 3)
-    want = _kneser_ney([coded(t) for t in texts], 3)
-    got = {r["doc_id"]: r for r in lm.perplexity(docs, model).collect()}
-    assert got[9]["perplexity"] is None
-    for i, t in enumerate(texts):
-        assert abs(got[i]["log10_prob"] - want(coded(t))) < 1e-5 and got[i]["n_symbols"] == len(t.split()) + 1
-    for r in lm.perplexity(spark.createDataFrame([*enumerate(new)], DOC), model).collect():
-        assert abs(r["log10_prob"] - want(coded(new[r["doc_id"]]))) < 1e-5
+    assert [r["log10_prob"] for r in lm.perplexity(awkward, lm.train(empty)).collect() if r["doc_id"] == 2] == [0.0]
+    assert lm.perplexity(empty, lm.train(empty)).count() == 0
 
 
-def test_op3_counts_word_ngrams(spark, awkward, tmp_path, monkeypatch):
-    monkeypatch.setattr(lm, "WORD_SHARD_ENTRIES", 3)  # many files
+def test_op3_query(spark, tmp_path):
     docs = spark.createDataFrame([(1, "the cat sat on the mat by the old red door"), (2, "mat on sat cat the the by door red old the")], DOC)
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r for r in lm.op3_lm_perplexity(spark, str(tmp_path)).collect()}
-    want = {r["doc_id"]: r for r in lm.perplexity(docs, lm.train_words(docs)).collect()}
-    assert got[1]["n_symbols"] == 12 and got == want
-    trained = lm.train_words(docs.where("doc_id = 1"))
-    scored = {r["doc_id"]: r["perplexity"] for r in lm.perplexity(docs, trained).collect()}
+    got = {r["doc_id"]: r["log10_prob"] for r in lm.op3_lm_perplexity(spark, str(tmp_path)).collect()}
+    want = _kneser_ney([r["text"] for r in docs.collect()])
+    assert all(abs(got[r["doc_id"]] - want(r["text"])) < 1e-9 for r in docs.collect())
+    scored = {r["doc_id"]: r["perplexity"] for r in lm.perplexity(docs, lm.train(docs.where("doc_id = 1"))).collect()}
     assert scored[2] > 1.5 * scored[1]  # scrambled order
-    assert lm.perplexity(awkward, lm.train_words(awkward)).count() == len(AWKWARD)
-    assert lm.perplexity(awkward, lm.train_words(awkward.where("false"))).count() == len(AWKWARD)
 
 
 # --- 4

@@ -2,11 +2,12 @@
 
 The tree is built level by level over all vectors (Lloyd steps as distributed
 sums).  A query goes through it best bin first: a priority queue holds nodes
-by the distance of their centroid, the nearest is opened, leaves are visited
-as they come up.  The number of visits is widened until the recall measured
-on a calibration sample (against brute force over all vectors) reaches the
-target.  Every vector is a query; leaf members and the queries that visit
-them meet in one shuffle keyed by leaf.
+by the distance of their centroid, the nearest is opened (only then are its
+children's distances taken), leaves are visited as they come up.  The number
+of visits is widened until the recall measured on a calibration sample of the
+queries (against brute force over all vectors) reaches the target.  Queries
+are the vectors whose id is divisible by ``QUERY_EVERY``, candidates are all;
+leaf members and the queries that visit them meet in one shuffle keyed by leaf.
 
 The number of leaves grows with the square root of the number of vectors, so
 the tree that is broadcast stays small, and members of a large leaf (equal
@@ -24,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _memory, _store
+
 K = 10
-RECALL = 0.95
+RECALL = 0.96
+QUERY_EVERY = 100
 BRANCH = 16
 #: Queries whose true neighbours are computed for calibration, about.  All vectors are candidates.
 CALIBRATION_QUERIES = 400
@@ -64,17 +68,17 @@ class Tree:
     def visits(self, x: np.ndarray, most: int) -> list[list[int]]:
         """For each vector its first ``most`` leaves, best bin first."""
         out = []
-        for i in range(0, len(x), 1024):
-            for d in _sq(x[i : i + 1024], self.centroids).tolist():
-                queue, found = [(0.0, 0)], []
-                while queue and len(found) < most:
-                    _, node = heapq.heappop(queue)
-                    kids = self.children[node]
-                    if not kids:
-                        found.append(node)
-                    for c in kids:
-                        heapq.heappush(queue, (d[c], c))
-                out.append(found)
+        for q in x:
+            queue, found = [(0.0, 0)], []
+            while queue and len(found) < most:
+                _, node = heapq.heappop(queue)
+                kids = self.children[node]
+                if not kids:
+                    found.append(node)
+                    continue
+                for d, c in zip(_sq(q[None, :], self.centroids[kids])[0].tolist(), kids):
+                    heapq.heappush(queue, (d, c))
+            out.append(found)
         return out
 
 
@@ -238,7 +242,7 @@ def brute_force(rows: DataFrame, dim: int, query_ids: np.ndarray, queries: np.nd
             if b.num_rows:
                 yield from _top(*shared.value, b.column("vec_id").to_numpy(), _matrix(b.column("embedding"), dim), k)
 
-    return _merge(rows.mapInArrow(run, _FOUND), k)
+    return _merge(rows.mapInArrow(_memory.lean(run), _FOUND), k)
 
 
 def _merge(partial: DataFrame, k: int) -> DataFrame:
@@ -258,14 +262,16 @@ def _merge(partial: DataFrame, k: int) -> DataFrame:
             yield _found(out)
 
     grouped = partial.groupBy("vec_id").agg(F.flatten(F.collect_list("ids")).alias("ids"), F.flatten(F.collect_list("distances")).alias("distances"))
-    return grouped.mapInArrow(run, _FOUND).withColumnRenamed("ids", "neighbour_ids")
+    return grouped.mapInArrow(_memory.lean(run), _FOUND).withColumnRenamed("ids", "neighbour_ids")
 
 
-def calibrate(rows: DataFrame, dim: int, tree: Tree, k: int, recall: float) -> int:
-    """The fewest leaf visits, widening from one, that reach the recall on the calibration sample."""
-    n = rows.count()
+def calibrate(rows: DataFrame, asking: DataFrame, dim: int, tree: Tree, k: int, recall: float) -> int:
+    """The fewest leaf visits, widening from one, that reach the recall on a sample of ``asking``."""
+    n = asking.count()
     bound = int((1 << 30) * min(1.0, CALIBRATION_QUERIES / max(1, n)))
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("calibration"), "vec_id"), F.lit(1 << 30)) < bound).toArrow()
+    sample = asking.where(F.pmod(F.xxhash64(F.lit("calibration"), "vec_id"), F.lit(1 << 30)) < bound).toArrow()
+    if not sample.num_rows:
+        sample = asking.toArrow()  # so few that none was picked
     if not sample.num_rows:
         return len(tree.leaves())
     ids, queries = sample.column("vec_id").to_numpy(), _matrix(sample.column("embedding").combine_chunks(), dim)
@@ -291,20 +297,22 @@ def calibrate(rows: DataFrame, dim: int, tree: Tree, k: int, recall: float) -> i
     return visits
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = K, recall: float = RECALL, branch: int = BRANCH) -> DataFrame:
-    """``vec_id, neighbour_ids, distances``: for every vec_id its k nearest others by Euclidean distance, nearest first.
+def nearest_neighbours(vectors: DataFrame, k: int = K, recall: float = RECALL, branch: int = BRANCH, every: int = QUERY_EVERY) -> DataFrame:
+    """``vec_id, neighbour_ids, distances``: for every vec_id divisible by ``every`` its k nearest others among all, by Euclidean distance, nearest first.
 
-    Approximate: recall on a calibration sample is at least ``recall``.
+    Approximate: recall on a sample of the queries is at least ``recall``.
     Unusable rows (see ``clean_vectors``) neither ask nor answer.  An id on
     several rows is one point with several vectors: its distance to another is
     the least of their rows.  Ties in distance go by id.  With k or fewer other
     ids all of them are listed; a single vector has empty lists.  Other
-    columns are not read.  An empty table gives an empty table.
+    columns are not read.  An empty table gives an empty table, and so does one
+    without an id to ask for.
     """
     spark = vectors.sparkSession
     rows, dim = clean_vectors(vectors)
+    rows = _store.settle(rows, "vectors")
     tree = build(rows, dim, branch)
-    visits = calibrate(rows, dim, tree, k, recall)
+    visits = calibrate(rows, rows.where(F.pmod("vec_id", F.lit(every)) == 0), dim, tree, k, recall)
     shared = spark.sparkContext.broadcast(tree)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,9 +336,10 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, recall: float = RECALL, b
                     for p in np.unique(part).tolist():
                         mine = own[part == p]
                         out.append((n, p, 0, ids[mine].tobytes(), x[mine].tobytes()))
-                asked = shared.value.visits(x, visits)
-                to = np.array([n for seq in asked for n in seq])
-                who = np.repeat(np.arange(len(asked)), [len(seq) for seq in asked])
+                asking = np.flatnonzero(ids % every == 0)
+                asked = shared.value.visits(x[asking], visits)
+                to = np.array([n for seq in asked for n in seq], np.int64)
+                who = np.repeat(asking, [len(seq) for seq in asked])
                 for n in np.unique(to).tolist():
                     mine = who[to == n]
                     for p in range(parts.value.get(n, 0)):
@@ -353,8 +362,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = K, recall: float = RECALL, b
                 if ids:
                     yield from _top(i, v, ids[0], vectors[0], k)
 
-    met = rows.mapInArrow(send, "leaf bigint, part int, kind int, ids binary, vectors binary").repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind")
-    return _merge(met.mapInArrow(search, _FOUND), k)
+    met = rows.mapInArrow(_memory.lean(send), "leaf bigint, part int, kind int, ids binary, vectors binary").repartition("leaf", "part").sortWithinPartitions("leaf", "part", "kind")
+    return _merge(met.mapInArrow(_memory.lean(search), _FOUND), k)
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from textloom.operators import merges as M
 from textloom.operators import metrics as G
 from textloom.operators import rows as R
 from textloom.operators import tokenizers as Z
+from textloom.operators.loader import Loader
 from textloom.sources import files as S
 from textloom.streaming import inference as I
 
@@ -74,9 +75,9 @@ def test_text_operators_over_documents(spark, tmp_path):
 
     rows = [(1, "täst  a\nlong " * 3000), (2, ""), (3, "!!")]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["item_id"]: r["ids"] for r in catalogue.QUERIES["docs_byte_tokenize"](spark, str(tmp_path)).collect()}
+    got = {r["item_id"]: r["ids"] for r in catalogue.QUERIES["byte_tokenize"](spark, str(tmp_path)).collect()}
     assert got == {i: ",".join(map(str, t.encode())) for i, t in rows}
-    got = {r["idx"]: r["input"] for r in catalogue.QUERIES["docs_ws_corrupt_p1"](spark, str(tmp_path)).collect()}
+    got = {r["idx"]: r["input"] for r in catalogue.QUERIES["ws_corrupt_p1"](spark, str(tmp_path)).collect()}
     assert got == {i: "".join(t.split()) for i, t in rows}
 
 
@@ -224,3 +225,211 @@ def test_entry_without_llm():
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "dict_words_topk" in e.queries()
     assert X.WS
+
+
+def test_switch_branches_keep_their_columns(spark):
+    rows = R.seeded(spark.createDataFrame([(i, "abc def", "abc def", list(range(10)), "z") for i in range(200)], "idx bigint, input string, target string, token_ids array<int>, branch string"))
+    out = R.switch([R.clip_length(3), R.chain(R.clip_length(7), lambda df: df.withColumn("row", F.lit(1)))], [0.5, 0.5])(rows)
+    assert out.columns == [*rows.columns, "row"]
+    got = out.collect()
+    assert {(len(r["token_ids"]), r["row"]) for r in got} == {(3, None), (7, 1)} and all(r["branch"] == "z" for r in got)
+    two = R.chain(R.switch([R.prefix("input", "a"), R.none], [0.5, 0.5]), R.switch([R.prefix("input", "b"), R.none], [0.5, 0.5]))(rows)
+    kinds = {r["input"].removesuffix("abc def") for r in two.collect()}
+    assert kinds == {"", "a", "b", "ba"}  # both draws are their own
+    assert two.collect() == two.collect()
+
+
+def test_steps_for_each_source(spark):
+    rows = R.seeded(spark.createDataFrame([(0, 0, "x", "x"), (1, 1, "x", "x")], "idx bigint, file_idx int, input string, target string"))
+    got = {r["file_idx"]: r["input"] for r in R.per_source([R.prefix("input", "a"), R.prefix("input", "b")])(rows).collect()}
+    assert got == {0: "ax", 1: "bx"}
+    with pytest.raises(Exception):
+        R.per_source([R.prefix("input", "a")])(rows).collect()
+    said = rows.withColumn("input", F.lit('[{"text": "hi", "role": "user"}]')).withColumn("target", F.lit('"q"'))
+    r = R.chain(R.chat_decode("input"), R.json_decode("target"))(said).first()
+    assert r["input"].startswith("<|user|>") and r["target"] == "q"
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    for name, n in (("a", 3000), ("b", 1200)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(f'{{"input": "{name}{i}"}}\n' if i % 7 else "bad\n" for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        paths = [str(tmp_path / f"{x}.jsonl") for x in "ab"]
+        rows = S.read_jsonl(spark, paths)
+        assert rows.rdd.getNumPartitions() > 5
+        got = rows.collect()
+        assert len(got) == sum(1 for n in (3000, 1200) for i in range(n) if i % 7)
+        assert all(r["input"] == "ab"[r["file_idx"]] + str(r["line_no"]) for r in got)
+        mixed = [r["input"] for r in R.merge_sources(rows, "interleaved").orderBy("idx").limit(6).collect()]
+        assert mixed == ["a1", "b1", "a2", "b2", "a3", "b3"]
+        assert S.read_jsonl(spark, paths, max_lines=10).count() == 16
+        assert S.read_jsonl(spark, paths, keep_errors=True).where("error IS NOT NULL").count() == 429 + 172
+        (tmp_path / "dict.txt").write_text("".join(f"term{i % 500}\t{i}\n" for i in range(4000)))
+        assert all(r["freq"] == 3500 + int(r["term"][4:]) for r in S.read_dictionary(spark, str(tmp_path / "dict.txt")).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "any.jsonl").write_text('[1, 2]\n"x"\n3\n')
+    assert S.read_json_values(spark, str(tmp_path / "any.jsonl")).count() == 3
+    assert [r["text"] for r in S.from_iterator(spark, iter(["a", "b", None, "c"])).orderBy("item_idx").collect()] == ["a", "b"]
+
+
+def test_index_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(R, "INDEX_ROWS", 50)
+    rows = spark.createDataFrame([((i * 37) % 400, i) for i in range(400)] + [(7, 900), (7, 901)], "k bigint, range int")
+    got = R.with_index(rows, "k", "range").orderBy("idx").collect()
+    assert [r["idx"] for r in got] == list(range(402)) and [(r["k"], r["range"]) for r in got] == sorted((r["k"], r["range"]) for r in got)
+
+
+def test_compatibility_characters(spark):
+    lines = spark.createDataFrame([("ﬁne ｆｕｌｌ cafe\u0301",), ("fine full caf\u00e9",)], "text string")
+    assert sorted(map(tuple, D.word_dictionary(lines).collect())) == [("café", 2), ("fine", 2), ("full", 2)]
+    assert dict(map(tuple, D.char_dictionary(lines).collect()))["f"] == 6
+    assert D.word_dictionary(lines, max_sequences=1).count() == 3
+    keys = spark.createDataFrame([("ﬁne",), ("ｆｕｌｋ",)], "w string")
+    d = D.word_dictionary(lines)
+    assert {r["w"]: r["freq"] for r in D.lookup(keys, "w", d).collect()} == {"ﬁne": 2, "ｆｕｌｋ": None}
+    assert {r["w"]: (r["term"], r["distance"]) for r in D.closest(keys, "w", d).collect()} == {"ﬁne": ("fine", 0.0), "ｆｕｌｋ": ("full", 1.0)}
+    pairs = spark.createDataFrame([("ﬁne", "fine"), ("cafe\u0301", "café"), ("नमस्ते", "नम")], "a string, b string")
+    assert G.mean_edit_distance(pairs, "a", "b").first()[0] == pytest.approx(1 / 3)
+    assert M.train_bpe(lines.where("text LIKE 'ﬁ%'"), 320) == M.train_bpe(spark.createDataFrame([("fine full café",)], "text string"), 320)
+
+
+def test_closest_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_KEYS", 7)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7)))
+    terms = {word(): rng.randint(1, 4) for _ in range(150)}
+    keys = sorted({word() for _ in range(30)})
+    d = spark.createDataFrame(list(terms.items()), "term string, freq bigint")
+    from textloom.functions import kernels as K
+
+    for normalized in (False, True):
+        got = {r["w"]: (r["term"], r["distance"]) for r in D.closest(spark.createDataFrame([(k,) for k in keys], "w string"), "w", d, normalized).collect()}
+        for k in keys:
+            far = {t: K.edit_distance(k, t, False, False) / (max(len(k), len(t)) if normalized else 1) for t in terms}
+            best = max(terms, key=lambda t: (-far[t], terms[t], t))
+            assert got[k] == (best, pytest.approx(far[best]))
+    assert D.closest(spark.createDataFrame([], "w string"), "w", d).count() == 0
+
+
+def _slow_merges(words, most):
+    words = [[[bytes([b]) for b in w.encode()], f] for w, f in words.items()]
+    merges = []
+    while len(merges) < most:
+        stats = {}
+        for w, f in words:
+            for p in zip(w, w[1:]):
+                stats[p] = stats.get(p, 0) + f
+        if not stats:
+            break
+        best = min(stats, key=lambda p: (-stats[p], p))
+        merges.append(best)
+        for row in words:
+            old, new, k = row[0], [], 0
+            while k < len(old):
+                step = 2 if k + 1 < len(old) and (old[k], old[k + 1]) == best else 1
+                new.append(b"".join(old[k : k + step]))
+                k += step
+            row[0] = new
+    return merges
+
+
+def test_merges_equal_brute_force(spark):
+    rng = random.Random(9)
+    words = {"".join(rng.choice("aab é") for _ in range(rng.randint(1, 9))).strip() or "a": rng.randint(1, 20) for _ in range(60)}
+    words = {"".join(w.split()): f for w, f in words.items()}
+    lines = spark.createDataFrame([((" " + w) * f,) for w, f in words.items()], "text string")
+    want = _slow_merges({" " + w: f for w, f in words.items()}, 100)
+    assert M.train_bpe(lines, 384, 28) == want[:100]
+    t = M.MergeTable(want)
+    for _ in range(50):
+        s = "".join(rng.choice("aab é") for _ in range(30))
+        parts = [bytes([b]) for b in s.encode()]
+        while (found := [(t.rank[p], k) for k, p in enumerate(zip(parts, parts[1:])) if p in t.rank]):
+            _, i = min(found)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert t.encode_word(s) == [t.ids[p] for p in parts]
+
+
+def test_merge_tokenizer_contract(spark, tmp_path):
+    merges = M.train_bpe(spark.createDataFrame([("low lower lowest " * 5,)], "text string"), 320, 3)
+    S.write_merges(spark, merges, str(tmp_path / "merges"))
+    assert S.read_merges(spark, str(tmp_path / "merges")) == merges
+    tok = Z.make_tokenizer({"type": "bpe", "path": str(tmp_path / "merges"), "special": Z.Special(("<pad>", "<bos>", "<eos>"), "<pad>", ("<bos>",), ("<eos>",))})
+    df = spark.createDataFrame([("low<pad>lower",), (None,), ("",)], "t string")
+    ids = [r[0] for r in df.select(tok.encode()("t")).collect()]
+    t = tok.table
+    bos, eos, pad = (t.token_to_id(x) for x in ("<bos>", "<eos>", "<pad>"))
+    assert ids[0][0] == bos and ids[0][-1] == eos and pad in ids[0] and ids[1] is None and ids[2] == [bos, eos]
+    assert pad not in df.select(tok.encode(True)("t")).first()[0]
+    back = df.select(tok.decode()(tok.encode()("t")), tok.decode(False)(tok.encode()("t"))).first()
+    assert tuple(back) == ("lowlower", "<bos>low<pad>lower<eos>")
+    assert tok.vocab_size == len(tok.continuations()) == 256 + len(merges) + 3 and t.id_to_token(pad) == b"<pad>" and t.id_to_token(10**6) is None
+
+
+def test_file_tokenizer_round_trip(spark):
+    tok = Z.FileTokenizer("/opt/tokenizers/byte_bpe_50k.json")
+    df = spark.createDataFrame([("Hello wörld, 漢字!",), (None,)], "t string")
+    assert [r[0] for r in df.select(tok.decode()(tok.encode()("t"))).collect()] == ["Hello wörld, 漢字!", None]
+    every = tok.continuations()
+    ids = df.select(tok.encode()("t")).first()[0]
+    assert b"".join(every[i] for i in ids).decode() == "Hello wörld, 漢字!" and len(every) == tok.vocab_size
+    assert tok.id_to_token(tok.token_to_id("<pad>")) == "<pad>"
+    assert Z.ByteTokenizer().continuations()[65] == b"A" and Z.CharTokenizer().continuations()[0] == b"a"
+
+
+@pytest.mark.parametrize(("sort", "shuffle", "kind"), [(s, f, k) for s in (False, True) for f in (False, True) for k in ("padded", "count")])
+def test_buffered_batches(spark, sort, shuffle, kind):
+    rng = random.Random(1)
+    sizes = {i: rng.randint(1, 60) for i in range(500)}
+    rows = spark.createDataFrame(list(sizes.items()), "idx bigint, size int")
+    limit = 128 if kind == "padded" else 8
+    got = {}
+    for r in R.padded_batches(rows, limit, 200, sort, shuffle, 3, kind, 4).collect():
+        got.setdefault((r["shard"], r["batch_id"]), []).append(r["idx"])
+    assert sorted(i for ids in got.values() for i in ids) == list(range(500))
+    for ids in got.values():
+        assert len(ids) == 1 or (len(ids) * max(sizes[i] for i in ids) if kind == "padded" else len(ids)) <= limit
+    first = [sizes[i] for i in got[0, 0]]
+    if sort and not shuffle:
+        assert max(first) >= 40
+    if not sort and not shuffle:
+        assert sorted(got[0, 0]) == list(range(len(first)))
+
+
+def test_loader(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"{k}.jsonl").write_text("".join(f'{{"input": "s{k} {i}"}}\n' for i in range(30)))
+    paths = [str(tmp_path / f"{k}.jsonl") for k in range(2)]
+    made = Loader(preprocessing=[R.prefix("input", "x "), R.none], task=lambda df: df.withColumn("token_ids", F.split("input", " ")), strategy="interleaved", batch_limit=4, skip=2, limit=22, max_length=2, world=2, rank=1)
+    got = made.from_files(spark, paths).orderBy("idx").collect()
+    assert [r["idx"] for r in got] == list(range(3, 22, 2)) and all(r["size"] == 2 and r["file_idx"] == 1 for r in got)
+    assert made.set_epoch(1).build(S.read_jsonl(spark, paths)).first()["seed"] == got[0]["seed"] + 1
+    assert made.set_fast_forward(4).items(S.read_jsonl(spark, paths)).count() == 8 and made.min_items(S.read_jsonl(spark, paths)) == 20
+    (b,) = R.inference_batches(made.build(S.read_jsonl(spark, paths)).where("batch_id = 0"), "shard", "batch_id").collect()
+    assert b["n_items"] == 4 and b["indices"] == [3, 5, 7, 9] and b["sizes"] == [2] * 4
+    with pytest.raises(ValueError):
+        Loader(shuffle=True)
+    with pytest.raises(ValueError):
+        Loader().from_files(spark, [])
+    a, b = R.split_validation(spark.range(10).withColumnRenamed("id", "idx"), 3)
+    assert a.count() == 3 and b.count() == 7
+
+
+def test_micro_batches(spark, tmp_path):
+    spark.createDataFrame([(i, "w " * (i % 9)) for i in range(100)], "item_idx bigint, text string").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("item_idx bigint, text string").parquet(str(tmp_path / "in")).withColumn("size", F.length("text"))
+    sizes = []
+    handle = lambda df, n: sizes.extend(r[0] for r in df.groupBy("shard", "batch_id").agg(F.count("*") * F.max("size")).collect())
+    I.micro_batches(stream, 40, handle).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert len(sizes) > 5 and max(sizes) <= 40
+
+
+def test_run_time_metrics(spark):
+    df, seen = G.average_tracker(spark.range(5), "track", v=F.col("id"))
+    df.collect()
+    assert seen.get == {"v_mean": 2.0, "v_sum": 10}
+    df, seen = G.progress(spark.createDataFrame([("é",), (None,)], "text string"), "p")
+    df.collect()
+    assert seen.get == {"items": 2, "bytes": 2}

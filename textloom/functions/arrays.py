@@ -85,7 +85,7 @@ def alibi_slopes(heads: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(heads)), lambda i: F.pow(F.lit(2.0), -8.0 * i / heads))
 
 
-# --- decoding ----------------------------------------------------------------------------------
+# decoding
 
 
 def temperature(a: Column, t: float) -> Column:
@@ -147,3 +147,22 @@ def allow_tokens(a: Column, ids: Column) -> Column:
 def log_likelihood(log_probs: Column, normalise: bool = True, alpha: float = 1.0) -> Column:
     total = F.aggregate(log_probs, F.lit(0.0), lambda x, y: x + y)
     return total / F.pow(F.size(log_probs).cast("double"), F.lit(alpha)) if normalise else total
+
+
+def multi_step(step: Column, values: list[tuple[int, float]], start: float) -> Column:
+    """A schedule of steps: ``start``, and from each (step, value) on that value."""
+    out = F.lit(start)
+    for at, value in sorted(values):
+        out = F.when(step >= at, F.lit(value)).otherwise(out)
+    return out
+
+
+def alibi_mask(n: Column, slope: Column) -> Column:
+    """Rows of -slope * |i - j| for n positions."""
+    return F.transform(numbers(0, n), lambda i: F.transform(numbers(0, n), lambda j: -slope * F.abs(i - j)))
+
+
+def nested_weights(groups: Column, how: str = "mean") -> Column:
+    """Weights of positions in groups of groups (sizes as an array of arrays): those of both levels multiplied."""
+    one = lambda inner, g: 1.0 / (g * F.size(inner)) if how == "mean" else F.lit(1.0)
+    return F.flatten(F.transform(groups, lambda inner: F.flatten(F.transform(inner, lambda g: F.array_repeat(one(inner, g), g)))))

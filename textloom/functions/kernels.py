@@ -7,10 +7,12 @@ function that runs over Arrow batches.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,6 +36,8 @@ def normalize(s: str, scheme: str = "NFKC", use_graphemes: bool = True) -> str:
     scheme = scheme.upper()
     if scheme not in ("NFC", "NFD", "NFKC", "NFKD"):
         raise ValueError(f"unknown normalization {scheme}")
+    if unicodedata.is_normalized(scheme, s):
+        return s
     return "".join(unicodedata.normalize(scheme, c) for c in clusters(s)) if use_graphemes else unicodedata.normalize(scheme, s)
 
 
@@ -93,36 +97,63 @@ def byte_windows(s: str, max_bytes: int, context: int, use_graphemes: bool = Tru
     return out
 
 
-def _table(a: list[str], b: list[str], swap: bool, spaces: bool) -> list[list[int]]:
-    """Optimal string alignment distances of all prefixes."""
-    rows = [list(range(len(b) + 1))]
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            best = min(rows[i - 1][j], row[j - 1]) + 1
-            if x == y:
-                best = min(best, rows[i - 1][j - 1])
-            elif not (spaces and (blank(x) or blank(y))):
-                best = min(best, rows[i - 1][j - 1] + 1)
-            if swap and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and x != y and not (spaces and (blank(x) or blank(y))):
-                best = min(best, rows[i - 2][j - 2] + 1)
-            row.append(best)
-        rows.append(row)
-    return rows
+def _coded(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Both as numbers of distinct characters, and which are white space."""
+    code: dict[str, int] = {}
+    x, y = (np.array([code.setdefault(c, len(code)) for c in s], np.int64) for s in (a, b))
+    space = np.array([blank(c) for c in code], bool)
+    return x, y, space[x] if len(x) else np.zeros(0, bool), space[y] if len(y) else np.zeros(0, bool)
+
+
+def _rows(a: list[str], b: list[str], swap: bool, spaces: bool) -> Iterator[np.ndarray]:
+    """Rows of the optimal string alignment distances of all prefixes, one for each prefix of ``a``."""
+    x, y, blank_x, blank_y = _coded(a, b)
+    m = len(y)
+    index = np.arange(m + 1)
+    yield index.astype(np.int32)
+    before, last = None, index.astype(np.int32)
+    far = np.int32(1 << 29)
+    for i in range(len(x)):
+        same = y == x[i]
+        free = ~(blank_y | blank_x[i]) if spaces else np.ones(m, bool)
+        best = last + 1
+        best[1:] = np.minimum(best[1:], last[:-1] + np.where(same, 0, np.where(free, 1, far)))
+        if swap and i and m > 1:
+            crossed = (y[:-1] == x[i]) & (y[1:] == x[i - 1]) & ~same[1:] & free[1:]
+            best[2:] = np.minimum(best[2:], np.where(crossed, before[:-2] + 1, far))
+        best[0] = i + 1
+        row = (np.minimum.accumulate(best - index) + index).astype(np.int32)  # insertions from the left
+        yield row
+        before, last = last, row
+
+
+def _table(a: list[str], b: list[str], swap: bool, spaces: bool) -> np.ndarray:
+    return np.stack(list(_rows(a, b, swap, spaces)))
+
+
+def _last_row(a: list[str], b: list[str], swap: bool, spaces: bool) -> np.ndarray:
+    return deque(_rows(a, b, swap, spaces), maxlen=1)[0]
 
 
 def edit_distance(a: str, b: str, use_graphemes: bool = True, with_swap: bool = True, spaces_insert_delete_only: bool = False, normalized: bool = False) -> float:
     x, y = clusters(a, use_graphemes), clusters(b, use_graphemes)
-    d = float(_table(x, y, with_swap, spaces_insert_delete_only)[-1][-1]) if a != b else 0.0
+    d = float(_last_row(x, y, with_swap, spaces_insert_delete_only)[-1]) if a != b else 0.0
     if not normalized:
         return d
     return d / max(len(x), len(y)) if x or y else float("nan")
 
 
+def edit_distances(a: Sequence[str], b: Sequence[str], **options) -> list[float]:
+    """Distances of the pairs of two lists of one length."""
+    if len(a) != len(b):
+        raise ValueError("two lists of one length are needed")
+    return [edit_distance(x, y, **options) for x, y in zip(a, b)]
+
+
 def prefix_distance(a: str, b: str, use_graphemes: bool = True, with_swap: bool = True, spaces_insert_delete_only: bool = False, normalized: bool = False) -> float:
     """Least distance of a to any prefix of b."""
     x = clusters(a, use_graphemes)
-    d = float(min(_table(x, clusters(b, use_graphemes), with_swap, spaces_insert_delete_only)[-1]))
+    d = float(_last_row(x, clusters(b, use_graphemes), with_swap, spaces_insert_delete_only).min())
     return (d / len(x) if x else float("nan")) if normalized else d
 
 
@@ -150,23 +181,36 @@ def edit_operations(a: str, b: str, use_graphemes: bool = True, with_swap: bool
 def match_words(a: str, b: str, ignore_case: bool = False, same: Callable[[str, str], bool] | None = None) -> tuple[list[tuple[int, int]], int, int]:
     """Index pairs of a longest common subsequence of ASCII-white-space words; of equal ways the diagonal, else the right one."""
     x, y = (regex.findall(r"[^ \t\n\f\r]+", s.lower() if ignore_case else s) for s in (a, b))
-    same = same or (lambda p, q: p == q)
-    hit = [[same(p, q) for q in y] for p in x]
-    t = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            t[i][j] = max(t[i - 1][j], t[i][j - 1], t[i - 1][j - 1] + hit[i - 1][j - 1])
-    out, i, j = [], len(x), len(y)
+    if same is None:
+        code: dict[str, int] = {}
+        p, q = (np.array([code.setdefault(w, len(code)) for w in s], np.int64) for s in (x, y))
+        hits = lambda i: q == p[i]
+    else:
+        hits = lambda i: np.array([same(x[i], w) for w in y], bool)
+    n, m = len(x), len(y)
+    # a row of the table of lengths at a time; only its steps to the right and from above are kept, as bits
+    right, above = np.zeros((n + 1, m // 8 + 1), np.uint8), np.zeros((n + 1, m // 8 + 1), np.uint8)
+    last = np.zeros(m + 1, np.int32)
+    for i in range(n):
+        row = last.copy()
+        row[1:] = np.maximum(row[1:], last[:-1] + hits(i))
+        np.maximum.accumulate(row, out=row)
+        right[i + 1] = np.packbits(np.diff(row, prepend=0).astype(np.uint8), bitorder="little")[: m // 8 + 1]
+        above[i + 1] = np.packbits((row - last).astype(np.uint8), bitorder="little")[: m // 8 + 1]
+        last = row
+    bit = lambda t, i, j: int(t[i, j >> 3] >> (j & 7)) & 1
+    out, i, j = [], n, m
     while i and j:
-        if t[i][j] == t[i - 1][j - 1] + hit[i - 1][j - 1]:
+        hit = bool(hits(i - 1)[j - 1]) if same else p[i - 1] == q[j - 1]
+        if bit(above, i, j) + bit(right, i - 1, j) == hit:
             i, j = i - 1, j - 1
-            if hit[i][j]:
+            if hit:
                 out.append((i, j))
-        elif t[i][j] == t[i][j - 1]:
+        elif not bit(right, i, j):
             j -= 1
         else:
             i -= 1
-    return out[::-1], len(x), len(y)
+    return out[::-1], n, m
 
 
 def edited_words(a: str, b: str) -> tuple[list[int], list[int]]:
@@ -215,3 +259,20 @@ def arrow(f: Callable, kind: str, **options) -> Callable[..., Column]:
         return pd.DataFrame(made) if kind.startswith("struct") else pd.Series(made, dtype=object if not kind.startswith(("double", "int", "boolean")) else None)
 
     return run
+
+
+def arrow_batch(f: Callable[[pa.Array], pa.Array], kind: str) -> Callable[..., Column]:
+    """A Column function that applies ``f`` to whole Arrow arrays."""
+
+    @F.arrow_udf(kind)
+    def run(values: pa.Array) -> pa.Array:
+        return f(values)
+
+    return run
+
+
+def lists(sizes, fields: dict[str, np.ndarray], null: pa.Array) -> pa.Array:
+    """Lists of structs with so many elements each."""
+    at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    inner = pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], list(fields))
+    return pa.ListArray.from_arrays(pa.array(at), inner, mask=null)

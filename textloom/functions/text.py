@@ -2,14 +2,19 @@
 
 Characters are extended grapheme clusters where a name says ``clusters``.
 Java's ``\\X`` agrees with the Unicode rules but for conjuncts of Indic
-scripts; ``kernels.clusters_exact`` is exact for those too.
+scripts; ``kernels.clusters`` is exact for those too.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import kernels as K
+from .kernels import arrow_batch, lists
+
 WS = r"(?U)\s"
 
 
@@ -28,7 +33,7 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
-# --- predicates on whole strings -------------------------------------------------------------
+# predicates on whole strings
 
 _CLASSES = {
     "is_whitespace": r"^\p{IsWhite_Space}*$",
@@ -75,7 +80,7 @@ def sub(cs: Column, start: int | Column, end: int | Column) -> Column:
     return F.array_join(F.slice(cs, lo + 1, hi - lo), "")
 
 
-# --- cleaning and words ----------------------------------------------------------------------
+# cleaning and words
 
 
 def clean(s: Column | str) -> Column:
@@ -111,46 +116,78 @@ def split_words(s: Column | str) -> Column:
 
 
 def word_boundaries(s: Column | str) -> Column:
-    """(start, end) of white-space words in code points: a running sum over alternating runs."""
-    runs = F.regexp_extract_all(_c(s), F.lit(r"(?U)\s+|\S+"), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def step(acc, run):
-        end = acc["at"] + F.char_length(run)
-        return F.struct(end.alias("at"), F.when(run.rlike(r"^(?U)\s"), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(acc["at"].alias("start"), end.alias("end")))).alias("out"))
-
-    return F.aggregate(runs, zero, step)["out"]
+    """(start, end) of white-space words in code points, found over whole Arrow batches."""
+    return arrow_batch(_boundaries, "array<struct<start:int,end:int>>")(_c(s))
 
 
 def find_ignoring_whitespace(s: Column | str, part: Column | str) -> Column:
-    """The first match of ``part`` in ``s`` with any white space in and around it, else null."""
+    """The first match of ``part`` in ``s`` with any white space in and around it, else null; the empty part is found in front."""
     quoted = F.transform(code_points(remove_whitespace(part)), lambda c: F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|&\-#~])", r"\\$1"))
     pattern = F.concat(F.lit(r"(?U)\s*"), F.array_join(quoted, r"\s*"), F.lit(r"\s*"))
-    return F.when(F.regexp_like(_c(s), pattern), F.regexp_substr(_c(s), pattern))
+    return F.when(F.regexp_like(_c(s), pattern), F.call_function("regexp_extract", _c(s), pattern, F.lit(0)))
 
 
 def possible_char_substrings(s: Column | str, max_chars: int, use_graphemes: bool = True) -> Column:
     """(byte_start, byte_end, n) of all windows of min(max_chars, length) characters; (0, 0, 0) for the empty string."""
 
-    def spans(cs: Column) -> Column:
-        n = F.size(cs)
-        k = F.least(F.lit(max_chars), n)
-        bytes_to = lambda i: F.octet_length(F.array_join(F.slice(cs, F.lit(1), i), ""))
-        return F.transform(numbers(0, n - k + 1), lambda i: F.struct(bytes_to(i).alias("byte_start"), bytes_to(i + k).alias("byte_end"), k.alias("n")))
-
-    return let(chars(s, use_graphemes), spans)
+    def spans(texts: pa.Array) -> pa.Array:
+        each = []
+        for t in texts.to_pylist():
+            if t is None:
+                each.append(None)
+                continue
+            size = [len(t)] if t.isascii() and "\r" not in t else [len(c.encode()) for c in (K.clusters(t) if use_graphemes else t)]
+            at = np.arange(size[0] + 1) if t.isascii() and "\r" not in t else np.concatenate([[0], np.cumsum(size)])
+            k = min(max_chars, len(at) - 1)
+            each.append((at[: len(at) - k], at[k:], k))
+        sizes = [0 if x is None else len(x[0]) for x in each]
+        parts = [np.concatenate([x[side] for x in each if x is not None] or [np.zeros(0)]).astype(np.int32) for side in (0, 1)]
+        n = np.repeat([0 if x is None else x[2] for x in each], sizes).astype(np.int32)
+        return lists(sizes, {"byte_start": parts[0], "byte_end": parts[1], "n": n}, texts.is_null())
+
+    return arrow_batch(spans, "array<struct<byte_start:int,byte_end:int,n:int>>")(_c(s))
+
+
+def _boundaries(texts: pa.Array) -> pa.Array:
+    rows = ["" if t is None else t for t in texts.to_pylist()]
+    at = np.concatenate([[0], np.cumsum([len(t) for t in rows])]).astype(np.int64)
+    points = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
+    word = ~np.isin(points, _SPACES)
+    first = np.zeros(len(points) + 1, bool)
+    first[at] = True
+    start = np.flatnonzero(word & (first[:-1] | ~np.concatenate([[False], word[:-1]])))
+    end = np.flatnonzero(word & (first[1:] | ~np.concatenate([word[1:], [False]]))) + 1
+    row = np.searchsorted(at, start, "right") - 1
+    sizes = np.bincount(row, minlength=len(rows))
+    return lists(sizes, {"start": (start - at[row]).astype(np.int32), "end": (end - at[row]).astype(np.int32)}, texts.is_null())
+
+
+#: Code points of White_Space.
+_SPACES = np.array([*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
 
 
 def repair_whitespace(cs: Column, ops: Column) -> Column:
     """Apply keep / insert / delete codes (0, 1, 2) to characters; sizes must agree."""
     blank = lambda c: c.rlike(r"^(?U)\s+$")
-    index = numbers(0, F.size(cs))
-    before = lambda i: (i > 0) & blank(F.get(cs, i - 1))
-    one = lambda i: F.when((F.get(ops, i) == 1) & ~blank(F.get(cs, i)) & ~before(i), F.concat(F.lit(" "), F.get(cs, i))).when((F.get(ops, i) == 2) & blank(F.get(cs, i)), F.lit("")).otherwise(F.get(cs, i))
-    return F.when(F.size(cs) == F.size(ops), F.array_join(F.transform(index, one), "")).otherwise(F.raise_error(F.lit("one operation for each character is needed")).cast("string"))
 
+    def repaired(both: Column) -> Column:
+        cs, ops = both["cs"], both["ops"]
+        before = F.concat(F.array(F.lit(" ")), F.slice(cs, F.lit(1), F.greatest(F.size(cs) - 1, F.lit(0))))
+        # each character with the one before it and its operation; the first counts as after white space
+        one = lambda z: F.when((z["op"] == 1) & ~blank(z["c"]) & ((z["i"] == 0) | ~blank(z["b"])), F.concat(F.lit(" "), z["c"])).when((z["op"] == 2) & blank(z["c"]), F.lit("")).otherwise(z["c"])
+        rows = F.arrays_zip(cs.alias("c"), before.alias("b"), ops.alias("op"), numbers(0, F.size(cs)).alias("i"))
+        good = F.array_join(F.transform(rows, one), "")
+        return F.when(F.size(cs) == F.size(ops), F.when(F.size(cs) == 0, F.lit("")).otherwise(good)).otherwise(F.raise_error(F.lit("one operation for each character is needed")).cast("string"))
+
+    return let(F.struct(cs.alias("cs"), ops.alias("ops")), repaired)
+
+
+def nfkc(s: Column | str) -> Column:
+    """Compatibility composition within clusters; normal texts pass as they are."""
+    return K.arrow(K.normalize, "string")(_c(s))
 
-# --- text windows ----------------------------------------------------------------------------
+
+# text windows
 
 
 def char_windows(s: Column | str, max_length: int, context: int, use_graphemes: bool = True) -> Column:
@@ -177,7 +214,31 @@ def full_window(s: Column | str) -> Column:
     return F.array(F.struct(F.lit(0).alias("ctx_start"), F.lit(0).alias("window_start"), n.alias("window_end"), n.alias("ctx_end")))
 
 
-# --- JSON and chat ---------------------------------------------------------------------------
+def windows(s: Column | str, kind: str = "full", max_length: int = 0, context: int = 0, use_graphemes: bool = True) -> Column:
+    """Windows by ``kind``: full, character or byte; the empty string has one of nothing."""
+    if kind == "full":
+        return full_window(s)
+    if kind == "character":
+        return char_windows(s, max_length, context, use_graphemes)
+    if kind != "byte":
+        raise ValueError(f"unknown windows {kind}")
+    names = ("ctx_start", "window_start", "window_end", "ctx_end")
+    cut = lambda t: [dict(zip(names, w)) for w in K.byte_windows(t, max_length, context, use_graphemes)]
+    return K.arrow(cut, "array<struct<" + ",".join(f"{n}:int" for n in names) + ">>")(_c(s))
+
+
+def char_at(cs: Column, i: int | Column) -> Column:
+    """The character at a place, null outside."""
+    return F.get(cs, i if isinstance(i, Column) else F.lit(i))
+
+
+def byte_range(cs: Column, start: int, end: int) -> Column:
+    """(start, end) in bytes of characters start .. end-1."""
+    upto = lambda n: F.coalesce(F.octet_length(sub(cs, 0, n)), F.lit(0))
+    return F.struct(upto(start).alias("start"), upto(end).alias("end"))
+
+
+# JSON and chat
 
 
 def json_string(s: Column | str) -> Column:

@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
-#: Dictionaries of at most this many terms are broadcast for closest-term searches.
-BROADCAST_TERMS = 200_000
+#: Words that are searched for at once in closest-term searches; more go in several blocks.
+BLOCK_KEYS = 20_000
 
 
-def word_dictionary(lines: DataFrame, column: str = "text") -> DataFrame:
-    """``term, freq`` of the alphabetic parts of words."""
-    return lines.select(F.explode(X.word_parts(X.clean(column))).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
+def word_dictionary(lines: DataFrame, column: str = "text", max_sequences: int | None = None) -> DataFrame:
+    """``term, freq`` of the alphabetic parts of words of the cleaned text in NFKC; of ``max_sequences`` lines, if given."""
+    lines = lines if max_sequences is None else lines.limit(max_sequences)
+    return lines.select(F.explode(X.word_parts(X.nfkc(X.clean(column)))).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
 
 
-def char_dictionary(lines: DataFrame, column: str = "text", grams: int = 1) -> DataFrame:
-    """``term, freq`` of characters (or of 3-grams with word ends) whose middle is alphabetic or punctuation."""
-    words = lines.select(F.explode(X.whitespace_words(X.clean(column))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+def char_dictionary(lines: DataFrame, column: str = "text", grams: int = 1, max_sequences: int | None = None) -> DataFrame:
+    """``term, freq`` of characters (or of 3-grams with word ends) whose middle is alphabetic or punctuation, in NFKC."""
+    lines = lines if max_sequences is None else lines.limit(max_sequences)
+    words = lines.select(F.explode(X.whitespace_words(X.nfkc(X.clean(column)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     good = lambda c: c.rlike(r"^(\p{IsAlphabetic}+|\p{P}+)$")
     cs = X.clusters("w")
     if grams == 1:
@@ -44,24 +50,83 @@ def dictionary_stats(dictionary: DataFrame) -> DataFrame:
 
 
 def lookup(queries: DataFrame, key: Column | str, dictionary: DataFrame) -> DataFrame:
-    """``queries`` with ``freq`` and ``rel_freq`` of the key, null where it isn't in the dictionary."""
-    total = dictionary.agg(F.sum("freq").alias("__total"))
-    terms = dictionary.crossJoin(F.broadcast(total)).select(F.col("term").alias("__term"), "freq", (F.col("freq") / F.col("__total")).alias("rel_freq"))
-    return queries.join(terms, (F.col(key) if isinstance(key, str) else key) == F.col("__term"), "left").drop("__term")
+    """``queries`` with ``freq`` and ``rel_freq`` of the key in NFKC, null where it isn't in the dictionary."""
+    total = dictionary.agg(F.sum("freq")).first()[0] or 1
+    own = "term_"
+    while own in queries.columns:
+        own += "_"
+    terms = dictionary.select(F.col("term").alias(own), "freq", (F.col("freq") / F.lit(total)).alias("rel_freq"))
+    keyed = X.nfkc(F.col(key) if isinstance(key, str) else key)
+    return queries.withColumn(own, keyed).join(terms, own, "left").drop(own)
 
 
 def closest(queries: DataFrame, key: str, dictionary: DataFrame, normalized: bool = False) -> DataFrame:
-    """The nearest term by Levenshtein distance, ties by frequency, then by the larger term: ``key, term, freq, distance``.
+    """The nearest term to the key in NFKC by Levenshtein distance in code points, ties by frequency, then by the larger term: ``key, term, freq, distance``.
 
-    Each distinct key meets each term once; the dictionary is broadcast up to
-    BROADCAST_TERMS, beyond that the cross join is partitioned.
+    The distinct keys are sent out in blocks of BLOCK_KEYS and held against
+    all terms where these lie: terms of one length at once, lengths near the
+    key's first, until no other length can be nearer.
     """
-    terms = dictionary.select("term", "freq")
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    d = F.levenshtein(F.col(key), F.col("term")).cast("double")
-    if normalized:
-        d = d / F.greatest(F.length(key), F.length("term"), F.lit(1))
-    best = F.max(F.struct((-d).alias("d"), F.col("freq"), F.col("term"))).alias("best")
-    found = queries.select(key).where(F.col(key).isNotNull()).distinct().crossJoin(terms).groupBy(key).agg(best)
-    return found.select(key, F.col("best.term").alias("term"), F.col("best.freq").alias("freq"), (-F.col("best.d")).alias("distance"))
+    keys = queries.select(F.col(key).cast("string").alias("k")).where("k IS NOT NULL").distinct().orderBy("k")
+    words = keys.select("k", X.nfkc("k").alias("q"))
+    schema = "k string, d double, freq bigint, term string"
+    found, block = None, []
+
+    def search(block: list[tuple[str, str]]) -> DataFrame:
+        shared = queries.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield _nearest(shared.value, b.column("term").to_pylist(), b.column("freq").to_numpy(), normalized)
+
+        best = F.max(F.struct((-F.col("d")).alias("d"), "freq", "term")).alias("best")
+        terms = dictionary.select(F.col("term").cast("string").alias("term"), F.col("freq").cast("bigint").alias("freq")).where("term IS NOT NULL")
+        # an aggregated dictionary is small in bytes, but each of its rows is held against many keys
+        return terms.repartition(max(2, queries.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, schema).groupBy("k").agg(best)
+
+    for r in words.toLocalIterator():
+        block.append((r["k"], r["q"]))
+        if len(block) == BLOCK_KEYS:
+            found = search(block) if found is None else found.unionByName(search(block))
+            block = []
+    if block or found is None:
+        found = search(block) if found is None else found.unionByName(search(block))
+    return found.select(F.col("k").alias(key), F.col("best.term").alias("term"), F.col("best.freq").alias("freq"), (-F.col("best.d")).alias("distance"))
+
+
+def _nearest(keys: list[tuple[str, str]], terms: list[str], freq: np.ndarray, normalized: bool) -> pa.RecordBatch:
+    by: dict[int, list[int]] = {}
+    for i, t in enumerate(terms):
+        by.setdefault(len(t), []).append(i)
+    blocks = {n: (np.array(own), np.frombuffer("".join(terms[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n)) for n, own in by.items()}
+    rows = []
+    for k, q in keys:
+        points = np.frombuffer(q.encode("utf-32-le", "surrogatepass"), np.uint32)
+        m, best = len(points), (np.inf, 0, "")
+        least = lambda n: abs(n - m) / (max(n, m, 1) if normalized else 1)
+        for n in sorted(blocks, key=least):
+            if least(n) > best[0]:
+                break
+            own, table = blocks[n]
+            d = _distances(points, table) / (max(n, m, 1) if normalized else 1)
+            near = own[d == d.min()].tolist()
+            if d.min() <= best[0]:
+                most = max((int(freq[i]), terms[i]) for i in near)
+                if d.min() < best[0] or most > best[1:]:
+                    best = (float(d.min()), *most)
+        rows.append((k, *best))
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.string()))], ["k", "d", "freq", "term"])
+
+
+def _distances(q: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Levenshtein distances of q to all rows."""
+    n = table.shape[1]
+    row = np.tile(np.arange(n + 1, dtype=np.int16), (len(table), 1))
+    index = np.arange(n + 1, dtype=np.int16)
+    for i, c in enumerate(q):
+        best = row + np.int16(1)
+        best[:, 1:] = np.minimum(best[:, 1:], row[:, :-1] + (table != c))
+        best[:, 0] = i + 1
+        row = np.minimum.accumulate(best - index, axis=1) + index
+    return row[:, -1].astype(np.float64)

@@ -1,23 +1,25 @@
 """BPE vocabularies: corpus counts in Spark, merges by an incrementally kept pair index on the driver.
 
-The driver holds every distinct word and where its pairs are: its memory grows
-with the number of distinct words, and none is left out.
+The driver holds every distinct word and where its pairs are, as arrays: its
+memory grows with the number of distinct words, and none is left out.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
 from ..functions import text as X
 
 
-def word_counts(lines: DataFrame, column: str = "text") -> DataFrame:
-    """``word, freq`` of words with the white space before them."""
-    return lines.select(F.explode(X.words_with_leading_whitespace(column)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+def word_counts(lines: DataFrame, column: str = "text", normalization: str | None = None) -> DataFrame:
+    """``word, freq`` of words with the white space before them, of the text in a normal form if one is named."""
+    text = K.arrow(K.normalize, "string", scheme=normalization)(column) if normalization else F.col(column)
+    return lines.select(F.explode(X.words_with_leading_whitespace(text)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
 
 
 def pair_stats(words: DataFrame) -> DataFrame:
@@ -27,56 +29,99 @@ def pair_stats(words: DataFrame) -> DataFrame:
     return words.select(F.explode(pairs).alias("p"), "freq").groupBy("p.first", "p.second").agg(F.sum("freq").alias("freq"))
 
 
-def train_bpe(lines: DataFrame, vocab_size: int, num_special_tokens: int = 0, column: str = "text") -> list[tuple[bytes, bytes]]:
+def train_bpe(lines: DataFrame, vocab_size: int, num_special_tokens: int = 0, column: str = "text", normalization: str | None = "NFKC", max_lines: int | None = None) -> list[tuple[bytes, bytes]]:
     """Merges of byte pairs, most frequent first, ties by the smaller pair; stops when no pair is left.
 
     ``vocab_size`` must be a multiple of 64 and leave room over 256 bytes and
-    the special tokens.  Every distinct word counts.
+    the special tokens.  Every distinct word counts; with ``max_lines`` those
+    of the first lines by ``line_no``.
     """
     if vocab_size % 64 or vocab_size <= 256 + num_special_tokens:
         raise ValueError("vocab_size must be a multiple of 64 above 256 plus the special tokens")
-    counted = word_counts(lines, column).toArrow()
-    words = [[bytes([b]) for b in w.encode()] for w in counted.column("word").to_pylist()]
-    freqs = counted.column("freq").to_pylist()
-    stats: Counter = Counter()
-    where: dict[tuple[bytes, bytes], set[int]] = defaultdict(set)
-    for i, (w, f) in enumerate(zip(words, freqs)):
-        for p in zip(w, w[1:]):
-            stats[p] += f
-            where[p].add(i)
-    heap = [(-f, p) for p, f in stats.items()]
-    heapq.heapify(heap)
+    lines = lines if max_lines is None else lines.where(F.col("line_no") < max_lines)
+    counted = word_counts(lines, column, normalization).toArrow()
+    words, freq = counted.column("word").combine_chunks().cast("large_string"), counted.column("freq").to_numpy()
+    at = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]] if len(words) and at[-1] else np.zeros(0, np.uint8)
+    return merge_words(data, at - at[0], freq, vocab_size - 256 - num_special_tokens)
+
+
+def merge_words(data: np.ndarray, at: np.ndarray, freq: np.ndarray, most: int) -> list[tuple[bytes, bytes]]:
+    """Merges of distinct words given as concatenated bytes with n+1 offsets, and their frequencies.
+
+    Words are one array of symbols with links to the neighbours; an index maps
+    each pair to its positions, of which only those that still hold count.
+    """
+    n = len(data)
+    symbol = data.astype(np.int32)
+    tokens = [bytes([b]) for b in range(256)]
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    size = np.diff(at)
+    after[at[1:][size > 0] - 1] = -1
+    before[at[:-1][size > 0]] = -1
+    weight = np.repeat(freq.astype(np.int64), size)
+    stats: dict[int, int] = {}
+    where: dict[int, list[np.ndarray]] = {}
+    heap: list[tuple[int, bytes, bytes, int]] = []
+
+    def key(p: np.ndarray) -> np.ndarray:
+        return symbol[p].astype(np.int64) << 32 | symbol[after[p]]
+
+    def change(p: np.ndarray, sign: int, enter: bool) -> set[int]:
+        k = key(p)
+        order = np.argsort(k, kind="stable")
+        k, p = k[order], p[order]
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+        sums = np.add.reduceat(weight[p], first) if len(k) else first
+        cut = [*first.tolist(), len(k)]
+        for i, (one, total) in enumerate(zip(k[first].tolist(), sums.tolist())):
+            stats[one] = stats.get(one, 0) + sign * total
+            if enter:
+                where.setdefault(one, []).append(p[cut[i] : cut[i + 1]])
+        return set(k[first].tolist())
+
+    def push(one: int) -> None:
+        if stats[one] > 0:
+            heapq.heappush(heap, (-stats[one], tokens[one >> 32], tokens[one & 0xFFFFFFFF], one))
+
+    for one in change(np.flatnonzero(after >= 0).astype(np.int32), 1, True):
+        push(one)
     merges: list[tuple[bytes, bytes]] = []
-    while heap and len(merges) < vocab_size - 256 - num_special_tokens:
-        f, pair = heapq.heappop(heap)
-        if stats.get(pair, 0) != -f:
-            if stats.get(pair, 0) > 0:
-                heapq.heappush(heap, (-stats[pair], pair))
+    while heap and len(merges) < most:
+        count, left, right, one = heapq.heappop(heap)
+        if stats.get(one, 0) != -count:
+            if stats.get(one, 0) > 0:
+                push(one)
             continue
-        if f == 0:
-            break
-        merges.append(pair)
-        changed = set()
-        for i in where.pop(pair):
-            old, new, k = words[i], [], 0
-            while k < len(old):
-                if k + 1 < len(old) and (old[k], old[k + 1]) == pair:
-                    new.append(old[k] + old[k + 1])
-                    k += 2
-                else:
-                    new.append(old[k])
-                    k += 1
-            for p in zip(old, old[1:]):
-                stats[p] -= freqs[i]
-            for p in zip(new, new[1:]):
-                stats[p] += freqs[i]
-                where[p].add(i)
-                changed.add(p)
-            words[i] = new
-        del stats[pair]
-        for p in changed:
-            if stats[p] > 0:
-                heapq.heappush(heap, (-stats[p], p))
+        a, b = one >> 32, one & 0xFFFFFFFF
+        merges.append((left, right))
+        tokens.append(left + right)
+        p = np.unique(np.concatenate(where.pop(one)))
+        q = after[p]
+        good = (symbol[p] == a) & (q >= 0)
+        good &= symbol[q] == b
+        p, q = p[good], q[good]
+        if a == b:  # of overlapping occurrences, every second one from the left
+            chained = np.zeros(len(p), bool)
+            chained[1:] = p[1:] == q[:-1]
+            index = np.arange(len(p))
+            odd = (index - np.maximum.accumulate(np.where(chained, 0, index))) % 2 == 1
+            p, q = p[~odd], q[~odd]
+        # the pairs that these positions take part in go, each once, and new ones come
+        old = np.unique(np.concatenate([p, q[after[q] >= 0], before[p][before[p] >= 0]]))
+        changed = change(old, -1, False)
+        symbol[p] = len(tokens) - 1
+        symbol[q] = -1
+        right_of = after[q]
+        after[p] = right_of
+        before[right_of[right_of >= 0]] = p[right_of >= 0]
+        before_p = before[p]
+        new = np.unique(np.concatenate([p[right_of >= 0], before_p[before_p >= 0]]))
+        changed |= change(new, 1, True)
+        stats.pop(one, None)
+        for k in changed:
+            if k in stats:
+                push(k)
     return merges
 
 
@@ -89,16 +134,43 @@ class MergeTable:
         self.rank = {p: i for i, p in enumerate(merges)}
         self.tokens = [bytes([b]) for b in range(256)] + [a + b for a, b in merges]
         self.ids = {t: i for i, t in enumerate(self.tokens)}
-        self.specials = {s: len(self.tokens) + i for i, s in enumerate(specials)}
+        self.specials = {s: len(self.tokens) + i for i, s in enumerate(dict.fromkeys(specials))}
+
+    @property
+    def vocab_size(self) -> int:
+        return len(self.tokens) + len(self.specials)
+
+    def token_to_id(self, token: str | bytes) -> int | None:
+        return self.specials.get(token) if isinstance(token, str) and token in self.specials else self.ids.get(token.encode() if isinstance(token, str) else token)
+
+    def id_to_token(self, i: int) -> bytes | None:
+        every = self.continuations()
+        return every[i] if 0 <= i < len(every) else None
+
+    def continuations(self) -> list[bytes]:
+        """The bytes of every id, special tokens included."""
+        return [*self.tokens, *(s.encode() for s in self.specials)]
 
     def encode_word(self, word: str) -> list[int]:
-        parts = [bytes([b]) for b in word.encode()]
-        while len(parts) > 1:
-            rank, i = min((self.rank.get(p, 1 << 60), k) for k, p in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ids[p] for p in parts]
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(self.tokens[i] for i in ids if i < len(self.tokens)).decode("utf-8", "replace")
+        """Lowest rank first, of equal ones the leftmost, by a queue of pairs."""
+        parts: list[bytes | None] = [bytes([b]) for b in word.encode()]
+        after, before = [*range(1, len(parts)), -1], [*range(-1, len(parts) - 1)]
+        queue = [(r, i, a, b) for i, (a, b) in enumerate(zip(parts, parts[1:])) if (r := self.rank.get((a, b))) is not None]
+        heapq.heapify(queue)
+        while queue:
+            _, i, a, b = heapq.heappop(queue)
+            j = after[i]
+            if parts[i] != a or j < 0 or parts[j] != b:
+                continue
+            parts[i], parts[j] = a + b, None
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and after[k] >= 0 and (r := self.rank.get((parts[k], parts[after[k]]))) is not None:
+                    heapq.heappush(queue, (r, k, parts[k], parts[after[k]]))
+        return [self.ids[p] for p in parts if p is not None]
+
+    def decode(self, ids: list[int], ignore_special_tokens: bool = True) -> str:
+        every = self.tokens if ignore_special_tokens else self.continuations()
+        return b"".join(every[i] for i in ids if i < len(every)).decode("utf-8", "replace")

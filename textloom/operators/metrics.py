@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -26,20 +27,50 @@ def binary_f1(pairs: DataFrame, pred: str, target: str, beta: float = 1.0) -> Da
     return counts.select(f_beta(F.col("tp"), F.col("fp"), F.col("fn"), beta).alias("x")).select("x.*")
 
 
-def mean_edit_distance(pairs: DataFrame, a: str, b: str, normalized: bool = False) -> DataFrame:
-    """Mean Levenshtein distance of cleaned texts in code points; 0 for no rows and for two empty texts."""
+def mean_edit_distance(pairs: DataFrame, a: str, b: str, normalized: bool = False, use_graphemes: bool = True) -> DataFrame:
+    """Mean Levenshtein distance of cleaned texts in NFKC, in clusters or code points; 0 for no rows and for two empty texts.
+
+    Pairs of ASCII texts, whose characters are code points, stay in the JVM.
+    """
     x, y = X.clean(a), X.clean(b)
+    plain = X.is_ascii(a) & X.is_ascii(b) & ~F.contains(F.concat(a, b), F.lit("\r"))
+
+    def apart(s: str, t: str) -> float:
+        s, t = K.normalize(s, use_graphemes=use_graphemes), K.normalize(t, use_graphemes=use_graphemes)
+        d = K.edit_distance(s, t, use_graphemes, False)
+        return d / max(len(K.clusters(s, use_graphemes)), len(K.clusters(t, use_graphemes)), 1) if normalized else d
+
     d = F.levenshtein(x, y).cast("double")
     if normalized:
         d = d / F.greatest(F.length(x), F.length(y), F.lit(1))
-    return pairs.agg(F.coalesce(F.avg(d), F.lit(0.0)).alias("mean_distance"))
+    other = K.arrow(apart, "double")(F.when(~plain, x), F.when(~plain, y))
+    each = pairs.select(plain.alias("p"), d.alias("d"), other.alias("o"))
+    return each.agg(F.coalesce(F.avg(F.when(F.col("p"), F.col("d")).otherwise(F.col("o"))), F.lit(0.0)).alias("mean_distance"))
+
+
+def _operations(source: str, other: str) -> np.ndarray:
+    """Keep, insert and delete (0, 1, 2) for each character of cleaned ``source``."""
+    if source.isascii() and other.isascii():
+        a, b = (np.frombuffer(s.encode(), np.uint8) for s in (source, other))
+        own, there = np.flatnonzero(a != 32), np.flatnonzero(b != 32)
+        if len(own) != len(there) or (a[own] != b[there]).any():
+            raise ValueError("texts differ in more than white space")
+        out = np.zeros(len(a), np.int8)
+        if len(own) > 1:  # cleaned texts: one space or none before each character
+            had, has = np.diff(own) > 1, np.diff(there) > 1
+            out[own[1:][~had & has]] = 1
+            out[own[1:][had & ~has] - 1] = 2
+        return out
+    return np.array(K.whitespace_operations(source, other), np.int8)
 
 
 def _whitespace_counts(source: str, pred: str, target: str, mode: str) -> dict:
     source, pred, target = (K.normalize(K.clean(s)) for s in (source, pred, target))
-    wanted = {"insertions": {1}, "deletions": {2}}.get(mode, {1, 2})
-    p, t = ({(i, o) for i, o in enumerate(K.whitespace_operations(source, x)) if o in wanted} for x in (pred, target))
-    return {"empty": not p and not t, "tp": len(p & t), "fp": len(p - t), "fn": len(t - p)}
+    wanted = {"insertions": (1,), "deletions": (2,)}.get(mode, (1, 2))
+    p, t = (_operations(source, x) for x in (pred, target))
+    p, t = (np.where(np.isin(x, wanted), x, 0) for x in (p, t))
+    tp = int(((p == t) & (p > 0)).sum())
+    return {"empty": not p.any() and not t.any(), "tp": tp, "fp": int((p > 0).sum()) - tp, "fn": int((t > 0).sum()) - tp}
 
 
 def _spelling_counts(source: str, pred: str, target: str, use_graphemes: bool = True) -> dict:
@@ -93,3 +124,25 @@ def whitespace_f1(rows: DataFrame, source: str, pred: str, target: str, beta: fl
 def spelling_f1(rows: DataFrame, source: str, pred: str, target: str, beta: float = 1.0, averaged: bool = True, use_graphemes: bool = True) -> DataFrame:
     """F-beta of corrected words."""
     return _f1(rows, K.arrow(_spelling_counts, _COUNTS, use_graphemes=use_graphemes)(source, pred, target), beta, averaged)
+
+
+def average_tracker(df: DataFrame, name: str, **columns: Column) -> tuple[DataFrame, Observation]:
+    """``df`` that reports the mean and sum of columns when it is run, over all tasks: ``<column>_mean`` and ``<column>_sum``."""
+    seen = Observation(name)
+    aggregates = [f(c).alias(f"{k}_{part}") for k, c in columns.items() for part, f in (("mean", F.avg), ("sum", F.sum))]
+    return df.observe(seen, *aggregates), seen
+
+
+def progress(df: DataFrame, name: str, column: str = "text") -> tuple[DataFrame, Observation]:
+    """``df`` that reports ``items`` and ``bytes`` of a text column when it is run."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("items"), F.coalesce(F.sum(F.octet_length(column)), F.lit(0)).alias("bytes")), seen
+
+
+def clip_to_percentile(df: DataFrame, norm: str, percentile: float = 0.9, most: float | None = None) -> DataFrame:
+    """``df`` with ``clip_factor``: what scales a norm down to the percentile of all norms, or to ``most`` if that is less."""
+    if not 0 <= percentile <= 1:
+        raise ValueError("a percentile between 0 and 1 is needed")
+    bound = df.agg(F.percentile(norm, F.lit(percentile)).alias("bound"))
+    limit = F.col("bound") if most is None else F.least("bound", F.lit(float(most)))
+    return df.crossJoin(F.broadcast(bound)).withColumn("clip_factor", F.least(F.lit(1.0), limit / F.greatest(F.col(norm), F.lit(1e-12)))).drop("bound")

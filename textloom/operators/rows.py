@@ -7,7 +7,9 @@ so a row's result depends on its seed only, not on partitions or retries.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -23,12 +25,37 @@ Step = Callable[[DataFrame], DataFrame]
 INDEX_ROWS = 1_000_000
 
 
+#: Where the step that is being applied stands in chains and switches, from the outside in.
+_place: list[int] = []
+
+
+@contextmanager
+def _at(i: int) -> Iterator[None]:
+    _place.append(i)
+    try:
+        yield
+    finally:
+        _place.pop()
+
+
+def _salt() -> int:
+    """A number of the step's place, so that equal steps at different places draw different numbers."""
+    return zlib.crc32(repr(_place).encode()) if _place else 0
+
+
 def uniform(name: str, *more) -> Column:
-    """A number in [0, 1) from the row's seed and the step's name."""
-    return F.pmod(F.xxhash64("seed", F.lit(name), *more), F.lit(1 << 40)) / float(1 << 40)
+    """A number in [0, 1) from the row's seed, the step's name and its place."""
+    return F.pmod(F.xxhash64("seed", F.lit(name), F.lit(_salt()), *more), F.lit(1 << 40)) / float(1 << 40)
 
 
-# --- order -----------------------------------------------------------------------------------
+def _free(df: DataFrame, name: str) -> str:
+    have = {c.lower() for c in df.columns}
+    while name in have:
+        name += "_"
+    return name
+
+
+# order
 
 
 def with_index(df: DataFrame, key: str, *ties: str, name: str = "idx") -> DataFrame:
@@ -39,18 +66,26 @@ def with_index(df: DataFrame, key: str, *ties: str, name: str = "idx") -> DataFr
     """
     n = df.count()
     parts = -(-n // INDEX_ROWS)
-    edges = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.001))) if parts > 1 else []
-    bucket = F.lit(0)
-    for e in edges:
-        bucket = bucket + (F.col(key) > e).cast("int")
-    cut = df.withColumn("__range", bucket)
-    before = {r["__range"]: r["count"] for r in cut.groupBy("__range").count().collect()} if edges else {0: n}
-    shift, seen = [], 0
-    for k in sorted(before):
-        shift += [F.lit(k), F.lit(seen)]
-        seen += before[k]
-    rank = F.row_number().over(Window.partitionBy("__range").orderBy(key, *ties)) - 1
-    return cut.withColumn(name, (rank + (F.element_at(F.create_map(*shift), F.col("__range")) if shift else 0)).cast("bigint")).drop("__range")
+    part = _free(df, "range")
+    edges = sorted(set(df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
+    if not edges:
+        rank = F.row_number().over(Window.orderBy(key, *ties)) - 1
+        return df.withColumn(name, rank.cast("bigint"))
+    bounds = np.array(edges)
+
+    @F.pandas_udf("int")
+    def range_of(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, v.to_numpy(float), "left").astype(np.int32))
+
+    cut = df.withColumn(part, range_of(F.col(key).cast("double")))
+    counts = {r[part]: r["count"] for r in cut.groupBy(part).count().collect()}  # a row for a million rows
+    before, seen = [], 0
+    for k in range(len(edges) + 1):
+        before.append(seen)
+        seen += counts.get(k, 0)
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(key, *ties)) - 1
+    start = F.get(F.array(*[F.lit(x).cast("bigint") for x in before]), F.col(part))
+    return cut.withColumn(name, (rank + start).cast("bigint")).drop(part)
 
 
 def merge_sources(rows: DataFrame, strategy: str = "sequential", seed: int = 0) -> DataFrame:
@@ -89,48 +124,73 @@ def min_items(total: int, skip: int = 0, limit: int | None = None) -> int:
     return max(0, min(total, limit if limit is not None else total) - skip)
 
 
-# --- preprocessing -----------------------------------------------------------------------------
+# preprocessing
 
 
 def chain(*steps: Step) -> Step:
     def run(df: DataFrame) -> DataFrame:
-        for step in steps:
-            df = df.transform(step)
+        for i, step in enumerate(steps):
+            with _at(i):
+                df = df.transform(step)
         return df
 
     return run
 
 
+def none(df: DataFrame) -> DataFrame:
+    """The step that changes nothing."""
+    return df
+
+
 def on(part: str, f: Callable[[Column], Column]) -> Step:
     """Apply a Column function to ``input`` or ``target``."""
     return lambda df: df.withColumn(part, f(F.col(part)))
 
 
 def _choose(which: Column, steps: Sequence[Step], df: DataFrame) -> DataFrame:
-    """Run all branches as columns, then take each row's."""
-    parts = ("input", "target", "marks")
-    out = df.withColumn("__which", which)
+    """Run all branches on the same row, then take each row's; a column that only some branches make is null in others.
+
+    Whatever column a branch changes or adds is its own; where ``which`` is no
+    branch's number the row stays as it is.
+    """
+    number, whole = _free(df, "branch of the row"), _free(df, "whole row")
     keep = df.columns
+    names = [f"`{c}`" for c in keep]
+    out = df.select(which.alias(number), F.struct(*names).alias(whole))
+    made: list[tuple[str, list[str]]] = []
     for i, step in enumerate(steps):
-        out = _branch(out, step, i, parts)
-    picked = {p: F.coalesce(*[F.when(F.col("__which") == i, F.col(f"__b{i}_{p}")) for i in range(len(steps))], F.col(p)) for p in parts}
-    return out.withColumns(picked).select(*keep)
-
-
-def _branch(df: DataFrame, step: Step, i: int, parts: tuple[str, ...]) -> DataFrame:
-    saved = df.withColumns({f"__s{i}_{p}": F.col(p) for p in parts})
-    done = step(saved)
-    return done.withColumns({f"__b{i}_{p}": F.col(p) for p in parts}).withColumns({p: F.col(f"__s{i}_{p}") for p in parts})
+        temps = [number, whole, *[m for m, _ in made]]
+        with _at(-1 - i):
+            done = step(out.select(*[f"`{c}`" for c in temps], f"`{whole}`.*"))
+        columns = [c for c in done.columns if c not in temps]
+        branch = f"{number}_{i}"
+        while branch in keep:
+            branch += "_"
+        made.append((branch, columns))
+        out = done.select(*[f"`{c}`" for c in temps], F.struct(*[f"`{c}`" for c in columns]).alias(branch))
+    new = [c for c in dict.fromkeys(c for _, columns in made for c in columns) if c not in keep]
+
+    def pick(c: str) -> Column:
+        value = F.col(f"`{whole}`")[c] if c in keep else F.lit(None)
+        for i, (branch, columns) in enumerate(made):
+            if c in columns:
+                value = F.when(F.col(f"`{number}`") == i, F.col(f"`{branch}`")[c]).otherwise(value)
+        return value.alias(c)
+
+    return out.select(*map(pick, [*keep, *new]))
 
 
 def switch(steps: Sequence[Step], probabilities: Sequence[float], name: str = "switch") -> Step:
     if abs(sum(probabilities) - 1) > 1e-5 or len(steps) != len(probabilities):
         raise ValueError("a probability for each step, summing to 1, is needed")
-    which = F.lit(len(steps) - 1)
-    bounds = np.cumsum(probabilities).tolist()
-    for i in reversed(range(len(steps))):
-        which = F.when(uniform(name) <= bounds[i], i).otherwise(which)
-    return lambda df: _choose(which, steps, df)
+
+    def run(df: DataFrame) -> DataFrame:
+        which, bounds = F.lit(len(steps) - 1), np.cumsum(probabilities).tolist()
+        for i in reversed(range(len(steps))):
+            which = F.when(uniform(name) <= bounds[i], i).otherwise(which)
+        return _choose(which, steps, df)
+
+    return run
 
 
 def on_mark(key: str, value: str, step: Step) -> Step:
@@ -144,6 +204,22 @@ def switch_on_mark(key: str, values: Sequence[str], steps: Sequence[Step]) -> St
     return lambda df: _choose(which, steps, df)
 
 
+def per_source(steps: Sequence[Step]) -> Step:
+    """The step of each row's source: the first for file_idx 0, and so on; one is needed for every source."""
+    lost = F.raise_error(F.concat(F.lit("no step for source "), F.coalesce(F.col("file_idx").cast("string"), F.lit("none")))).cast("int")
+    return lambda df: _choose(F.when(F.col("file_idx").between(0, len(steps) - 1), F.col("file_idx")).otherwise(lost), steps, df)
+
+
+def json_decode(part: str = "input") -> Step:
+    """A part that is a JSON text of a string becomes that string."""
+    return on(part, X.json_string)
+
+
+def chat_decode(part: str = "input", roles: dict[str, str] | None = None, start: str = "", end: str | None = "<|assistant|>\n") -> Step:
+    """A part that is a JSON list of messages becomes the chat by its template."""
+    return on(part, lambda c: X.format_chat(F.from_json(c, X.CHAT_TYPE), roles, start, end))
+
+
 def mark(key: str, value: str) -> Step:
     return lambda df: df.withColumn("marks", F.map_concat(F.map_filter("marks", lambda k, _: k != key), F.create_map(F.lit(key), F.lit(value))))
 
@@ -168,9 +244,9 @@ def _rng(*key) -> np.random.Generator:
 def whitespace_corruption(insert_prob: float, delete_prob: float) -> Step:
     """A draw for each character of ``input``: white space may go, a space may come before others."""
 
-    def corrupt(s: str, seed: int) -> str:
+    def corrupt(s: str, seed: int, salt: int) -> str:
         cs, out = K.clusters(s), []
-        draws = _rng(seed, 11).random(len(cs))
+        draws = _rng(seed, 11, salt).random(len(cs))
         for i, c in enumerate(cs):
             if K.blank(c):
                 if draws[i] < delete_prob:
@@ -180,24 +256,24 @@ def whitespace_corruption(insert_prob: float, delete_prob: float) -> Step:
             out.append(c)
         return "".join(out)
 
-    return lambda df: df.withColumn("input", K.arrow(corrupt, "string")("input", "seed"))
+    return lambda df: df.withColumn("input", K.arrow(corrupt, "string", salt=_salt())("input", "seed"))
 
 
 def substring(kind: str, size: int) -> Step:
     """A random window of ``input`` by characters or bytes; ``target`` becomes the same text with its own white space."""
 
-    def cut(s: str, seed: int) -> str:
+    def cut(s: str, seed: int, salt: int) -> str:
         if kind == "char":
             cs = K.clusters(s)
             k = min(size, len(cs))
-            i = int(_rng(seed, 12).integers(len(cs) - k + 1))
+            i = int(_rng(seed, 12, salt).integers(len(cs) - k + 1))
             return "".join(cs[i : i + k])
         found = K.byte_substrings(s, size)
-        a, b, _ = found[int(_rng(seed, 12).integers(len(found)))] if found else (0, 0, 0)
+        a, b, _ = found[int(_rng(seed, 12, salt).integers(len(found)))] if found else (0, 0, 0)
         return s.encode()[a:b].decode()
 
     def run(df: DataFrame) -> DataFrame:
-        cut_in = K.arrow(cut, "string")("input", "seed")
+        cut_in = K.arrow(cut, "string", salt=_salt())("input", "seed")
         done = df.withColumn("input", cut_in)
         found = X.find_ignoring_whitespace("target", "input")
         return done.withColumn("target", F.trim(F.coalesce(found, F.raise_error(F.lit("the target doesn't hold the substring")).cast("string"))))
@@ -260,8 +336,8 @@ def context_table(grams: DataFrame, temperature: float = 2.0, least: float = 1e-
 def spelling_corruption(prob: float, contexts: dict | None = None, misspellings: dict[str, list[str]] | None = None, artificial_prob: float = 1.0, char_edit_prob: float = 0.2, allow_full_delete: bool = True) -> Step:
     """Each word of ``input`` is corrupted with ``prob``: by a known misspelling, else by character edits."""
 
-    def corrupt(s: str, seed: int) -> str:
-        rng, out = _rng(seed, 13), []
+    def corrupt(s: str, seed: int, salt: int) -> str:
+        rng, out = _rng(seed, 13, salt), []
         for word in s.split(" "):
             if word and rng.random() < prob:
                 real = (misspellings or {}).get(word)
@@ -275,10 +351,10 @@ def spelling_corruption(prob: float, contexts: dict | None = None, misspellings:
                 out.append(word)
         return " ".join(out)
 
-    return lambda df: df.withColumn("input", K.arrow(corrupt, "string")("input", "seed"))
+    return lambda df: df.withColumn("input", K.arrow(corrupt, "string", salt=_salt())("input", "seed"))
 
 
-# --- tasks ----------------------------------------------------------------------------------
+# tasks
 
 
 def _minus(n: int) -> Column:
@@ -323,7 +399,7 @@ def classification_task(tokenize: Callable[[Column], Column], classes: Sequence[
     return lambda df: df.withColumn("token_ids", tokenize(F.col("input"))).withColumn("label", label)
 
 
-# --- postprocessing and batches ----------------------------------------------------------------
+# postprocessing and batches
 
 
 def clip_length(n: int, columns: Sequence[str] = ("token_ids", "labels")) -> Step:
@@ -333,8 +409,8 @@ def clip_length(n: int, columns: Sequence[str] = ("token_ids", "labels")) -> Ste
 def token_masking(mask_id: int, prob: float, min_tokens: int = 1, span_prob: float = 0.5) -> Step:
     """Replace spans of tokens: a span starts with ``prob``, is geometric in length and at most half of the tokens."""
 
-    def masked(ids: list, seed: int) -> list:
-        rng, out, i = _rng(seed, 14), list(ids), 0
+    def masked(ids: list, seed: int, salt: int) -> list:
+        rng, out, i = _rng(seed, 14, salt), list(ids), 0
         while i < len(out):
             if rng.random() < prob:
                 n = min(max(min_tokens, int(rng.geometric(span_prob))), max(1, len(out) // 2), len(out) - i)
@@ -343,42 +419,93 @@ def token_masking(mask_id: int, prob: float, min_tokens: int = 1, span_prob: flo
             i += 1
         return out
 
-    return lambda df: df.withColumn("token_ids", K.arrow(masked, "array<int>")("token_ids", "seed"))
+    return lambda df: df.withColumn("token_ids", K.arrow(masked, "array<int>", salt=_salt())("token_ids", "seed"))
 
 
 def fixed_batches(rows: DataFrame, size: int) -> DataFrame:
     return rows.withColumn("batch_id", F.floor(F.col("idx") / size).cast("bigint"))
 
 
-def padded_batches(rows: DataFrame, limit: int, shard_rows: int = 10_000, sort: bool = False, shuffle: bool = False, seed: int = 0) -> DataFrame:
-    """``rows`` (idx, size, ...) with ``shard`` and ``batch_id``: count times largest size is at most ``limit``, one row at least.
+def _fold(sizes: np.ndarray, limit: int, kind: str, prefetch: int, sort: bool, shuffle: bool, rng: np.random.Generator) -> np.ndarray:
+    """The batch of each row, by a buffer that is filled past ``prefetch`` limits before each batch is taken out of it."""
+    weigh = (lambda n, top: n * top) if kind == "padded" else (lambda n, top: n)
+    out, batch = np.zeros(len(sizes), np.int64), 0
+    buffer: list[int] = []
+    at, top = 0, 0
+    while at < len(sizes) or buffer:
+        while at < len(sizes) and (not buffer or weigh(len(buffer), top) <= limit * max(1, prefetch)):
+            buffer.append(at)
+            top = max(top, int(sizes[at]))
+            at += 1
+        if sort:
+            buffer.sort(key=lambda i: sizes[i])
+            if shuffle:  # a random one of the longest runs within the limit
+                ends = _runs(sizes[buffer], limit, weigh)
+                i, j = ends[int(rng.integers(len(ends)))]
+                taken = buffer[i:j]
+                del buffer[i:j]
+            else:
+                taken = _take(buffer, sizes, limit, weigh)
+        else:
+            if shuffle:
+                buffer = [buffer[i] for i in rng.permutation(len(buffer))]
+            taken = _take(buffer, sizes, limit, weigh) if shuffle else _take_front(buffer, sizes, limit, weigh)
+        out[taken] = batch
+        batch += 1
+        top = int(sizes[buffer].max()) if buffer else 0
+    return out
+
+
+def _take(buffer: list[int], sizes: np.ndarray, limit: int, weigh) -> list[int]:
+    taken, top = [], 0
+    while buffer and (not taken or weigh(len(taken) + 1, max(top, sizes[buffer[-1]])) <= limit):
+        taken.append(buffer.pop())
+        top = max(top, sizes[taken[-1]])
+    return taken
+
+
+def _take_front(buffer: list[int], sizes: np.ndarray, limit: int, weigh) -> list[int]:
+    n, top = 0, 0
+    while n < len(buffer) and (not n or weigh(n + 1, max(top, sizes[buffer[n]])) <= limit):
+        top = max(top, sizes[buffer[n]])
+        n += 1
+    taken = buffer[:n]
+    del buffer[:n]
+    return taken
+
+
+def _runs(sizes: np.ndarray, limit: int, weigh) -> list[tuple[int, int]]:
+    """The longest runs of ascending sizes within the limit; one row at least."""
+    out, start = [], 0
+    for end in range(1, len(sizes) + 1):
+        while start < end - 1 and weigh(end - start, sizes[end - 1]) > limit:
+            start += 1
+        if out and out[-1][0] == start:
+            out[-1] = (start, end)
+        else:
+            out.append((start, end))
+    return out
+
+
+def padded_batches(rows: DataFrame, limit: int, shard_rows: int = 10_000, sort: bool = False, shuffle: bool = False, seed: int = 0, kind: str = "padded", prefetch: int = 1) -> DataFrame:
+    """``rows`` (idx, size, ...) with ``shard`` and ``batch_id``: count times largest size (or with ``kind`` "count" the count) is at most ``limit``, one row at least.
 
-    Batches are made in shards of consecutive rows; within one, rows come in
-    order, by size (largest first), or shuffled by seed; with both, sorted runs
-    are taken in random order.
+    Batches are made in shards of consecutive rows.  A buffer takes rows in
+    order until it passes ``prefetch`` limits; a batch comes from its front,
+    with ``sort`` from its largest rows, with ``shuffle`` from a shuffled
+    buffer; with both it is a random one of the longest runs of the sorted
+    buffer.  A shard's rows are held by one task: ``shard_rows`` bounds them.
     """
-    fields = [*rows.schema.fields, T.StructField("shard", T.LongType()), T.StructField("batch_id", T.LongType())]
+    part, batch = "shard", "batch_id"
+    fields = [*rows.schema.fields, T.StructField(part, T.LongType()), T.StructField(batch, T.LongType())]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        if sort:
-            pdf = pdf.sort_values(["size", "idx"], ascending=False, kind="stable")
-        elif shuffle:
-            pdf = pdf.iloc[np.argsort(np.random.default_rng([seed, int(pdf["shard"].iloc[0])]).random(len(pdf)))]
-        else:
-            pdf = pdf.sort_values("idx")
-        ids, batch, count, top = [], 0, 0, 0
-        for s in pdf["size"]:
-            if count and (count + 1) * max(top, s) > limit:
-                batch, count, top = batch + 1, 0, 0
-            ids.append(batch)
-            count, top = count + 1, max(top, s)
-        ids = np.array(ids, np.int64)
-        if sort and shuffle and len(ids):
-            ids = np.random.default_rng([seed, int(pdf["shard"].iloc[0])]).permutation(ids.max() + 1)[ids]
-        return pdf.assign(batch_id=ids)
-
-    cut = rows.withColumn("shard", F.floor(F.col("idx") / shard_rows).cast("bigint"))
-    return cut.groupBy("shard").applyInPandas(fold, T.StructType(fields))
+        pdf = pdf.sort_values("idx")
+        rng = np.random.default_rng([seed, int(pdf[part].iloc[0])])
+        return pdf.assign(**{batch: _fold(pdf["size"].to_numpy(np.int64), limit, kind, prefetch, sort, shuffle, rng)})
+
+    cut = rows.withColumn(part, F.floor(F.col("idx") / shard_rows).cast("bigint"))
+    return cut.groupBy(part).applyInPandas(fold, T.StructType(fields))
 
 
 def batch_statistics(batched: DataFrame, *keys: str) -> DataFrame:
@@ -391,3 +518,28 @@ def tensorize(batched: DataFrame, column: str = "token_ids", pad_id: int = 0, *k
     longest = F.max(F.size(column)).over(Window.partitionBy(*(keys or ("batch_id",))))
     out = batched.withColumn("length", F.size(column)).withColumn("__n", longest)
     return out.withColumn(column, F.concat(column, F.array_repeat(F.lit(pad_id), F.col("__n") - F.col("length")))).drop("__n")
+
+
+def inference_batches(batched: DataFrame, *keys: str) -> DataFrame:
+    """One row a batch: ``n_items, sizes, indices, token_ids``, items in the order of idx."""
+    said = F.array_sort(F.collect_list(F.struct("idx", "size", "token_ids")))
+    grouped = batched.groupBy(*(keys or ("batch_id",))).agg(said.alias("said"))
+    return grouped.select(*(keys or ("batch_id",)), F.size("said").alias("n_items"), F.col("said.size").alias("sizes"), F.col("said.idx").alias("indices"), F.col("said.token_ids").alias("token_ids"))
+
+
+def first_lines(rows: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` lines of each source."""
+    return rows if most is None else rows.where(F.col("line_no") < most)
+
+
+def split_validation(rows: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The first ``n`` rows by idx, and the others."""
+    return rows.where(F.col("idx") < n), rows.where(F.col("idx") >= n)
+
+
+def group_features(features: DataFrame, groups: DataFrame, how: str = "mean") -> DataFrame:
+    """``batch, group, dim, value``: features (batch, pos, dim, value) averaged or summed over the positions of groups (batch, group, pos)."""
+    if how not in ("mean", "sum"):
+        raise ValueError("mean or sum")
+    agg = F.avg if how == "mean" else F.sum
+    return features.join(groups, ["batch", "pos"]).groupBy("batch", "group", "dim").agg(agg("value").alias("value"))

@@ -6,6 +6,7 @@ recognised, longest first, unless ``ignore_special_tokens``.
 
 from __future__ import annotations
 
+import json
 import re
 import string
 from collections.abc import Callable, Iterator
@@ -13,11 +14,12 @@ from dataclasses import dataclass
 
 import pandas as pd
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.kernels import clusters
+from ..sources.files import read_merges
 from .merges import MergeTable
 
 CHARS = string.ascii_letters + string.digits + string.punctuation + " "
@@ -73,6 +75,10 @@ class CharTokenizer:
         table = F.create_map(*[F.lit(x) for t, i in at.items() for x in (t, i)])
         return _framed(F.flatten(F.transform(_pieces(s, self.special, False), lambda p: F.when(F.element_at(table, p).isNotNull(), F.array(F.element_at(table, p))).otherwise(plain(p)))), self.special, self.offset)
 
+    def continuations(self) -> list[bytes]:
+        """The bytes of every id, special tokens included."""
+        return [c.encode() for c in [*CHARS, *self.special.ids(0)]]
+
     def de_tokenize(self, ids: Column, ignore_special_tokens: bool = True) -> Column:
         names = list(self.special.ids(0))
         table = F.array(*[F.lit(t) for t in names])
@@ -115,6 +121,10 @@ class ByteTokenizer:
             ends = [F.array_repeat(F.lit(1), len(side)) for side in (self.special.prefix, self.special.suffix)]
         return F.concat(ends[0], inner, ends[1])
 
+    def continuations(self) -> list[bytes]:
+        """The bytes of every id, special tokens included."""
+        return [*(bytes([b]) for b in range(256)), *(t.encode() for t in self.special.ids(0))]
+
     def de_tokenize(self, ids: Column, ignore_special_tokens: bool = True) -> Column:
         table = F.array(*[F.hex(F.encode(F.lit(t), "utf-8")) for t in self.special.ids(0)])
         one = lambda i: F.when(i < 256, F.lpad(F.hex(i.cast("bigint")), 2, "0")).otherwise(F.lit("") if ignore_special_tokens else F.get(table, i - 256))
@@ -125,41 +135,67 @@ def dummy_tokenize(s: Column) -> Column:
     return F.when(s.isNotNull(), F.array().cast("array<int>"))
 
 
+#: Words whose ids a worker keeps.
+CACHE_WORDS = 500_000
+
+
 class MergeTokenizer:
-    """Trained byte-pair merges over words with the white space before them; words are encoded once a batch."""
+    """Trained byte-pair merges over words with the white space before them; a worker encodes a word once.
+
+    Special tokens are recognised, longest first, unless ignored; they come
+    from the table, or from ``special``, which may also name a prefix and a
+    suffix.
+    """
 
     _WORD = regex.compile(r"\p{White_Space}+\P{White_Space}+|^\P{White_Space}+|\p{White_Space}+$")
 
-    def __init__(self, table: MergeTable):
-        self.table = table
+    def __init__(self, table: MergeTable, special: Special | None = None):
+        self.special = special or Special(tuple(table.specials) or ("<pad>",))
+        missing = [t for t in self.special.tokens if t not in table.specials]
+        self.table = table if not missing else MergeTable(list(table.rank), (*table.specials, *missing))
+
+    @property
+    def vocab_size(self) -> int:
+        return self.table.vocab_size
+
+    def continuations(self) -> list[bytes]:
+        return self.table.continuations()
 
-    def encode(self) -> Callable[[Column], Column]:
+    def encode(self, ignore_special_tokens: bool = False) -> Callable[[Column], Column]:
         table, word = self.table, self._WORD
+        ends = [[table.specials[t] for t in side] for side in (self.special.prefix, self.special.suffix)]
+        split = None if ignore_special_tokens else regex.compile(f"({self.special.pattern})")
 
         @F.pandas_udf("array<int>")
-        def run(texts: pd.Series) -> pd.Series:
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             known: dict[str, list[int]] = {}
-            out = []
-            for t in texts:
-                if t is None:
-                    out.append(None)
-                    continue
+
+            def plain(t: str) -> list[int]:
                 ids: list[int] = []
                 for w in word.findall(t):
                     if w not in known:
+                        if len(known) >= CACHE_WORDS:
+                            known.clear()
                         known[w] = table.encode_word(w)
                     ids += known[w]
-                out.append(ids)
-            return pd.Series(out)
+                return ids
+
+            def whole(t: str) -> list[int]:
+                if split is None:
+                    return plain(t)
+                return [i for k, part in enumerate(split.split(t)) for i in ([table.specials[part]] if k % 2 else plain(part))]
+
+            for texts in batches:
+                yield pd.Series([None if t is None else [*ends[0], *whole(t), *ends[1]] for t in texts])
 
         return run
 
-    def decode(self) -> Callable[[Column], Column]:
+    def decode(self, ignore_special_tokens: bool = True) -> Callable[[Column], Column]:
         table = self.table
 
         @F.pandas_udf("string")
         def run(ids: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None else table.decode(x) for x in ids])
+            return pd.Series([None if x is None else table.decode(x, ignore_special_tokens) for x in ids])
 
         return run
 
@@ -170,27 +206,87 @@ class FileTokenizer:
     def __init__(self, path: str, special: Special = Special(tokens=("<pad>",))):
         self.path, self.special = path, special
 
-    def encode(self) -> Callable[[Column], Column]:
-        path, special = self.path, self.special
+    def load(self):
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.path)
+        t.add_special_tokens([x for x in self.special.tokens if t.token_to_id(x) is None])
+        return t
+
+    @property
+    def vocab_size(self) -> int:
+        return self.load().get_vocab_size()
+
+    def token_to_id(self, token: str) -> int | None:
+        return self.load().token_to_id(token)
+
+    def id_to_token(self, i: int) -> str | None:
+        return self.load().id_to_token(i)
+
+    def encode(self, ignore_special_tokens: bool = False) -> Callable[[Column], Column]:
+        made = self
 
         @F.pandas_udf("array<int>")
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            from tokenizers import Tokenizer
-
-            t = Tokenizer.from_file(path)
-            t.add_special_tokens([x for x in special.tokens if t.token_to_id(x) is None])
-            ends = [[t.token_to_id(x) for x in side] for side in (special.prefix, special.suffix)]
+            t = made.load()
+            t.encode_special_tokens = ignore_special_tokens
+            ends = [[t.token_to_id(x) for x in side] for side in (made.special.prefix, made.special.suffix)]
             for texts in batches:
                 found = t.encode_batch([x or "" for x in texts], add_special_tokens=False)
                 yield pd.Series([None if x is None else [*ends[0], *e.ids, *ends[1]] for x, e in zip(texts, found)])
 
         return run
 
+    def decode(self, ignore_special_tokens: bool = True) -> Callable[[Column], Column]:
+        made = self
+
+        @F.pandas_udf("string")
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            t = made.load()
+            for ids in batches:
+                found = t.decode_batch([[] if x is None else list(x) for x in ids], skip_special_tokens=ignore_special_tokens)
+                yield pd.Series([None if x is None else s for x, s in zip(ids, found)])
+
+        return run
+
+    def continuations(self) -> list[bytes]:
+        """The bytes that each id stands for: byte-level stand-ins and byte fallbacks undone, word marks as spaces."""
+        t, stand_in = self.load(), _stand_ins()
+        vocab = t.get_vocab(with_added_tokens=True)
+        added = {x.content for x in t.get_added_tokens_decoder().values()}
+        byte_level = "ByteLevel" in str(json.loads(t.to_str()).get("decoder"))
+        out = [b""] * (max(vocab.values()) + 1)
+        for token, i in vocab.items():
+            if token in added:
+                out[i] = token.encode()
+            elif byte_level and all(c in stand_in for c in token):
+                out[i] = bytes(stand_in[c] for c in token)
+            elif m := re.fullmatch(r"<0x([0-9A-Fa-f]{2})>", token):
+                out[i] = bytes.fromhex(m[1])
+            else:
+                out[i] = token.replace("\u2581", " ").removeprefix("##").encode()
+        return out
+
+
+def _stand_ins() -> dict[str, int]:
+    """The bytes behind the printable characters of byte-level vocabularies."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _from_merges(table: MergeTable | None = None, path: str | None = None, max_vocab_size: int | None = None, special: Special | None = None) -> MergeTokenizer:
+    """From a table, or from a folder of saved merges."""
+    if table is None:
+        spark = SparkSession.getActiveSession()
+        table = MergeTable(read_merges(spark, path), special.tokens if special else (), max_vocab_size)
+    return MergeTokenizer(table, special)
+
 
 def make_tokenizer(config: dict):
     """A tokenizer from a dict with a ``type``: character, byte, bpe, huggingface or dummy."""
     kind, rest = config["type"], {k: v for k, v in config.items() if k != "type"}
-    made = {"character": CharTokenizer, "byte": ByteTokenizer, "bpe": MergeTokenizer, "huggingface": FileTokenizer, "dummy": lambda: dummy_tokenize}
+    made = {"character": CharTokenizer, "byte": ByteTokenizer, "bpe": _from_merges, "huggingface": FileTokenizer, "dummy": lambda: dummy_tokenize}
     if kind not in made:
         raise ValueError(f"unknown tokenizer {kind}")
     return made[kind](**rest)

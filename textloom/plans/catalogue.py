@@ -18,6 +18,7 @@ from ..operators import merges as M
 from ..operators import metrics as G
 from ..operators import rows as R
 from ..operators import tokenizers as Z
+from ..operators.loader import Loader
 from ..sources import files as S
 from ..streaming import inference as I
 
@@ -51,17 +52,16 @@ def docs(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
-def texts(spark: SparkSession, sf: str, source: str) -> DataFrame:
-    """``item_id, text`` of benchmark or documents."""
-    rows = table(spark, sf, source)
-    return rows if source == "benchmark" else rows.select(F.col("doc_id").alias("item_id"), "text")
+def texts(spark: SparkSession, sf: str) -> DataFrame:
+    """``item_id, text`` of the documents."""
+    return docs(spark, sf).select(F.col("doc_id").alias("item_id"), "text")
 
 
 def joined(c: Column, sep: str = ",") -> Column:
     return F.array_join(c.cast("array<string>"), sep)
 
 
-# --- text --------------------------------------------------------------------------------------
+# text
 
 
 @query(f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents")
@@ -86,15 +86,8 @@ p AS (SELECT doc_id, run, k, sum(length(run)) OVER (PARTITION BY doc_id ORDER BY
 SELECT doc_id, string_agg(CAST(z - length(run) AS BIGINT) || '-' || CAST(z AS BIGINT), ',' ORDER BY k) AS spans
 FROM p WHERE NOT regexp_matches(run, '^{_WS}') GROUP BY doc_id""")
 def word_boundaries(spark, sf):
-    spans = F.transform(_boundaries(F.col("text")), lambda b: F.concat_ws("-", b["start"], b["end"]))
-    return docs(spark, sf).select("doc_id", F.array_join(spans, ",").alias("spans")).where("spans <> ''")
-
-
-def _boundaries(text: Column) -> Column:
-    def find(s: str) -> list:
-        return [{"start": m.start(), "end": m.end()} for m in K.regex.finditer(r"\P{White_Space}+", s)]
-
-    return K.arrow(find, "array<struct<start:int,end:int>>")(text)
+    spans = F.transform(X.word_boundaries("text"), lambda b: F.concat_ws("-", b["start"], b["end"]))
+    return docs(spark, sf).where(F.length(X.remove_whitespace("text")) > 0).select("doc_id", F.array_join(spans, ",").alias("spans"))
 
 
 @query(r"""
@@ -129,26 +122,30 @@ def normalize_nfkc(spark, sf):
     return docs(spark, sf).select("doc_id", K.arrow(K.normalize, "string")("text").alias("normal"))
 
 
-@query("SELECT item_id, CAST(i AS INT) AS window_idx, CAST(strlen(substr(text, 1, i)) AS INT) AS byte_start, "
-       "CAST(strlen(substr(text, 1, i + least(32, length(text)))) AS INT) AS byte_end, CAST(least(32, length(text)) AS INT) AS n "
-       "FROM (SELECT item_id, text, unnest(range(0, length(text) - least(32, length(text)) + 1)) AS i FROM benchmark)")
+@query("""
+WITH c AS (SELECT doc_id, strlen(unnest(string_split(text, ''))) AS b, generate_subscripts(string_split(text, ''), 1) AS i, length(text) AS n FROM documents WHERE length(text) > 0),
+s AS (SELECT doc_id, i, n, b, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM c),
+w AS (SELECT doc_id, i - 1 AS i, z - b AS a, lead(z, CAST(31 AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS z, n, max(z) OVER (PARTITION BY doc_id) AS whole FROM s)
+SELECT doc_id, count(*) AS n_windows, CAST(sum(i * a) AS BIGINT) AS starts, CAST(sum(i * coalesce(z, whole)) AS BIGINT) AS ends FROM w WHERE n <= 32 AND i = 0 OR z IS NOT NULL GROUP BY doc_id
+UNION ALL SELECT doc_id, 1, 0, 0 FROM documents WHERE text = ''""")
 def char_substrings(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", F.posexplode(X.possible_char_substrings("text", 32)).alias("window_idx", "w"))
-    return b.select("item_id", "window_idx", "w.*")
+    w = F.posexplode(X.possible_char_substrings("text", 32)).alias("i", "w")
+    sums = [F.sum(F.col("i").cast("bigint") * F.col(f"w.{c}")).alias(n) for c, n in (("byte_start", "starts"), ("byte_end", "ends"))]
+    return docs(spark, sf).select("doc_id", w).groupBy("doc_id").agg(F.count("*").alias("n_windows"), *sums)
 
 
 @query()
-def byte_substrings(spark, sf, source="benchmark"):
+def byte_substrings(spark, sf):
     cut = K.arrow(lambda s: [f"{a}-{b}" for a, b, _ in K.byte_substrings(s, 64)], "array<string>")
-    return texts(spark, sf, source).select("item_id", F.array_join(cut("text"), ",").alias("spans"))
+    return texts(spark, sf).select("item_id", F.array_join(cut("text"), ",").alias("spans"))
 
 
 @query(f"""
-WITH b AS (SELECT item_id, text, substr(regexp_replace(text, '{_WS}', '', 'g'), 5, 12) AS part FROM benchmark)
+WITH b AS (SELECT item_id, text, substr(regexp_replace(text, '{_WS}', '', 'g'), 5, 12) AS part FROM (SELECT doc_id AS item_id, text FROM documents))
 SELECT item_id, regexp_extract(text, '\\s*' || array_to_string(list_transform(string_split(part, ''), lambda c: regexp_escape(c)), '\\s*') || '\\s*') AS found FROM b""")
-def find_substring_ws(spark, sf, source="benchmark"):
+def find_substring_ws(spark, sf):
     part = F.substring(X.remove_whitespace("text"), 5, 12)
-    return texts(spark, sf, source).select("item_id", X.find_ignoring_whitespace("text", part).alias("found"))
+    return texts(spark, sf).select("item_id", X.find_ignoring_whitespace("text", part).alias("found"))
 
 
 @query(f"""
@@ -173,7 +170,7 @@ def grapheme_lengths(spark, sf):
     return docs(spark, sf).select("doc_id", F.size(X.clusters("text")).alias("n_clusters"))
 
 
-# --- edit ---------------------------------------------------------------------------------------
+# edit
 
 
 @query("SELECT p_partkey, CAST(levenshtein(p_name, p_type) AS INT) AS distance FROM part")
@@ -221,14 +218,14 @@ def ws_operations(spark, sf):
     return out.select("doc_id", many(2).alias("n_delete"), many(0).alias("n_keep"))
 
 
-@query(f"SELECT item_id, array_to_string(string_split({_NO_WS}, ''), ' ') AS repaired FROM benchmark")
+@query(f"SELECT item_id, array_to_string(string_split({_NO_WS}, ''), ' ') AS repaired FROM (SELECT doc_id AS item_id, text FROM documents)")
 def ws_repair(spark, sf):
-    b = table(spark, sf, "benchmark").select("item_id", X.clean("text").alias("a"), X.full_whitespace("text").alias("b"))
+    b = texts(spark, sf).select("item_id", X.clean("text").alias("a"), X.full_whitespace("text").alias("b"))
     ops = K.arrow(K.whitespace_operations, "array<int>")("a", "b")
     return b.withColumn("ops", ops).select("item_id", X.repair_whitespace(X.clusters("a"), F.col("ops")).alias("repaired"))
 
 
-# --- windows and arrays -------------------------------------------------------------------------
+# windows and arrays
 
 
 @query("""
@@ -306,14 +303,15 @@ def padding_mask(spark, sf):
 
 
 @query(f"""
-WITH w AS (SELECT item_id, regexp_extract_all({_CLEAN}, '[^ ]+') AS ws FROM benchmark),
-g AS (SELECT item_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS group_idx FROM w)
-SELECT item_id, CAST(group_idx AS INT) AS group_idx, CAST(p AS INT) AS pos, round(1.0 / length(w), 9) AS weight
-FROM (SELECT *, unnest(range(0, length(w))) AS p FROM g)""")
+WITH w AS (SELECT doc_id, regexp_extract_all({_CLEAN}, '[^ ]+') AS ws FROM documents),
+g AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS group_idx FROM w)
+SELECT doc_id, count(*) AS n_groups, CAST(sum(length(w)) AS BIGINT) AS n_entries, round(sum(1.0 * group_idx), 6) AS weighted, round(sum(group_idx * (length(w) - 1) / 2.0), 6) AS positions
+FROM g GROUP BY doc_id""")
 def sparse_coo(spark, sf):
-    words = table(spark, sf, "benchmark").select("item_id", F.posexplode(X.whitespace_words("text")).alias("group_idx", "w"))
-    each = words.select("item_id", "group_idx", F.posexplode(A.group_weights(F.array(F.length("w")))).alias("pos", "weight"))
-    return each.withColumn("weight", F.round("weight", 9))
+    words = docs(spark, sf).select("doc_id", F.posexplode(X.whitespace_words("text")).alias("group_idx", "w"))
+    each = words.select("doc_id", "group_idx", F.posexplode(A.group_weights(F.array(F.length("w")))).alias("pos", "weight"))
+    sums = [F.sum((F.col("pos") == 0).cast("int")).alias("n_groups"), F.count("*").alias("n_entries"), F.round(F.sum(F.col("group_idx") * F.col("weight")), 6).alias("weighted")]
+    return each.groupBy("doc_id").agg(*sums, F.round(F.sum(F.col("group_idx") * F.col("pos") * F.col("weight")), 6).alias("positions"))
 
 
 @query()
@@ -322,7 +320,7 @@ def subsequences_k(spark, sf):
     return _ids(spark, sf).select("l_orderkey", cut("token_ids").alias("runs"))
 
 
-# --- dictionaries ---------------------------------------------------------------------------------
+# dictionaries
 
 _WORDS = r"""
 WITH r AS (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}\p{Pc}]+')) AS term FROM documents),
@@ -376,20 +374,15 @@ def dict_lookup(spark, sf):
     return found.withColumn("rel_freq", F.round("rel_freq", 12))
 
 
-_NAMES = """
-WITH r AS (SELECT unnest(string_split(p_name, ' ')) AS term FROM part), dict AS (SELECT term, count(*) AS freq FROM r GROUP BY term),
-keys AS (SELECT DISTINCT c_mktsegment AS word FROM customer WHERE c_mktsegment IS NOT NULL),
-d AS (SELECT word, term, freq, levenshtein(lower(word), term) AS distance FROM (SELECT word FROM keys), dict)
-SELECT word, arg_max(term, (-distance, freq, term)) AS term, CAST(arg_max(freq, (-distance, freq, term)) AS BIGINT) AS freq, CAST(min(distance) AS DOUBLE) AS distance
-FROM (SELECT lower(word) AS word, term, freq, distance FROM d) GROUP BY word
-"""
+_WRONG = r"wrong AS (SELECT DISTINCT replace(replace(word, 'th', 'ht'), 'e', 'ee') AS word FROM keys)"
 
 
-@query(_NAMES)
+@query(_WORDS + f""", {_KEYS}, {_WRONG}, t AS (SELECT term, freq FROM dict),
+d AS (SELECT word, term, freq, levenshtein(word, translate(term, 'äöüßÄÖÜáéíóúñàâçèêëîïôûùÁÉÍÓÚÑÀÂÇÈÊËÎÏÔÛÙœæ', '0123456789!#$%&()*+,-./:;<=>?@[]^`{{|}}~\u0001\u0002\u0003\u0004\u0005\u0006\u0007\u0008')) AS distance FROM wrong, t)
+SELECT word, arg_max(term, (-distance, freq, term)) AS term, CAST(arg_max(freq, (-distance, freq, term)) AS BIGINT) AS freq, CAST(min(distance) AS DOUBLE) AS distance FROM d GROUP BY word""")
 def dict_closest(spark, sf):
-    terms = table(spark, sf, "part").select(F.explode(F.split("p_name", " ")).alias("term")).groupBy("term").agg(F.count("*").alias("freq"))
-    keys = table(spark, sf, "customer").select(F.lower("c_mktsegment").alias("word"))
-    return D.closest(keys, "word", terms)
+    wrong = _keys(spark, sf).select(F.replace(F.replace("word", F.lit("th"), F.lit("ht")), F.lit("e"), F.lit("ee")).alias("word"))
+    return D.closest(wrong, "word", D.word_dictionary(docs(spark, sf)))
 
 
 @query(f"""
@@ -423,13 +416,13 @@ def bpe_roundtrip(spark, sf):
     return docs(spark, sf).select("doc_id", t.decode()(t.encode()("text")).alias("text"))
 
 
-# --- tokenizers --------------------------------------------------------------------------------------
+# tokenizers
 
 
-@query("SELECT item_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS INT)), ',') AS ids FROM benchmark")
-def byte_tokenize(spark, sf, source="benchmark"):
+@query("SELECT item_id, array_to_string(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS INT)), ',') AS ids FROM (SELECT doc_id AS item_id, text FROM documents)")
+def byte_tokenize(spark, sf):
     t = Z.ByteTokenizer(Z.Special(tokens=("<pad>",)))
-    return texts(spark, sf, source).select("item_id", joined(t.tokenize(F.col("text"), True)).alias("ids"))
+    return texts(spark, sf).select("item_id", joined(t.tokenize(F.col("text"), True)).alias("ids"))
 
 
 @query("SELECT doc_id, array_to_string(list_transform(string_split(text, ''), lambda c: strlen(c)), ',') AS groups FROM documents")
@@ -438,24 +431,24 @@ def byte_groups(spark, sf):
     return docs(spark, sf).select("doc_id", joined(t.groups(F.col("text"))).alias("groups"))
 
 
-@query(f"SELECT item_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN instr('{_VOCAB}', c) > 0 THEN instr('{_VOCAB}', c) - 1 ELSE 95 END), ',') AS ids FROM benchmark")
-def char_tokenize(spark, sf, source="benchmark"):
-    return texts(spark, sf, source).select("item_id", joined(Z.CharTokenizer().tokenize(F.col("text"), True)).alias("ids"))
+@query(f"SELECT item_id, array_to_string(list_transform(string_split(text, ''), lambda c: CASE WHEN instr('{_VOCAB}', c) > 0 THEN instr('{_VOCAB}', c) - 1 ELSE 95 END), ',') AS ids FROM (SELECT doc_id AS item_id, text FROM documents)")
+def char_tokenize(spark, sf):
+    return texts(spark, sf).select("item_id", joined(Z.CharTokenizer().tokenize(F.col("text"), True)).alias("ids"))
 
 
-@query("SELECT item_id, text FROM benchmark")
-def detokenize_roundtrip(spark, sf, source="benchmark"):
+@query("SELECT item_id, text FROM (SELECT doc_id AS item_id, text FROM documents)")
+def detokenize_roundtrip(spark, sf):
     t = Z.ByteTokenizer(Z.Special(prefix=("<bos>",), suffix=("<eos>",)))
-    return texts(spark, sf, source).select("item_id", t.de_tokenize(t.tokenize(F.col("text"))).alias("text"))
+    return texts(spark, sf).select("item_id", t.de_tokenize(t.tokenize(F.col("text"))).alias("text"))
 
 
 @query()
-def file_tokenize(spark, sf, source="benchmark"):
+def file_tokenize(spark, sf):
     t = Z.FileTokenizer("/opt/tokenizers/byte_bpe_50k.json")
-    return texts(spark, sf, source).select("item_id", joined(t.encode()("text")).alias("ids"))
+    return texts(spark, sf).select("item_id", joined(t.encode()("text")).alias("ids"))
 
 
-# --- metrics -------------------------------------------------------------------------------------------
+# metrics
 
 
 @query("SELECT avg(CASE WHEN quality = 1 - toxic THEN 1.0 ELSE 0 END) AS accuracy FROM labels")
@@ -494,7 +487,7 @@ def spelling_f1(spark, sf):
     return G.spelling_f1(b, "s", "p", "t")
 
 
-# --- row pipeline ----------------------------------------------------------------------------------------
+# row pipeline
 
 _SOURCES = """
 WITH s AS (SELECT doc_id, CAST(substr(source, 4) AS INT) AS file_idx, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS line_no FROM documents)
@@ -502,12 +495,15 @@ WITH s AS (SELECT doc_id, CAST(substr(source, 4) AS INT) AS file_idx, row_number
 
 
 def _sources(spark, sf):
-    line = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    return docs(spark, sf).select("doc_id", "text", F.substring("source", 4, 9).cast("int").alias("file_idx"), line.cast("bigint").alias("line_no"))
+    """Documents as lines of their sources, numbered in the order of doc_id."""
+    rows = docs(spark, sf).select("doc_id", "text", F.substring("source", 4, 9).cast("int").alias("file_idx"))
+    at = R.with_index(rows.withColumn("key", F.col("file_idx").cast("double") * float(1 << 40) + F.col("doc_id")), "key", name="at").drop("key")
+    first = at.groupBy("file_idx").agg(F.min("at").alias("first"))
+    return at.join(first, "file_idx").select("doc_id", "text", "file_idx", (F.col("at") - F.col("first")).alias("line_no"))
 
 
-def _pairs(spark, sf, source="benchmark"):
-    rows = texts(spark, sf, source).select(F.col("item_id").alias("idx"), F.col("text").alias("input"), X.clean("text").alias("target"))
+def _pairs(spark, sf):
+    rows = texts(spark, sf).select(F.col("item_id").alias("idx"), F.col("text").alias("input"), X.clean("text").alias("target"))
     return R.seeded(rows)
 
 
@@ -536,35 +532,35 @@ def skip_limit(spark, sf):
     return R.shard(R.merge_sources(_sources(spark, sf)), skip=10, limit=100).select("doc_id", "idx")
 
 
-@query(f"SELECT item_id AS idx, 'in: ' || text AS input, {_CLEAN} || ' </s>' AS target FROM benchmark")
-def prefix_suffix(spark, sf, source="benchmark"):
-    return R.chain(R.prefix("input", "in: "), R.suffix("target", " </s>"))(_pairs(spark, sf, source)).select("idx", "input", "target")
+@query(f"SELECT item_id AS idx, 'in: ' || text AS input, {_CLEAN} || ' </s>' AS target FROM (SELECT doc_id AS item_id, text FROM documents)")
+def prefix_suffix(spark, sf):
+    return R.chain(R.prefix("input", "in: "), R.suffix("target", " </s>"))(_pairs(spark, sf)).select("idx", "input", "target")
 
 
-@query(f"SELECT item_id AS idx, {_CLEAN} AS input FROM benchmark")
-def overwrite(spark, sf, source="benchmark"):
-    return R.overwrite("input")(_pairs(spark, sf, source)).select("idx", "input")
+@query(f"SELECT item_id AS idx, {_CLEAN} AS input FROM (SELECT doc_id AS item_id, text FROM documents)")
+def overwrite(spark, sf):
+    return R.overwrite("input")(_pairs(spark, sf)).select("idx", "input")
 
 
-@query(f"SELECT item_id AS idx, CASE WHEN item_id % 2 = 0 THEN 'even ' || text ELSE {_NO_WS} END AS input FROM benchmark")
-def marks_switch(spark, sf, source="benchmark"):
-    rows = _pairs(spark, sf, source).withColumn("marks", F.create_map(F.lit("kind"), F.when(F.col("idx") % 2 == 0, "even").otherwise("odd")))
+@query(f"SELECT item_id AS idx, CASE WHEN item_id % 2 = 0 THEN 'even ' || text ELSE {_NO_WS} END AS input FROM (SELECT doc_id AS item_id, text FROM documents)")
+def marks_switch(spark, sf):
+    rows = _pairs(spark, sf).withColumn("marks", F.create_map(F.lit("kind"), F.when(F.col("idx") % 2 == 0, "even").otherwise("odd")))
     return R.switch_on_mark("kind", ["even", "odd"], [R.prefix("input", "even "), R.on("input", X.remove_whitespace)])(rows).select("idx", "input")
 
 
 @query()
-def switch_random(spark, sf, source="benchmark"):
-    return R.switch([R.prefix("input", "a "), R.prefix("input", "b ")], [0.3, 0.7])(_pairs(spark, sf, source)).select("idx", "input")
+def switch_random(spark, sf):
+    return R.switch([R.prefix("input", "a "), R.prefix("input", "b ")], [0.3, 0.7])(_pairs(spark, sf)).select("idx", "input")
 
 
-@query(f"SELECT item_id AS idx, {_NO_WS} AS input FROM benchmark")
-def ws_corrupt_p1(spark, sf, source="benchmark"):
-    return R.whitespace_corruption(0.0, 1.0)(_pairs(spark, sf, source)).select("idx", "input")
+@query(f"SELECT item_id AS idx, {_NO_WS} AS input FROM (SELECT doc_id AS item_id, text FROM documents)")
+def ws_corrupt_p1(spark, sf):
+    return R.whitespace_corruption(0.0, 1.0)(_pairs(spark, sf)).select("idx", "input")
 
 
 @query()
-def ws_corrupt(spark, sf, source="benchmark"):
-    return R.whitespace_corruption(0.1, 0.2)(_pairs(spark, sf, source)).select("idx", "input")
+def ws_corrupt(spark, sf):
+    return R.whitespace_corruption(0.1, 0.2)(_pairs(spark, sf)).select("idx", "input")
 
 
 @query()
@@ -584,6 +580,61 @@ def classification_labels(spark, sf):
     return R.classification_task(Z.dummy_tokenize, ["de", "en", "es", "fr"])(rows).select("idx", "label")
 
 
+@query(f"SELECT item_id AS idx, CASE WHEN item_id % 3 = 0 THEN 'a: ' || text ELSE text END AS input, array_to_string(({{}})[1:CASE WHEN item_id % 3 = 0 THEN 3 WHEN item_id % 3 = 1 THEN 7 ELSE 11 END], ',') AS token_ids, item_id % 3 = 2 AS extra FROM (SELECT doc_id AS item_id, text FROM documents)".format("list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS INT))"))
+def switch_tokens(spark, sf):
+    rows = _pairs(spark, sf).withColumn("token_ids", _bytes(F.col("input"))).withColumn("marks", F.create_map(F.lit("kind"), (F.col("idx") % 3).cast("string")))
+    steps = [R.chain(R.clip_length(3), R.prefix("input", "a: ")), R.clip_length(7), R.chain(R.clip_length(11), lambda df: df.withColumn("extra", F.lit(True)))]
+    done = R.switch_on_mark("kind", ["0", "1", "2"], steps)(rows)
+    return done.select("idx", "input", joined(F.col("token_ids")).alias("token_ids"), F.coalesce("extra", F.lit(False)).alias("extra"))
+
+
+@query(_SOURCES + "SELECT doc_id FROM s WHERE line_no < 5")
+def first_lines(spark, sf):
+    return R.first_lines(_sources(spark, sf), 5).select("doc_id")
+
+
+@query(_SOURCES + ", i AS (SELECT doc_id, file_idx, row_number() OVER (ORDER BY line_no, file_idx) - 1 AS idx FROM s WHERE line_no < 40) "
+       "SELECT i.doc_id, idx, CASE WHEN file_idx % 2 = 0 THEN 'even ' || text ELSE text END AS input, CAST(length(text) + CASE WHEN file_idx % 2 = 0 THEN 5 ELSE 0 END AS INT) AS size "
+       "FROM i JOIN documents USING (doc_id) WHERE idx >= 7 AND idx < 600")
+def loader_items(spark, sf):
+    rows = _sources(spark, sf).withColumns({"input": F.col("text"), "target": F.col("text")}).drop("text")
+    files = (rows.agg(F.max("file_idx")).first()[0] or 0) + 1
+    made = Loader(preprocessing=[R.prefix("input", "even ") if i % 2 == 0 else R.none for i in range(files)], strategy="interleaved", skip=7, limit=600, max_lines_per_file=40)
+    return made.items(rows).select("doc_id", "idx", "input", "size")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey >= 5000 THEN 512 WHEN l_orderkey >= 1000 THEN 256 ELSE 128 END AS max_length FROM lineitem")
+def multi_step(spark, sf):
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", A.multi_step(F.col("l_orderkey"), [(1000, 256), (5000, 512)], 128).alias("max_length"))
+
+
+@query("""
+WITH n AS (SELECT vec_id, sqrt(list_sum(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * v))) AS norm FROM embeddings),
+q AS (SELECT quantile_cont(norm, 0.9) AS bound FROM n)
+SELECT vec_id, round(norm, 6) AS norm, round(least(1.0, bound / norm), 6) AS clip_factor FROM n, q""")
+def norm_clipping(spark, sf):
+    norm = F.sqrt(F.aggregate(F.transform("a", lambda v: v * v), F.lit(0.0), lambda x, y: x + y))
+    rows = G.clip_to_percentile(_logits(spark, sf).select("vec_id", norm.alias("norm")), "norm", 0.9)
+    return rows.select("vec_id", F.round("norm", 6).alias("norm"), F.round("clip_factor", 6).alias("clip_factor"))
+
+
+@query("""
+WITH f AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
+SELECT vec_id, CAST(pos // 4 AS INT) AS "group", round(avg(CAST(v AS DOUBLE)), 6) AS value FROM f GROUP BY vec_id, pos // 4""")
+def group_features(spark, sf):
+    at = _logits(spark, sf).select(F.col("vec_id").alias("batch"), F.posexplode("a").alias("pos", "value"))
+    groups = at.select("batch", (F.floor(F.col("pos") / 4)).cast("int").alias("group"), "pos")
+    found = R.group_features(at.withColumn("dim", F.lit(0)), groups)
+    return found.select(F.col("batch").alias("vec_id"), "group", F.round("value", 6).alias("value"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS items, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents")
+def progress(spark, sf):
+    seen_rows, seen = G.progress(docs(spark, sf), "progress")
+    seen_rows.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["items"], seen.get["bytes"])], "items bigint, bytes bigint")
+
+
 def _bytes(c: Column) -> Column:
     return Z.ByteTokenizer(Z.Special(tokens=("<pad>",))).tokenize(c, True)
 
@@ -591,34 +642,34 @@ def _bytes(c: Column) -> Column:
 _BYTES = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: CAST('0x' || x AS INT))"
 
 
-@query("WITH t AS (SELECT item_id, " + _BYTES.format("text || ' | ' || replace(text, 't', 'T')") + " AS ids, strlen(text) + 2 AS m FROM benchmark) "
+@query("WITH t AS (SELECT item_id, " + _BYTES.format("text || ' | ' || replace(text, 't', 'T')") + " AS ids, strlen(text) + 2 AS m FROM (SELECT doc_id AS item_id, text FROM documents)) "
        "SELECT item_id AS idx, array_to_string(ids[1:len(ids) - 1], ',') AS token_ids, array_to_string(list_concat(list_transform(range(0, m), lambda i: -1), ids[m + 2:]), ',') AS labels FROM t")
-def generation_labels(spark, sf, source="benchmark"):
-    rows = _pairs(spark, sf, source).withColumn("target", F.replace("input", F.lit("t"), F.lit("T")))
+def generation_labels(spark, sf):
+    rows = _pairs(spark, sf).withColumn("target", F.replace("input", F.lit("t"), F.lit("T")))
     return R.generation_task(_bytes, " | ", mask_input=True)(rows).select("idx", joined(F.col("token_ids")).alias("token_ids"), joined(F.col("labels")).alias("labels"))
 
 
-@query("WITH t AS (SELECT item_id, " + _BYTES.format("replace(text, 't', 'T')") + " AS ids FROM benchmark) SELECT item_id AS idx, array_to_string(ids[1:len(ids) - 1], ',') AS target_token_ids, array_to_string(ids[2:], ',') AS labels FROM t")
-def cond_generation(spark, sf, source="benchmark"):
-    rows = _pairs(spark, sf, source).withColumn("target", F.replace("input", F.lit("t"), F.lit("T")))
+@query("WITH t AS (SELECT item_id, " + _BYTES.format("replace(text, 't', 'T')") + " AS ids FROM (SELECT doc_id AS item_id, text FROM documents)) SELECT item_id AS idx, array_to_string(ids[1:len(ids) - 1], ',') AS target_token_ids, array_to_string(ids[2:], ',') AS labels FROM t")
+def cond_generation(spark, sf):
+    rows = _pairs(spark, sf).withColumn("target", F.replace("input", F.lit("t"), F.lit("T")))
     return R.conditional_generation_task(_bytes)(rows).select("idx", joined(F.col("target_token_ids")).alias("target_token_ids"), joined(F.col("labels")).alias("labels"))
 
 
 @query()
-def ws_labels(spark, sf, source="benchmark"):
-    rows = R.chain(R.on("input", X.remove_whitespace))(_pairs(spark, sf, source))
+def ws_labels(spark, sf):
+    rows = R.chain(R.on("input", X.remove_whitespace))(_pairs(spark, sf))
     return R.whitespace_task(_bytes, 1, 1)(rows).select("idx", joined(F.col("labels")).alias("labels"))
 
 
-@query("SELECT item_id AS idx, array_to_string(" + _BYTES.format("text") + "[1:32], ',') AS token_ids FROM benchmark")
-def clip_length(spark, sf, source="benchmark"):
-    rows = _pairs(spark, sf, source).withColumn("token_ids", _bytes(F.col("input")))
+@query("SELECT item_id AS idx, array_to_string(" + _BYTES.format("text") + "[1:32], ',') AS token_ids FROM (SELECT doc_id AS item_id, text FROM documents)")
+def clip_length(spark, sf):
+    rows = _pairs(spark, sf).withColumn("token_ids", _bytes(F.col("input")))
     return R.clip_length(32)(rows).select("idx", joined(F.col("token_ids")).alias("token_ids"))
 
 
 @query()
-def token_mask(spark, sf, source="benchmark"):
-    rows = _pairs(spark, sf, source).withColumn("token_ids", _bytes(F.col("input")))
+def token_mask(spark, sf):
+    rows = _pairs(spark, sf).withColumn("token_ids", _bytes(F.col("input")))
     return R.token_masking(0, 0.15)(rows).select("idx", joined(F.col("token_ids")).alias("token_ids"))
 
 
@@ -634,7 +685,7 @@ def batch_padded(spark, sf):
     return R.padded_batches(rows, 65_536, sort=True, shuffle=True)
 
 
-# --- chat, JSON, lines -----------------------------------------------------------------------------------------
+# chat, JSON, lines
 
 
 @query("SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || chr(10) || chr(10), '' ORDER BY turn, role, text) || '<|assistant|>' || chr(10) AS chat FROM conversations GROUP BY conv_id")
@@ -664,7 +715,7 @@ def jsonl_scan(spark, sf):
     return S.parse_jsonl(lines, strict=True).drop("error")
 
 
-# --- decoding ------------------------------------------------------------------------------------------------------
+# decoding
 
 _E = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS a FROM embeddings)"
 _X = _E + ", x AS (SELECT vec_id, unnest(a) AS v, generate_subscripts(a, 1) - 1 AS i FROM e), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, i) AS k FROM x)"
@@ -734,12 +785,16 @@ def beam_toy(spark, sf):
     return beam.beam_search_rows(rows, _toy, 0, max_new=12).select("id", joined(F.col("token_ids")).alias("token_ids"), F.round("score", 6).alias("score"))
 
 
-# --- streaming -------------------------------------------------------------------------------------------------------
+# streaming
 
 
 def _stream(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
     """Run ``build`` over a stream of the documents to the end, into the shared folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file:///tmp/textloom-stream-{os.getpid()}"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:  # unset in tests only
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        base = f"file:///tmp/textloom-stream-{os.getpid()}"
     path = f"{base}/{name}-{uuid.uuid4().hex}"
     source = spark.readStream.schema(docs(spark, sf).schema).parquet(f"{sf}/documents.parquet*").select(F.col("doc_id").alias("item_idx"), "text")
     out = build(source)
@@ -760,24 +815,3 @@ def _marked(s: pd.Series) -> pd.Series:
 def batch_regroup(spark, sf):
     items = docs(spark, sf).select(F.col("doc_id").alias("item_idx"), "text")
     return I.regroup(I.predict(I.windowed(items, 512, 16), _marked))
-
-
-# --- operators on text, over the documents ----------------------------------------------------------------------------
-
-#: Queries over benchmark that are registered over documents too, as docs_<name>.
-OVER_DOCUMENTS = (
-    "byte_substrings", "find_substring_ws", "byte_tokenize", "char_tokenize", "detokenize_roundtrip", "file_tokenize",
-    "prefix_suffix", "overwrite", "marks_switch", "switch_random", "ws_corrupt_p1", "ws_corrupt",
-    "generation_labels", "cond_generation", "ws_labels", "clip_length", "token_mask",
-)
-
-
-def _over_documents(name: str) -> None:
-    made = QUERIES[name]
-    QUERIES[f"docs_{name}"] = lambda spark, sf: made(spark, sf, "documents")
-    if name in ORACLE_SQL:
-        ORACLE_SQL[f"docs_{name}"] = ORACLE_SQL[name].replace("FROM benchmark", "FROM (SELECT doc_id AS item_id, text FROM documents) AS b")
-
-
-for _name in OVER_DOCUMENTS:
-    _over_documents(_name)

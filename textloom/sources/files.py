@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from itertools import takewhile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,18 +64,48 @@ def parse_jsonl(lines: DataFrame, strict: bool = False) -> DataFrame:
     return out.select(*[c for c in lines.columns if c != "value"], F.when(good, text("$.input")).alias("input"), F.when(good, F.coalesce(text("$.target"), text("$.input"))).alias("target"), "error")
 
 
-def read_jsonl(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Good rows of several files with ``file_idx`` and ``line_no`` (order within the file, gaps where lines were bad)."""
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value, line_no`` of one file, numbered from 0 without gaps however the file is split into tasks.
+
+    A line's place within its split comes from the scan; counts of the splits
+    (a row each) are added up for the splits before.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    lines = spark.read.text(path, lineSep="\n").select(F.regexp_replace(F.make_valid_utf8("value"), r"\r$", "").alias("value"), at.alias("at"), F.monotonically_increasing_id().alias("n"))
+    splits = lines.groupBy("at").agg(F.count("*").alias("rows"), F.min("n").alias("first"))
+    before = F.sum("rows").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    starts = splits.select("at", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return lines.join(starts, "at").select("value", (F.col("n") + F.col("shift")).alias("line_no"))
+
+
+def read_jsonl(spark: SparkSession, paths: list[str], max_lines: int | None = None, keep_errors: bool = False) -> DataFrame:
+    """Rows of several files with ``file_idx`` and ``line_no`` (its place in the file; bad lines leave gaps).
+
+    Of each file the first ``max_lines`` lines count.  With ``keep_errors``
+    bad lines stay, with nulls and an ``error``.
+    """
     out = None
     for i, p in enumerate(paths):
-        one = read_lines(spark, p).withColumn("file_idx", F.lit(i)).withColumn("line_no", F.monotonically_increasing_id())
+        one = numbered_lines(spark, p).withColumn("file_idx", F.lit(i))
+        one = one if max_lines is None else one.where(F.col("line_no") < max_lines)
         out = one if out is None else out.unionByName(one)
-    return parse_jsonl(out).where("error IS NULL").drop("error")
+    rows = parse_jsonl(out)
+    return rows if keep_errors else rows.where("error IS NULL").drop("error")
+
+
+def read_json_values(spark: SparkSession, path: str) -> DataFrame:
+    """``value`` of each line as a VARIANT, whatever JSON it is; a line that is no JSON is an error."""
+    return read_lines(spark, path).select(F.parse_json("value").alias("value"))
+
+
+def from_iterator(spark: SparkSession, items: Iterable[str | None]) -> DataFrame:
+    """``item_idx, text`` of an iterator's strings, up to the first None."""
+    return spark.createDataFrame(list(enumerate(takewhile(lambda x: x is not None, items))), "item_idx bigint, text string")
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """``term, freq`` of tab-separated lines; a line without exactly two fields is an error, the last of repeated terms counts."""
-    lines = read_lines(spark, path).select(F.trim("value").alias("v"), F.monotonically_increasing_id().alias("n")).where("v <> ''")
+    lines = numbered_lines(spark, path).select(F.trim("value").alias("v"), F.col("line_no").alias("n")).where("v <> ''")
     parts = F.split("v", "\t")
     ok = (F.size(parts) == 2) & F.try_to_number(F.get(parts, F.lit(1)), F.lit("999999999999999999")).isNotNull()
     row = F.when(ok, F.struct(F.get(parts, F.lit(0)).alias("term"), F.get(parts, F.lit(1)).cast("bigint").alias("freq"))).otherwise(F.raise_error(F.concat(F.lit("not a dictionary line: "), "v")).cast("struct<term:string,freq:bigint>"))
@@ -86,6 +117,15 @@ def write_dictionary(dictionary: DataFrame, path: str) -> None:
     dictionary.select(F.concat_ws("\t", "term", "freq").alias("value"), "freq", "term").orderBy(F.desc("freq"), "term").select("value").write.text(path)
 
 
+def write_merges(spark: SparkSession, merges: list[tuple[bytes, bytes]], path: str) -> None:
+    rows = [(i, bytearray(a), bytearray(b)) for i, (a, b) in enumerate(merges)]
+    spark.createDataFrame(rows, "merge_id int, first binary, second binary").coalesce(1).write.parquet(path)
+
+
+def read_merges(spark: SparkSession, path: str) -> list[tuple[bytes, bytes]]:
+    return [(bytes(r["first"]), bytes(r["second"])) for r in spark.read.parquet(path).orderBy("merge_id").collect()]
+
+
 def read_misspellings(spark: SparkSession, path: str) -> DataFrame:
     """``word, replacements`` from a JSON object of lists."""
     whole = spark.read.text(path, wholetext=True)

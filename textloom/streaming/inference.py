@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import text as X
+from ..operators.rows import padded_batches, with_index
 
 
 def windowed(items: DataFrame, max_length: int, context: int) -> DataFrame:
@@ -57,3 +59,16 @@ def regroup_stream(outputs: DataFrame, timeout_ms: int | None = None) -> DataFra
                 state.setTimeoutDuration(timeout_ms)
 
     return outputs.groupBy("item_idx").applyInPandasWithState(run, "item_idx bigint, output string", "done boolean, idx array<int>, text array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
+
+
+def micro_batches(stream: DataFrame, limit: int, handle: Callable[[DataFrame, int], None], key: str = "item_idx", **options) -> DataStreamWriter:
+    """A writer that cuts each trigger's rows (with ``size``) into batches of bounded size before ``handle`` gets them.
+
+    ``handle`` receives the rows with ``idx, shard, batch_id`` and the number
+    of the trigger; options are those of ``rows.padded_batches``.
+    """
+
+    def each(rows: DataFrame, number: int) -> None:
+        handle(padded_batches(with_index(rows, key), limit, **options), number)
+
+    return stream.writeStream.foreachBatch(each)

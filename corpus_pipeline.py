@@ -14,32 +14,58 @@ from textloom.shipping import ship
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal severity model calls toxic go; it is fitted on the labelled documents."""
+    """Documents that the ordinal severity model calls toxic go; it is fitted on the labelled documents.
+
+    Null and empty texts stay; repeated rows are judged alike; a score on the
+    cut counts as toxic.  Without toxic or clean labels all rows stay.  All
+    columns stay, whatever their names; an empty table stays empty.
+    """
     ship(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.drop_toxic(docs, model)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in no known language, by calibrated rejection, go."""
+    """Documents in no known language, by calibrated rejection, go.
+
+    Null texts and texts without letters or digits are in none and go; of
+    languages as likely the first in the alphabet counts; repeated rows are
+    judged alike.  Without any labelled language everything goes.  All columns
+    stay, whatever their names; an empty table stays empty.
+    """
     ship(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays.
+
+    The one of the least doc_id (null last); of rows that repeat it with an
+    equal gram set one.  Null, empty and wordless texts are like nothing and
+    stay.  All columns stay, whatever their names; an empty table stays empty.
+    """
     ship(spark)
     return jaccard.drop_near_duplicates(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out; documents mostly made of them go."""
+    """Benchmark passages are cut out; documents mostly made of them go.
+
+    Half of the words or more is mostly.  Null, empty and short texts, and
+    those of the benchmark, match nothing; repeated rows are treated alike.
+    All columns stay, whatever their names; an empty table or benchmark leaves
+    the documents as they are.
+    """
     ship(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left as token ids; each text is decoded again to check it."""
+    """What is left as token ids; each text is decoded again to check it.
+
+    A null text has null ids, an empty one none; repeated rows repeat.  Only
+    doc_id is carried on; an empty table gives an empty table.
+    """
     ship(spark)
     return bpe.encode_documents(docs, bpe.Vocabulary.load(), check=True)
 

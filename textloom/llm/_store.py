@@ -18,6 +18,8 @@ def base_dir(spark: SparkSession) -> str:
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _fallback:
         _fallback.append(tempfile.mkdtemp(prefix="textloom-"))
     if not spark.sparkContext.getCheckpointDir():

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import _store, _text, bpe
+from . import _memory, _store, _text, bpe
 
 #: Keys of an index shard, about; the number of shards grows with the table.
 SHARD_KEYS = 1_000_000
@@ -178,7 +178,7 @@ def write_store(docs: DataFrame, vocabulary: bpe.Vocabulary) -> TokenStore:
                     done += int(at[-1])
                 f.flush()
 
-    places = _store.settle(docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(write, "doc_id bigint, file string, offset bigint, length bigint, checksum bigint"), "token-places")
+    places = _store.settle(docs.select("doc_id", F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL").mapInArrow(_memory.lean(write), "doc_id bigint, file string, offset bigint, length bigint, checksum bigint"), "token-places")
     n = places.count()
     shards = -(-n // SHARD_KEYS)
     if not n:
@@ -197,7 +197,7 @@ def write_store(docs: DataFrame, vocabulary: bpe.Vocabulary) -> TokenStore:
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n_keys": pa.array([len(keys)], pa.int64())})
 
     placed = places.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).repartition(shards, "shard")
-    placed.mapInArrow(_nonempty(index), "shard int, n_keys bigint").agg(F.sum("n_keys")).collect()
+    placed.mapInArrow(_memory.lean(_nonempty(index)), "shard int, n_keys bigint").agg(F.sum("n_keys")).collect()
     return TokenStore(path, shards)
 
 
@@ -261,7 +261,7 @@ def lookup(keys: DataFrame, store: TokenStore, with_ids: bool = False) -> DataFr
 
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, shards))).cast("int")
     out = "doc_id bigint, found boolean, shard int, slot bigint, offset bigint, n_tokens bigint, checksum bigint" + (", token_ids array<int>" if with_ids else "")
-    return keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).withColumn("shard", shard).mapInArrow(read, out)
+    return keys.select(F.col("doc_id").cast("bigint").alias("doc_id")).withColumn("shard", shard).mapInArrow(_memory.lean(read), out)
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:

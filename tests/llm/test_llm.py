@@ -297,7 +297,7 @@ def test_perfect_hash():
 
 
 def test_store_of_repeated_ids(spark, vocabulary):
-    rows = [(1, "one two three four"), (1, "one"), (2, "aa bb"), (2, "cc dd"), (3, ""), (3, None), (4, "word " * 30_000)]
+    rows = [(1, "one two three four"), (1, "one"), (2, "red fox"), (2, "blue sky"), (3, ""), (3, None), (4, "word " * 30_000)]
     store = tokenstore.write_store(spark.createDataFrame([(*r, "k") for r in rows], DOC + ", found string"), vocabulary)
     asked = spark.createDataFrame([(i, "x") for i in range(1, 6)], "doc_id bigint, shard string")
     got = {r["doc_id"]: r for r in tokenstore.lookup(asked, store, with_ids=True).collect()}
@@ -306,7 +306,7 @@ def test_store_of_repeated_ids(spark, vocabulary):
     # of payloads as long the one of the least checksum
     import xxhash
 
-    raw = {t: np.array(bpe.Encoder(vocabulary).encode([pa.array([t])])[0][0]).astype(np.uint16).tobytes() for t in ("aa bb", "cc dd")}
+    raw = {t: np.array(bpe.Encoder(vocabulary).encode([pa.array([t])])[0][0]).astype(np.uint16).tobytes() for t in ("red fox", "blue sky")}
     assert len({len(x) for x in raw.values()}) == 1
     best = min(raw, key=lambda t: xxhash.xxh64_intdigest(raw[t]) >> 1)
     assert bpe.decode_ids(got[2]["token_ids"], vocabulary) == best

@@ -438,6 +438,54 @@ def test_op6_query(spark, tmp_path):
     assert got == {r[0]: c for r, c in zip(rows, _brute_classes(rows))}
 
 
+def cluster_rows(m):
+    """One cluster of m near copies, some twice, others at the edge of it, and unlike texts."""
+    rng = random.Random(31)
+    base = prose(rng, 120).split()
+    changed = lambda share: " ".join(f"x{rng.randrange(60)}" if rng.random() < share else w for w in base)
+    texts = [changed(0.03) for _ in range(m)] + [changed(0.12) for _ in range(m // 10)] + [prose(rng, 60) for _ in range(20)]
+    return list(enumerate(texts + texts[:5]))
+
+
+@pytest.fixture
+def verified(monkeypatch):
+    """The number of pairs of each verification."""
+    counts, verify = [], jaccard.NearPairs._verify
+    monkeypatch.setattr(jaccard.NearPairs, "_verify", lambda self, pairs: counts.append(pairs.count()) or verify(self, pairs))
+    return counts
+
+
+def test_large_cluster_is_not_verified_pair_by_pair(spark, monkeypatch, verified):
+    rows = cluster_rows(300)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 64)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOC).coalesce(1)).collect()}
+    want = _brute_classes(rows)
+    assert got == {r[0]: c for r, c in zip(rows, want)}
+    # about 45,000 links between different texts
+    assert sum(n for _, n in want) > 80_000 and sum(verified) < 20 * len(rows)
+
+
+def test_link_counts_by_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    base, more = rng.integers(0, 1 << 40, 60, np.uint64), rng.integers(0, 1 << 40, 60, np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.9], rng.choice(more, 25)])) for _ in range(70)]
+    rows = rng.integers(1, 5, len(sets)).tolist()
+
+    class Sets:
+        def grams(self, sid):
+            return sets[sid]
+
+    def brute(a, b):
+        alike = lambda x, y: len(np.intersect1d(x, y)) / len(np.union1d(x, y)) >= 0.6
+        return [sum(rows[j] for j in b if i != j and alike(sets[i], sets[j])) for i in a]
+
+    monkeypatch.setattr(jaccard, "_CELLS", 300)
+    for a, b in ((range(40), range(40, 70)), (range(2), range(2, 5)), (range(1), range(1, 60))):
+        x, y = jaccard._linked(Sets(), list(a), [rows[i] for i in a], list(b), [rows[i] for i in b], 0.6)
+        assert x.tolist() == brute(a, b) and y.tolist() == brute(b, a)
+        assert jaccard._linked(Sets(), list(b), [rows[i] for i in b], None, None, 0.6)[0].tolist() == brute(b, b)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (40, 41)]
     got = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()}

@@ -9,6 +9,12 @@ member sets and verified on the whole sets of gram hashes.  Members of one
 group are met on the prefixes of what their sets have beyond the common
 prefix.  No cap on postings, partners or members.
 
+A cluster of m near copies has about m * m / 2 links, and m grows with the
+corpus.  So sets that share a least hash are first compared with one of them;
+sets that such links connect aren't met again.  All links lie within connected
+components; where they are counted, the overlaps of a component are taken from
+blocks of its incidence matrix, as bits.
+
 What moves: prefix grams and candidate pairs travel as packed numpy blobs, one
 row for a bucket and task; texts never move.  Sets lie in memory-mapped files
 of the shared folder, written and read by place.
@@ -23,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,7 +43,15 @@ BUCKET_GRAMS = 2_000_000
 TASK_PAIRS = 40_000
 #: Frequent grams broadcast to order the others before them, at most.  Only the order, not the result, depends on it.
 MAX_FREQUENT = 2_000_000
+#: Least hashes of a set by which it is compared with one other set each, before the join.  Only the cost depends on it.
+SKETCH = 4
+#: Sets, and grams, of a component that are counted against as many others at once, about.
+BLOCK_SETS, BLOCK_GRAMS = 1024, 1_000_000
+#: Links counted by one task, about, if all sets of a block are linked; a set costs as much as SET_CELLS.
+TASK_CELLS, SET_CELLS = 1 << 24, 1 << 12
 _PAIR_CHUNK = 500_000
+#: Words of bits that are compared at once, about; as many as fit a cache.
+_CELLS = 1 << 17
 #: Bytes of bitmaps that are compared at once, about.
 _BITMAP_BYTES = 32 << 20
 _MASK = np.uint64((1 << setstore.GRAM_BITS) - 1)
@@ -64,6 +78,19 @@ def _signature(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([_text.mix64((s[at[1:]] - s[at[:-1]]) ^ size) for s in sums], 1)
 
 
+def _sketch(grams: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """SKETCH least hashes of each set; two sets share one with the probability of their Jaccard similarity.  0 for empty sets."""
+    mixed, full = _text.mix64(grams ^ np.uint64(0x5851F42D4C957F2D)), np.flatnonzero(np.diff(at))
+    out = []
+    for k in range(SKETCH):
+        least = np.zeros(len(at) - 1, np.uint64)
+        if len(full):
+            odd = _text.mix64(np.array([k + 1], np.uint64)) | np.uint64(1)
+            least[full] = np.minimum.reduceat(mixed * odd, at[full])
+        out.append(least)
+    return out
+
+
 def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Grams frequent in some task's share of the corpus and their document frequency there, sorted by gram."""
 
@@ -116,23 +143,32 @@ class NearPairs:
 
     ``placed`` (doc_id, sid?, sig_a, sig_b) has every row, without a sid where
     there is no word; ``sets`` (sid, sig_a, sig_b, rows, least_id) every
-    distinct set; ``pairs`` (a, b, jaccard) the linked sets.
+    distinct set; ``pairs`` (a, b, jaccard) verified links that connect all sets
+    which links connect, ``roots`` (node, root) these components.  With
+    ``counts``, ``linked`` (sid, linked) has the rows of all sets that a set is
+    linked to.
     """
 
-    def __init__(self, docs: DataFrame, n: int = N, t: float = THRESHOLD):
+    def __init__(self, docs: DataFrame, n: int = N, t: float = THRESHOLD, counts: bool = False):
         self.spark, self.n, self.t = docs.sparkSession, n, t
         self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
         self.folder = _store.local_path(_store.new_dir(self.spark, "gram-sets"))
         self.placed = self._write_sets()
         # the first row of each distinct set stands for all of them
-        first = F.min(F.struct("sid", "group_a", "group_b", "size")).alias("first")
+        first = F.min(F.struct("sid", "group_a", "group_b", "size", "sketch")).alias("first")
         distinct = self.placed.where("sid IS NOT NULL").groupBy("sig_a", "sig_b").agg(first, F.count("*").alias("rows"), F.min("doc_id").alias("least_id"))
         self.sets = _store.settle(distinct.select("first.*", "sig_a", "sig_b", "rows", "least_id"), "distinct-sets")
         # each step is written: otherwise one stage would run the Python workers of both its ends at once
+        stars = _store.settle(self._stars(), "star-pairs")
+        links = self._verify(stars)
+        self.rooted = _store.settle(self.sets.select("sid", "size", "group_a", "group_b").join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("root", F.coalesce("root", F.lit(-1))), "rooted-sets")
         found = _store.settle(self._candidates(), "group-pairs")
         wide = _store.settle(self._expand(found), "set-pairs")
-        self.pairs = self._verify(wide)
-        _store.discard(found, wide, self.members, self.groups)
+        self.pairs = links.unionByName(self._verify(wide)).distinct()
+        self.roots = components(self.pairs)
+        if counts:
+            self.linked = self._count_links()
+        _store.discard(stars, found, wide, self.members, self.groups, self.rooted)
         _store.discard_folder(self.folder)
 
     def _write_sets(self) -> DataFrame:
@@ -164,6 +200,8 @@ class NearPairs:
                 for salt in (7, 0x51ED270B):  # 128 bits of size and prefix
                     mixed = np.concatenate([[np.uint64(0)], np.cumsum(np.where(inner, _text.mix64(grams + np.uint64(salt)), np.uint64(0)), dtype=np.uint64)])
                     group.append(_text.mix64((mixed[at[1:]] - mixed[at[:-1]]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+                least = np.stack(_sketch(grams, at), 1).view(np.int64).ravel()
+                sketch = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * SKETCH), pa.array(least))
                 sid = np.zeros(len(size), np.int64)
                 for i in np.flatnonzero(size).tolist():
                     raw = setstore.record(grams[at[i] : at[i + 1]])
@@ -172,39 +210,65 @@ class NearPairs:
                     done += len(raw)
                 f.flush()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(sid, mask=size == 0), pa.array(size), *(pa.array(x.view(np.int64)) for x in (*group, np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1])))],
-                    ["doc_id", "sid", "size", "group_a", "group_b", "sig_a", "sig_b"],
+                    [b.column("doc_id"), pa.array(sid, mask=size == 0), pa.array(size), *(pa.array(x.view(np.int64)) for x in (*group, np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1]))), sketch],
+                    ["doc_id", "sid", "size", "group_a", "group_b", "sig_a", "sig_b", "sketch"],
                 )
 
-        out = _store.settle(self.docs.mapInArrow(_memory.lean(run), "doc_id bigint, sid bigint, size bigint, group_a bigint, group_b bigint, sig_a bigint, sig_b bigint"), "set-places")
+        out = _store.settle(self.docs.mapInArrow(_memory.lean(run), "doc_id bigint, sid bigint, size bigint, group_a bigint, group_b bigint, sig_a bigint, sig_b bigint, sketch array<bigint>"), "set-places")
         order.unpersist()
         return out
 
+    def _stars(self) -> DataFrame:
+        """Pairs (a, b), a < b, each once: of the sets that share a least hash, one of median size with all others whose sizes allow t."""
+        t = self.t
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if not held:
+                return
+            key, sid, size = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in range(3))
+            order = np.lexsort((sid, size, key))
+            key, sid, size = key[order], sid[order], size[order]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            length = np.diff(start, append=len(key))
+            middle = np.repeat(start + length // 2, length)
+            other = sid[middle]
+            good = np.flatnonzero((sid != other) & (np.minimum(size, size[middle]) >= t * np.maximum(size, size[middle]) - 1e-9))
+            for i in range(0, len(good), 50_000):
+                a, b = sid[good[i : i + 50_000]], other[good[i : i + 50_000]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        keys = self.sets.select(F.explode("sketch").alias("key"), "sid", "size")
+        return keys.repartition("key").mapInArrow(_memory.lean(run), "a bigint, b bigint").distinct()
+
     def _candidates(self) -> DataFrame:
         """Pairs (a, b) of sets that stand for groups and share a prefix gram, or that lie in one group and share a gram of the prefix of what is left.
 
-        Sizes allow t, a < b, each pair once.  Two sets of one group agree in
+        Sizes allow t, a < b, each pair once; no pairs of one root.  Two sets of one group agree in
         size s and in k prefix grams; to overlap in o grams they must share
         o - k of the s - k others, hence one of the first s - o + 1 of these.
         """
         folder, t = self.folder, self.t
-        groups = self.sets.groupBy("group_a", "group_b").agg(F.min("sid").alias("gid"), F.count("*").alias("n"), F.min("size").alias("size"))
+        # a group has a root if all its members have that one
+        one_root = F.when(F.min("root") == F.max("root"), F.min("root")).otherwise(-1).alias("root")
+        groups = self.rooted.groupBy("group_a", "group_b").agg(F.min("sid").alias("gid"), F.count("*").alias("n"), F.min("size").alias("size"), one_root)
         self.groups = _store.settle(groups, "set-groups")
         several = self.groups.where("n > 1")
-        self.members = _store.settle(self.sets.join(several.select("group_a", "group_b", "gid"), ["group_a", "group_b"]).select("sid", "gid"), "group-members")
+        of_several = several.select("group_a", "group_b", "gid", F.col("root").alias("common"))
+        self.members = _store.settle(self.rooted.join(of_several, ["group_a", "group_b"]).select("sid", "gid", "root", "common"), "group-members")
         total, count = self.groups.agg(F.sum("size"), F.count("*")).first()
         buckets = max(1, -(-int((total or 0) * (1 - t) + (count or 0)) // BUCKET_GRAMS))
-        entries = self.groups.select(F.col("gid").alias("sid"), F.when(F.col("n") > 1, -2).otherwise(-1).cast("bigint").alias("inside")).unionByName(self.members.select("sid", F.col("gid").alias("inside")))
+        entries = self.groups.select(F.col("gid").alias("sid"), F.when(F.col("n") > 1, -2).otherwise(-1).cast("bigint").alias("inside"), "root").unionByName(self.members.where("common = -1").select("sid", F.col("gid").alias("inside"), "root"))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             reader = setstore.Reader(folder)
-            held: list[tuple[np.ndarray, int, int, int]] = []
+            held: list[tuple[np.ndarray, int, int, int, int]] = []
             room = 0
 
             def flush():
                 grams, lengths = np.concatenate([x[0] for x in held]), np.array([len(x[0]) for x in held])
                 owner = np.repeat(np.arange(len(held), dtype=np.uint32), lengths)
-                ids, sizes, firsts = (np.array([x[k] for x in held], kind) for k, kind in ((1, np.int64), (2, np.uint32), (3, np.int64)))
+                ids, sizes, firsts, roots = (np.array([x[k] for x in held], kind) for k, kind in ((1, np.int64), (2, np.uint32), (3, np.int64), (4, np.int64)))
                 index = np.arange(len(grams)) - np.repeat(np.cumsum(lengths) - lengths, lengths) < firsts[owner]
                 bucket = ((_text.mix64(grams) >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint32)
                 order = np.argsort(bucket, kind="stable")
@@ -215,20 +279,20 @@ class NearPairs:
                     who, at, count = np.unique(owner[mine], return_index=True, return_counts=True)
                     some = np.add.reduceat(index[mine], at, dtype=np.uint32)
                     # of each owner in turn: its grams, how many, how many of them in front; ids ascend, differences compress
-                    parts = (setstore.planes(grams[mine]), setstore.planes(count.astype(np.uint32)), setstore.planes(some), setstore.planes(np.diff(ids[who], prepend=0)), setstore.planes(sizes[who]))
-                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((k, *parts), (pa.int32(), *[pa.binary()] * 5))], ["bucket", "grams", "counts", "fronts", "ids", "sizes"])
+                    parts = (setstore.planes(grams[mine]), setstore.planes(count.astype(np.uint32)), setstore.planes(some), setstore.planes(np.diff(ids[who], prepend=0)), setstore.planes(sizes[who]), setstore.planes(roots[who]))
+                    yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip((k, *parts), (pa.int32(), *[pa.binary()] * 6))], ["bucket", "grams", "counts", "fronts", "ids", "sizes", "roots"])
 
             for b in batches:
-                for sid, inside in zip(b.column("sid").to_pylist(), b.column("inside").to_pylist()):
+                for sid, inside, root in zip(*(b.column(c).to_pylist() for c in ("sid", "inside", "root"))):
                     size = reader.size(sid)
                     k = int(_prefix(size, t))
                     both = int(np.ceil(2 * t / (1 + t) * size - 1e-9))
                     if inside < 0:
-                        held.append((reader.grams(sid, k), sid, size | (inside == -2) << 31, size - both + 1))
+                        held.append((reader.grams(sid, k), sid, size | (inside == -2) << 31, size - both + 1, root))
                     else:
                         need = both - k
                         rest = reader.grams(sid, size - k - need + 1 + k)[k:] if need > 0 else np.zeros(1, np.uint64)
-                        held.append((_text.mix64(rest ^ _text.mix64(np.array([inside], np.uint64))) & _MASK, sid, size, size))
+                        held.append((_text.mix64(rest ^ _text.mix64(np.array([inside], np.uint64))) & _MASK, sid, size, size, root))
                     room += len(held[-1][0])
                     if room >= BUCKET_GRAMS:
                         yield from flush()
@@ -237,10 +301,10 @@ class NearPairs:
             if held:
                 yield from flush()
 
-        blobs = entries.repartitionByRange(max(1, -(-int(count or 0) // 4000)), "sid").sortWithinPartitions("sid").mapInArrow(_memory.lean(emit), "bucket int, grams binary, counts binary, fronts binary, ids binary, sizes binary")
+        blobs = entries.repartitionByRange(max(1, -(-int(count or 0) // 4000)), "sid").sortWithinPartitions("sid").mapInArrow(_memory.lean(emit), "bucket int, grams binary, counts binary, fronts binary, ids binary, sizes binary, roots binary")
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(1, 6)))]
+            parts = [row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(1, 7)))]
             if parts:
                 yield from _pack(*_bounded(setstore.Reader(folder), *_meet(parts, t), t), buckets)
 
@@ -315,6 +379,102 @@ class NearPairs:
         spread = candidates.withColumn("task", F.pmod(F.xxhash64("a", (F.xxhash64("b") % 4)), F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task")).select("a", "b")
         return _store.settle(spread.mapInArrow(_memory.lean(run), "a bigint, b bigint, jaccard double"), "near-pairs")
 
+    def _count_links(self) -> DataFrame:
+        """``sid, linked``: the rows of all sets linked to a set.  Both ends of a link lie in one component, whose sets are compared block by block."""
+        folder, t = self.folder, self.t
+        component = Window.partitionBy("root")
+        share = F.greatest(F.col("size") / BLOCK_GRAMS, F.lit(1 / BLOCK_SETS))
+        each = self.sets.select("sid", "size", "rows").join(self.roots.withColumnRenamed("node", "sid"), "sid")
+        each = each.withColumns({"n": F.count("*").over(component), "all": F.sum("rows").over(component), "block": F.floor(F.sum(share).over(component.orderBy("size", "sid").rowsBetween(Window.unboundedPreceding, 0)))})
+        each = _store.settle(each, "component-sets")
+        blocks = each.where("n > 2").groupBy("root", "block").agg(F.collect_list("sid").alias("sids"), F.collect_list("rows").alias("rows"), F.min("size").alias("low"), F.max("size").alias("high"), F.count("*").alias("n"))
+        blocks = _store.settle(blocks, "set-blocks")
+        left, right = (blocks.select("root", *(F.col(c).alias(f"{c}_{s}") for c in blocks.columns[1:])) for s in "ab")
+        # sizes ascend with blocks
+        units = left.join(right, "root").where((F.col("block_a") <= F.col("block_b")) & (F.col("high_a") >= t * F.col("low_b") - 1e-6))
+        cells = units.agg(F.sum((F.col("n_a") + F.col("n_b")) * SET_CELLS + F.col("n_a") * F.col("n_b"))).first()[0] or 0
+        tasks = max(1, -(-cells // TASK_CELLS))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader = setstore.Reader(folder)
+            for b in batches:
+                for unit in b.to_pylist():
+                    one = unit["block_a"] == unit["block_b"]
+                    of_a, of_b = _linked(reader, unit["sids_a"], unit["rows_a"], *((None, None) if one else (unit["sids_b"], unit["rows_b"])), t)
+                    yield pa.RecordBatch.from_arrays([pa.array(unit["sids_a"], pa.int64()), pa.array(of_a)], ["sid", "linked"])
+                    if not one:
+                        yield pa.RecordBatch.from_arrays([pa.array(unit["sids_b"], pa.int64()), pa.array(of_b)], ["sid", "linked"])
+
+        spread = units.withColumn("task", F.pmod(F.xxhash64("root", "block_a", "block_b"), F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("task")).select("block_a", "block_b", "sids_a", "rows_a", "sids_b", "rows_b")
+        counted = spread.mapInArrow(_memory.lean(run), "sid bigint, linked bigint").groupBy("sid").agg(F.sum("linked").alias("linked"))
+        # two sets are a component because they are linked
+        out = _store.settle(counted.unionByName(each.where("n = 2").select("sid", (F.col("all") - F.col("rows")).alias("linked"))), "link-counts")
+        _store.discard(each, blocks)
+        return out
+
+
+def _bits(own: np.ndarray, column: np.ndarray, sets: int, some: np.ndarray) -> np.ndarray:
+    """Which of the columns ``some`` each set has: 64-bit words by set, of entries (own, column) in order of columns."""
+    i, j = np.searchsorted(column, (some[0], some[-1] + 1))
+    at = np.searchsorted(some, column[i:j])
+    hit = some[at] == column[i:j]
+    bits = np.zeros((sets, -(-len(some) // 64) * 64), bool)
+    bits[own[i:j][hit], at[hit]] = True
+    return np.ascontiguousarray(np.packbits(bits, axis=1, bitorder="little").view(np.uint64).T)
+
+
+def _linked(reader: setstore.Reader, a: list[int], rows_a: list[int], b: list[int] | None, rows_b: list[int] | None, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """For each set of ``a`` the sum of ``rows_b`` over its links to sets of ``b``, and the reverse; without ``b``, links within ``a``.
+
+    Overlaps are counted in incidence matrices of bits; grams that few sets have are counted pair by pair.  No matrix product:
+    its threads would get in the way of other tasks.
+    """
+    one = b is None
+    held = [[reader.grams(i) for i in ids] for ids in ([a] if one else [a, b])]
+    size = [np.array([len(x) for x in sets], np.int64) for sets in held]
+    own = [np.repeat(np.arange(len(s)), s) for s in size]
+    names, column = np.unique(np.concatenate([x for sets in held for x in sets]), return_inverse=True)
+    column = [column[: len(own[0])], column[len(own[0]) :]][: len(held)]
+    del held
+    sides = []
+    for of, c in zip(own, column):
+        order = np.argsort(c, kind="stable")
+        sides.append((of[order], c[order], np.bincount(c, minlength=len(names))))
+    sides = (sides[0], sides[-1])
+    (own_a, col_a, have_a), (own_b, col_b, have_b) = sides
+    size_a, size_b = size[0], size[-1]
+    shared = np.zeros((len(size_a), len(size_b)), np.int64)
+    pairs = have_a * have_b
+    few = pairs * 128 < shared.size
+    # grams of many sets
+    many = np.flatnonzero((pairs > one) & ~few)
+    for i in range(0, len(many), 4096):
+        some = many[i : i + 4096]
+        p, q = (_bits(of, c, len(s), some) for (of, c, _), s in zip(sides, (size_a, size_b)))
+        tile = max(1, _CELLS // len(size_b))
+        for x in range(0, len(size_a), tile):
+            own = p[:, x : x + tile, None]
+            step = max(1, _CELLS // (own.shape[1] * len(size_b)))
+            for w in range(0, len(p), step):
+                shared[x : x + tile] += np.bitwise_count(own[w : w + step] & q[w : w + step, None, :]).sum(0, dtype=np.int64)
+    # grams of few
+    start = np.cumsum(have_b) - have_b
+    mine = np.flatnonzero((few & (pairs > one))[col_a])
+    count = have_b[col_a[mine]]
+    ends, i = np.cumsum(count), 0
+    while i < len(mine):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + 4 * _PAIR_CHUNK, "right")))
+        c = count[i:j]
+        left = np.repeat(mine[i:j], c)
+        right = start[col_a[left]] + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
+        shared += np.bincount(own_a[left] * len(size_b) + own_b[right], minlength=shared.size).reshape(shared.shape)
+        i = j
+    link = (shared > 0) & (shared >= t * (size_a[:, None] + size_b[None, :] - shared) - 1e-9)
+    if one:
+        np.fill_diagonal(link, False)
+    link = link.astype(np.float64)
+    return tuple((x @ np.array(rows, np.float64)).astype(np.int64) for x, rows in ((link, rows_a if one else rows_b), (link.T, rows_a)))
+
 
 def _distinct(both: np.ndarray) -> np.ndarray:
     """The distinct rows of an array of two columns, sorted."""
@@ -323,39 +483,58 @@ def _distinct(both: np.ndarray) -> np.ndarray:
 
 
 def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of group ids that share a gram of this bucket within the size bound; whether either has several sets."""
-    grams, counts, fronts, ids, sizes = [], [], [], [], []
-    for g, c, f, i, s in parts:
+    """Distinct pairs of group ids of different roots that share a gram of this bucket within the size bound; whether either has several sets."""
+    grams, counts, fronts, ids, sizes, roots = [], [], [], [], [], []
+    for g, c, f, i, s, r in parts:
         grams.append(setstore.from_planes(g, np.uint32))
         counts.append(setstore.from_planes(c, np.uint32))
         fronts.append(setstore.from_planes(f, np.uint32))
         ids.append(np.cumsum(setstore.from_planes(i, np.int64)))
         sizes.append(setstore.from_planes(s, np.uint32).astype(np.int64))
-    gram, count, some, ids, size = (np.concatenate(x) for x in (grams, counts, fronts, ids, sizes))
+        roots.append(setstore.from_planes(r, np.int64))
+    gram, count, some, ids, size, root = (np.concatenate(x) for x in (grams, counts, fronts, ids, sizes, roots))
     own = np.repeat(np.arange(len(ids), dtype=np.int32), count)
     front = np.arange(len(gram)) - np.repeat(np.cumsum(count) - count, count) < some[own]
     names, dense = np.unique(ids, return_inverse=True)
+    # small numbers for roots; what has none is a root of its own
+    tops, numbers = np.unique(root, return_inverse=True)
+    root = np.where(root < 0, len(tops) + dense, numbers).astype(np.int32)[own]
     own = dense.astype(np.int32)[own]
     of_name = np.zeros(len(names), np.int64)
     of_name[dense] = size & 0x7FFFFFFF
     several = np.bincount(dense, size >> 31, len(names)) > 0
     order = np.argsort(gram, kind="stable")
     gram = gram[order]
-    run = np.concatenate([[0], np.cumsum(gram[1:] != gram[:-1])])
-    twice = np.bincount(run)[run] > 1
-    gram, own = gram[twice], own[order][twice]
-    if not len(gram):
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])[: len(gram)])
+    mixed = np.zeros(0, np.int64)
+    if len(gram):
+        root = root[order]
+        differ = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
+        mixed = np.flatnonzero(np.repeat(differ, np.diff(start, append=len(gram))))
+    if not len(mixed):
         return names[:0], names[:0], several[:0]
-    front = front[order][twice]
+    gram, own, front, root = gram[mixed], own[order[mixed]], front[order[mixed]], root[mixed]
     order = np.lexsort((own, of_name[own], gram))
-    gram, own, front = gram[order], own[order], front[order]
+    gram, own, front, root = gram[order], own[order], front[order], root[order]
     s = of_name[own]
     # the partners of an entry are those after it in its run whose size is at most size / t; to overlap enough
     # with one as large or larger, a set must share one of its first size - 2t / (1 + t) size + 1 grams
     run = np.concatenate([[0], np.cumsum(gram[1:] != gram[:-1])])
     top = int(s.max()) + 2
     reach = np.searchsorted(run * top + s, run * top + np.minimum(np.floor(s / t + 1e-9).astype(np.int64), top - 1), "right")
-    count = np.where(front, reach - np.arange(len(s)) - 1, 0)
+    # in a run, those of its most frequent root have partners only among the others
+    most = np.full(int(run[-1]) + 1, -1, np.int64)
+    rooted = np.flatnonzero(root < len(tops))
+    if len(rooted):
+        pair, often = np.unique(run[rooted] << 32 | root[rooted], return_counts=True)
+        by = np.argsort(often, kind="stable")
+        most[pair[by] >> 32] = pair[by] & 0xFFFFFFFF
+    most = most[run] == root
+    others = np.flatnonzero(~most)
+    before = np.cumsum(~most)
+    partners = np.concatenate([np.arange(len(s)), others])
+    at = np.where(most, len(s) + before, np.arange(len(s)) + 1)
+    count = np.where(front, np.where(most, before[reach - 1] - before, reach - np.arange(len(s)) - 1), 0)
     ends = np.cumsum(count)
     found, i = [], 0
     kept = np.zeros(0, np.int64)
@@ -363,10 +542,11 @@ def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndar
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _PAIR_CHUNK, "right")))
         c = count[i:j]
         left = np.repeat(np.arange(i, j), c)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)
-        x, y = own[left].astype(np.int64), own[right].astype(np.int64)
+        right = partners[at[left] + np.arange(len(left)) - np.repeat(np.cumsum(c) - c, c)]
+        good = root[left] != root[right]
+        x, y = own[left[good]].astype(np.int64), own[right[good]].astype(np.int64)
         found.append(np.unique((np.minimum(x, y) * len(names) + np.maximum(x, y))[x != y]))
-        if sum(map(len, found)) > 2 * _PAIR_CHUNK or j == len(s):
+        if sum(map(len, found)) > max(2 * _PAIR_CHUNK, len(kept)) or j == len(s):
             kept = np.unique(np.concatenate([kept, *found]))
             found = []
         i = j
@@ -435,7 +615,7 @@ def near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFr
     to each other; a null doc_id stays null.  Other columns are not read.  An
     empty table gives an empty table.
     """
-    found = NearPairs(docs, n, t)
+    found = NearPairs(docs, n, t, counts=True)
     classes = _classes(found)
     worded = found.placed.where("sid IS NOT NULL").select("doc_id", "sig_a", "sig_b").join(classes, ["sig_a", "sig_b"]).select("doc_id", "class_id", "n_links")
     alone = found.placed.where("sid IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
@@ -444,11 +624,8 @@ def near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFr
 
 def _classes(found: NearPairs) -> DataFrame:
     """``sig_a, sig_b, class_id, n_links`` of every distinct set."""
-    both = found.pairs.select("a", "b").unionByName(found.pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    weight = found.sets.select(F.col("sid").alias("b"), "rows")
-    links = both.join(weight, "b").groupBy(F.col("a").alias("sid")).agg(F.sum("rows").alias("linked"))
-    roots = components(found.pairs).withColumnRenamed("node", "sid")
-    rooted = found.sets.join(roots, "sid", "left").join(links, "sid", "left").select("sig_a", "sig_b", "rows", "least_id", F.coalesce("root", "sid").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))
+    roots = found.roots.withColumnRenamed("node", "sid")
+    rooted = found.sets.join(roots, "sid", "left").join(found.linked, "sid", "left").select("sig_a", "sig_b", "rows", "least_id", F.coalesce("root", "sid").alias("root"), F.coalesce("linked", F.lit(0)).alias("linked"))
     rooted = _store.settle(rooted, "set-classes")
     least = rooted.groupBy("root").agg(F.min("least_id").alias("class_id"))
     return rooted.join(least, "root").select("sig_a", "sig_b", "class_id", (F.col("linked") + F.col("rows") - 1).alias("n_links"))
@@ -484,7 +661,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> D
     """
     spark = docs.sparkSession
     found = NearPairs(docs, n, t)
-    roots = components(found.pairs)
+    roots = found.roots
     grouped = found.placed.where("sid IS NOT NULL").select("doc_id", "sig_a", "sig_b").join(found.sets.select("sig_a", "sig_b", "sid"), ["sig_a", "sig_b"]).join(roots.withColumnRenamed("node", "sid"), "sid", "left")
     each = grouped.groupBy(F.coalesce("root", "sid").alias("root"), "doc_id", "sig_a", "sig_b").agg(F.count("*").alias("rows"))
     best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "sig_a", "sig_b")).alias("best"), F.sum("rows").alias("n")).where("n > 1")

@@ -665,6 +665,16 @@ def test_pipeline_stages(spark, tmp_path):
     assert bench[0][1] not in bpe.decode_ids(next(r for r in out if r["doc_id"] == 102)["token_ids"], bpe.Vocabulary.load())
 
 
+def test_near_duplicate_stage_does_not_verify_a_cluster_pair_by_pair(spark, verified):
+    import corpus_pipeline as P
+
+    rows = cluster_rows(250)
+    kept = P.near_duplicate_stage(spark, spark.createDataFrame(rows, DOC), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({c for c, _ in _brute_classes(rows)})
+    # about 31,000 links between different texts
+    assert sum(verified) < 20 * len(rows)
+
+
 def test_pipeline_of_awkward_tables(spark, awkward, tmp_path):
     import corpus_pipeline as P
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import _text, ann, bpe, chat, decontaminate, html, jaccard, langid, lm, tokenstore, toxicity
+from textloom.llm import _text, ann, bpe, chat, decontaminate, html, jaccard, langid, lm, setstore, tokenstore, toxicity
 
 DOC = "doc_id bigint, text string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -675,6 +675,46 @@ def test_near_duplicate_stage_does_not_verify_a_cluster_pair_by_pair(spark, veri
     assert sum(verified) < 20 * len(rows)
 
 
+def test_near_duplicate_stage_makes_each_text_a_set_once(spark, monkeypatch, tmp_path):
+    import corpus_pipeline as P
+
+    made, sets = tmp_path / "made", jaccard._sets
+
+    def counted(texts, n):
+        with open(made, "a") as f:
+            f.write(f"{len(texts)}\n")
+        return sets(texts, n)
+
+    monkeypatch.setattr(jaccard, "_sets", counted)
+    monkeypatch.setattr(jaccard, "RAW_GRAMS", 300)
+    # wordless texts among the others
+    rows = [row for i, t in near_rows(9) for row in ((i, t), (1000 + i, "?!"))]
+    kept = P.near_duplicate_stage(spark, spark.createDataFrame(rows, DOC).coalesce(2), "").collect()
+    want = sorted({c for c, _ in _brute_classes(near_rows(9))} | {i for i, t in rows if t == "?!"})
+    assert sorted(r["doc_id"] for r in kept) == want
+    assert sum(map(int, made.read_text().split())) == len(rows)
+    # an id repeated with one gram set
+    rows += [(-1, "One Text In Two Spellings"), (-1, "one text in two spellings")]
+    kept = P.near_duplicate_stage(spark, spark.createDataFrame(rows, DOC).coalesce(2), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == [-1, *want]
+
+
+def test_bitmaps_read_at_once_are_those_of_each_set(tmp_path):
+    rng = np.random.default_rng(8)
+    sets = [rng.integers(0, 1 << 48, n, np.uint64) for n in (1, 3, 200, 200, 700, 5, 130, 9000)]
+    sids = []
+    for number in (0, 5):
+        raw = b""
+        for grams in sets:
+            sids.append(number << setstore.OFFSET_BITS | len(raw))
+            raw += setstore.record(grams)
+        (tmp_path / f"sets-{number}").write_bytes(raw)
+    got = setstore.Reader(str(tmp_path)).bitmaps(np.array(sids), np.array([len(g) for g in sets * 2]), 512)
+    for grams, row in zip(sets * 2, got):
+        bits = np.bincount((grams & np.uint64(511)).astype(int), minlength=512) & 1
+        assert np.unpackbits(row.view(np.uint8), bitorder="little").tolist() == bits.tolist()
+
+
 def test_pipeline_of_awkward_tables(spark, awkward, tmp_path):
     import corpus_pipeline as P
 

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,11 +49,15 @@ SKETCH = 4
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1_000_000
 #: Links counted by one task, about, if all sets of a block are linked; a set costs as much as SET_CELLS.
 TASK_CELLS, SET_CELLS = 1 << 24, 1 << 12
+#: Grams of whole texts ordered at once, about.
+RAW_GRAMS = 1 << 17
 _PAIR_CHUNK = 500_000
 #: Words of bits that are compared at once, about; as many as fit a cache.
 _CELLS = 1 << 17
 #: Bytes of bitmaps that are compared at once, about.
 _BITMAP_BYTES = 32 << 20
+#: Bytes of a gram in files of unordered sets, and the columns of ``_scan``.
+_RAW, _SCAN = setstore.GRAM_BITS // 8, ["doc_id", "key", "number", "at", "size", "gram", "n"]
 _MASK = np.uint64((1 << setstore.GRAM_BITS) - 1)
 
 
@@ -91,19 +95,35 @@ def _sketch(grams: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Grams frequent in some task's share of the corpus and their document frequency there, sorted by gram."""
+def _scan(docs: DataFrame, folder: str, n: int) -> DataFrame:
+    """The sets of all texts, by value of gram, in files ``raw-<number>`` of ``folder``; each text is read this once.
+
+    Rows (doc_id, key, number, at, size) of each document, with its place in bytes, and (gram, n) of grams
+    frequent in some task's share of the corpus, with their document frequency there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = [], 0
+        os.makedirs(folder, exist_ok=True)
+        number, own = _file_number(), f"{folder}/{uuid.uuid4().hex}"
+        with open(own, "wb") as f:
+            yield from _write(f, batches, number)
+        os.replace(own, f"{folder}/raw-{number}")
+
+    def _write(f, batches, number):
+        seen, rows, done = [], 0, 0
 
         def flush():
             grams, count = np.unique(np.concatenate(seen), return_counts=True)
             often = count >= max(3, rows / 2000)
-            return pa.RecordBatch.from_arrays([pa.array(grams[often].astype(np.int64)), pa.array(count[often])], ["gram", "n"])
+            return _scan_rows(gram=pa.array(grams[often].astype(np.int64)), n=pa.array(count[often]))
 
         for b in _text.slices(batches, "text"):
-            seen.append(_sets(b.column("text").cast(pa.string()), n)[0])
+            grams, at = _sets(b.column("text").cast(pa.string()), n)
+            f.write(np.ascontiguousarray(grams).view(np.uint8).reshape(-1, 8)[:, :_RAW].tobytes())
+            f.flush()
+            yield _scan_rows(doc_id=b.column("doc_id"), key=b.column("key"), number=pa.array(np.full(b.num_rows, number)), at=pa.array(done + at[:-1] * _RAW), size=pa.array(np.diff(at)))
+            done += len(grams) * _RAW
+            seen.append(grams)
             rows += b.num_rows
             if sum(map(len, seen)) >= 3_000_000:
                 yield flush()
@@ -111,13 +131,47 @@ def _frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         if seen:
             yield flush()
 
-    found = docs.select("text").mapInArrow(_memory.lean(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return _store.settle(docs.mapInArrow(_memory.lean(run), ", ".join(f"{c} bigint" for c in _SCAN)), "gram-scan")
+
+
+def _scan_rows(**columns: pa.Array) -> pa.RecordBatch:
+    rows = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, pa.int64()) for c in _SCAN], _SCAN)
+
+
+def _file_number() -> int:
+    """Of this task's file; a retried or speculative task writes one of another number."""
+    context = TaskContext.get()
+    return context.partitionId() << 3 | min(context.attemptNumber(), 7)
+
+
+def _frequent(scan: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Grams frequent in some task's share of the corpus and their document frequency there, sorted by gram."""
+    found = scan.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "gram").limit(MAX_FREQUENT).toArrow()
     grams, count = top.column("gram").to_numpy().astype(np.uint64), top.column("n").to_numpy()
     order = np.argsort(grams)
     return grams[order], count[order]
 
 
+def _raw_slices(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of one file of ``_scan``, in its order, in slices; the grams of their sets and the n+1 offsets."""
+    raw = None
+    for b in batches:
+        start, size = b.column("at").to_numpy(), b.column("size").to_numpy()
+        if raw is None and size.any():
+            raw = np.memmap(f"{folder}/raw-{b.column('number')[0].as_py()}", np.uint8, "r")
+        ends, i = np.cumsum(size), 0
+        while i < len(size):
+            base = ends[i - 1] if i else 0
+            j = max(i + 1, min(i + _text.SLICE_ROWS, int(np.searchsorted(ends, base + RAW_GRAMS, "right"))))
+            grams = np.zeros((int(ends[j - 1] - base), 8), np.uint8)
+            if len(grams):
+                grams[:, :_RAW] = raw[start[i] : start[i] + len(grams) * _RAW].reshape(-1, _RAW)
+            yield b.slice(i, j - i), grams.view(np.uint64).ravel(), np.concatenate([[0], ends[i:j] - base])
+            i = j
+
+
 class _Order:
     """Global order of grams: unlisted ones by value, then listed ones by frequency and value."""
 
@@ -138,11 +192,16 @@ class _Order:
         return key
 
 
+def _key() -> Column:
+    """64-bit hash of a document's id and text; rows that agree in both share their fate."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+
+
 class NearPairs:
     """The stages of the join over one table, as written tables.
 
-    ``placed`` (doc_id, sid?, sig_a, sig_b) has every row, without a sid where
-    there is no word; ``sets`` (sid, sig_a, sig_b, rows, least_id) every
+    ``placed`` (doc_id, key, sid?, sig_a, sig_b) has every row, without a sid where
+    there is no word, ``key`` as of ``_key``; ``sets`` (sid, sig_a, sig_b, rows, least_id) every
     distinct set; ``pairs`` (a, b, jaccard) verified links that connect all sets
     which links connect, ``roots`` (node, root) these components.  With
     ``counts``, ``linked`` (sid, linked) has the rows of all sets that a set is
@@ -151,7 +210,7 @@ class NearPairs:
 
     def __init__(self, docs: DataFrame, n: int = N, t: float = THRESHOLD, counts: bool = False):
         self.spark, self.n, self.t = docs.sparkSession, n, t
-        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        self.docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), _key().alias("key"))
         self.folder = _store.local_path(_store.new_dir(self.spark, "gram-sets"))
         self.placed = self._write_sets()
         # the first row of each distinct set stands for all of them
@@ -172,23 +231,21 @@ class NearPairs:
         _store.discard_folder(self.folder)
 
     def _write_sets(self) -> DataFrame:
-        order = self.spark.sparkContext.broadcast(_Order(*_frequent(self.docs, self.n)))
-        folder, n, t = self.folder, self.n, self.t
+        unordered = _store.local_path(_store.new_dir(self.spark, "raw-sets"))
+        scan = _scan(self.docs, unordered, self.n)
+        order = self.spark.sparkContext.broadcast(_Order(*_frequent(scan)))
+        folder, t = self.folder, self.t
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             os.makedirs(folder, exist_ok=True)
-            # a retried or speculative task writes a file of another number
-            context = TaskContext.get()
-            number = context.partitionId() << 3 | min(context.attemptNumber(), 7)
-            own = f"{folder}/{uuid.uuid4().hex}"
+            number, own = _file_number(), f"{folder}/{uuid.uuid4().hex}"
             with open(own, "wb") as f:
                 yield from _write(f, batches, number)
             os.replace(own, f"{folder}/sets-{number}")
 
         def _write(f, batches, number):
             done = 0
-            for b in _text.slices(batches, "text"):
-                grams, at = _sets(b.column("text").cast(pa.string()), n)
+            for b, grams, at in _raw_slices(unordered, batches):
                 size = np.diff(at)
                 owner = np.repeat(np.arange(len(size)), size)
                 # keys have a bit more than grams, and a slice has at most SLICE_ROWS rows
@@ -210,11 +267,16 @@ class NearPairs:
                     done += len(raw)
                 f.flush()
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id"), pa.array(sid, mask=size == 0), pa.array(size), *(pa.array(x.view(np.int64)) for x in (*group, np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1]))), sketch],
-                    ["doc_id", "sid", "size", "group_a", "group_b", "sig_a", "sig_b", "sketch"],
+                    [b.column("doc_id"), b.column("key"), pa.array(sid, mask=size == 0), pa.array(size), *(pa.array(x.view(np.int64)) for x in (*group, np.ascontiguousarray(sig[:, 0]), np.ascontiguousarray(sig[:, 1]))), sketch],
+                    ["doc_id", "key", "sid", "size", "group_a", "group_b", "sig_a", "sig_b", "sketch"],
                 )
 
-        out = _store.settle(self.docs.mapInArrow(_memory.lean(run), "doc_id bigint, sid bigint, size bigint, group_a bigint, group_b bigint, sig_a bigint, sig_b bigint, sketch array<bigint>"), "set-places")
+        # a task for each file; a document without grams has the place of the next one and comes before it
+        files = (scan.agg(F.max("number")).first()[0] or 0) // 8 + 1
+        places = scan.where("number IS NOT NULL").select("doc_id", "key", "number", "at", "size").repartitionById(files, F.shiftright("number", 3).cast("int")).sortWithinPartitions("number", "at", "size")
+        out = _store.settle(places.mapInArrow(_memory.lean(run), "doc_id bigint, key bigint, sid bigint, size bigint, group_a bigint, group_b bigint, sig_a bigint, sig_b bigint, sketch array<bigint>"), "set-places")
+        _store.discard(scan)
+        _store.discard_folder(unordered)
         order.unpersist()
         return out
 
@@ -482,8 +544,11 @@ def _distinct(both: np.ndarray) -> np.ndarray:
     return both[np.concatenate([[True], (both[1:] != both[:-1]).any(1)])] if len(both) else both
 
 
-def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of group ids of different roots that share a gram of this bucket within the size bound; whether either has several sets."""
+def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of groups of different roots that share a gram of this bucket within the size bound.
+
+    As ids, in order, and their sizes, and pairs (x, y) of places among these, in order; whether either has several sets.
+    """
     grams, counts, fronts, ids, sizes, roots = [], [], [], [], [], []
     for g, c, f, i, s, r in parts:
         grams.append(setstore.from_planes(g, np.uint32))
@@ -512,7 +577,7 @@ def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndar
         differ = np.minimum.reduceat(root, start) != np.maximum.reduceat(root, start)
         mixed = np.flatnonzero(np.repeat(differ, np.diff(start, append=len(gram))))
     if not len(mixed):
-        return names[:0], names[:0], several[:0]
+        return names, of_name, dense[:0], dense[:0], several[:0]
     gram, own, front, root = gram[mixed], own[order[mixed]], front[order[mixed]], root[mixed]
     order = np.lexsort((own, of_name[own], gram))
     gram, own, front, root = gram[order], own[order], front[order], root[order]
@@ -551,37 +616,32 @@ def _meet(parts: list[tuple[bytes, ...]], t: float) -> tuple[np.ndarray, np.ndar
             found = []
         i = j
     x, y = kept // len(names), kept % len(names)
-    return names[x], names[y], several[x] | several[y]
+    return names, of_name, x, y, several[x] | several[y]
 
 
-def _bounded(reader: setstore.Reader, a: np.ndarray, b: np.ndarray, several: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+def _bounded(reader: setstore.Reader, names: np.ndarray, size: np.ndarray, x: np.ndarray, y: np.ndarray, several: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """The pairs whose parity bitmaps leave room for an overlap of t: (|a| + |b| - differing bits) / 2 bounds it.
 
     A group of several sets has no one bitmap; its pairs all stay.
     """
-    if not len(a):
-        return a, b
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    names = ids.tolist()
-    size = np.array([reader.size(i) for i in names], np.int64)
-    x, y = at[: len(a)], at[len(a) :]
     keep = several.copy()
-    bits = np.array([setstore.bitmap_bits(s) for s in size.tolist()])
+    sizes, kind = np.unique(size, return_inverse=True)
+    bits = np.array([setstore.bitmap_bits(s) for s in sizes.tolist()], np.int64)[kind]
     bits = np.minimum(bits[x], bits[y])
-    for n in np.unique(bits).tolist():
+    for n in np.unique(bits[~several]).tolist():
         mine = np.flatnonzero((bits == n) & ~several)
         step = max(1, _BITMAP_BYTES * 8 // n)
         for i in range(0, len(mine), step):  # pairs in order of x, so that few bitmaps are read anew
             some = mine[i : i + step]
             used, where = np.unique(np.concatenate([x[some], y[some]]), return_inverse=True)
-            maps = np.stack([reader.bitmap(names[k], int(size[k]), n) for k in used.tolist()])
+            maps = reader.bitmaps(names[used], size[used], n)
             for j in range(0, len(some), max(1, step // 16)):
                 own = slice(j, j + max(1, step // 16))
                 p, q = where[: len(some)][own], where[len(some) :][own]
                 apart = np.bitwise_count(maps[p] ^ maps[q]).sum(1, dtype=np.int64)
                 total = size[x[some[own]]] + size[y[some[own]]]
                 keep[some[own]] = (total - apart) // 2 >= np.ceil(t / (1 + t) * total - 1e-9)
-    return a[keep], b[keep]
+    return names[x[keep]], names[y[keep]]
 
 
 def _pack(a: np.ndarray, b: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -662,21 +722,16 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> D
     spark = docs.sparkSession
     found = NearPairs(docs, n, t)
     roots = found.roots
-    grouped = found.placed.where("sid IS NOT NULL").select("doc_id", "sig_a", "sig_b").join(found.sets.select("sig_a", "sig_b", "sid"), ["sig_a", "sig_b"]).join(roots.withColumnRenamed("node", "sid"), "sid", "left")
-    each = grouped.groupBy(F.coalesce("root", "sid").alias("root"), "doc_id", "sig_a", "sig_b").agg(F.count("*").alias("rows"))
+    grouped = found.placed.where("sid IS NOT NULL").select("doc_id", "key", "sig_a", "sig_b").join(found.sets.select("sig_a", "sig_b", "sid"), ["sig_a", "sig_b"]).join(roots.withColumnRenamed("node", "sid"), "sid", "left")
+    each = grouped.groupBy(F.coalesce("root", "sid").alias("root"), "doc_id", "sig_a", "sig_b", "key").agg(F.count("*").alias("rows"))
     best = each.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "doc_id", "sig_a", "sig_b")).alias("best"), F.sum("rows").alias("n")).where("n > 1")
     decided = each.join(best, "root").withColumn("wins", F.expr("doc_id <=> best.doc_id AND sig_a = best.sig_a AND sig_b = best.sig_b"))
-    # losers go; a winner that is repeated row by row goes too and one of its rows comes back
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sig = np.stack([b.column(c).to_numpy() for c in ("sig_a", "sig_b")], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(_row_key(b.column("doc_id"), sig)), b.column("wins")], ["key", "wins"])
-
-    out = _store.settle(decided.where("NOT wins OR rows > 1").select("doc_id", "sig_a", "sig_b", "wins").mapInArrow(keyed, "key bigint, wins boolean"), "duplicate-keys")
+    # losers go; a winner that is repeated row by row, in whatever spelling, goes too and one of its rows comes back
+    decided = decided.withColumn("rows", F.sum("rows").over(Window.partitionBy("root", "wins")))
+    out = _store.settle(decided.where("NOT wins OR rows > 1").select("key", "wins"), "duplicate-keys")
     path, shards = _key_shards(out)
     returned = _tagged(docs, path, shards, n, True)
-    kept = _tagged(docs, path, shards, n, False).select([F.col(f"`{c}`") for c in docs.columns])
+    kept = _tagged(docs, path, shards, n, False)
     if not out.where("wins").limit(1).count():
         return kept
     names = [f"`{c}`" for c in docs.columns]
@@ -724,20 +779,29 @@ class _Keys:
 
 
 def _tagged(docs: DataFrame, path: str, shards: int, n: int, winners: bool) -> DataFrame:
-    """Rows whose key is listed as a repeated winner, with that key as the last column; or rows not listed at all."""
+    """Rows that are listed as repeated winners, with a number of id and gram set as the last column; or rows not listed at all.
+
+    Rows are looked up by the hash of id and text; only those of repeated winners are made into sets again.
+    """
     extra = _store.free_name(docs, "key")
-    schema = T.StructType([*docs.schema.fields, T.StructField(extra, T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(extra, T.LongType())]) if winners else docs.schema
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = _Keys(path, shards)
-        for b in _text.slices(batches, "text"):
-            grams, at = _sets(b.column("text").cast(pa.string()), n)
-            key = _row_key(b.column("doc_id").cast(pa.int64()), _signature(grams, at).view(np.int64))
+        for b in batches:
+            key = b.column(extra).to_numpy()
             repeated = keys.has(key, True)
-            listed = (repeated if winners else repeated | keys.has(key, False)) & (np.diff(at) > 0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key)], [*b.schema.names, extra]).filter(pa.array(listed if winners else ~listed))
-
-    return docs.mapInArrow(_memory.lean(pick), schema)
+            rows = b.select(names).filter(pa.array(repeated if winners else ~(repeated | keys.has(key, False))))
+            if not winners:
+                yield rows
+                continue
+            for some in _text.slices([rows], "text"):
+                grams, at = _sets(some.column("text").cast(pa.string()), n)
+                number = _row_key(some.column("doc_id").cast(pa.int64()), _signature(grams, at).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(number)], [*names, extra])
+
+    names = docs.columns
+    return docs.withColumn(extra, _key()).mapInArrow(_memory.lean(pick), schema)
 
 
 def _row_key(ids: pa.Array, sig: np.ndarray) -> np.ndarray:

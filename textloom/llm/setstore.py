@@ -51,11 +51,21 @@ class Reader:
         at = sid & _OFFSET
         return int.from_bytes(self._file(sid >> OFFSET_BITS)[at : at + 8].tobytes(), "little")
 
-    def bitmap(self, sid: int, size: int, bits: int) -> np.ndarray:
-        """Parity bitmap of a set of ``size``, folded to ``bits`` (a power of two, no more than it has)."""
-        at, have = (sid & _OFFSET) + 8, bitmap_bits(size)
-        words = np.frombuffer(self._file(sid >> OFFSET_BITS)[at : at + have // 8].tobytes(), np.uint64)
-        return np.bitwise_xor.reduce(words.reshape(-1, bits // 64), axis=0)
+    def bitmaps(self, sids: np.ndarray, sizes: np.ndarray, bits: int) -> np.ndarray:
+        """Parity bitmaps of sets, a row for each, folded to ``bits`` (a power of two, no more than any has)."""
+        out = np.empty((len(sids), bits // 64), np.uint64)
+        at, have = (sids & _OFFSET) + 8, np.array([bitmap_bits(s) for s in sizes.tolist()], np.int64)
+        kind = (sids >> OFFSET_BITS) << 8 | np.log2(have).astype(np.int64)  # of one file and length
+        order = np.argsort(kind, kind="stable")
+        for some in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1) if len(order) else []:
+            f, long = self._file(int(sids[some[0]] >> OFFSET_BITS)), int(have[some[0]]) // 8
+            # records begin at any byte
+            rows = np.ndarray(len(f) - long + 1, f"V{long}", f, strides=(1,))
+            per = max(1, (8 << 20) // long)
+            for i in range(0, len(some), per):
+                words = rows[at[some[i : i + per]]].view(np.uint64).reshape(-1, long * 8 // bits, bits // 64)
+                out[some[i : i + per]] = np.bitwise_xor.reduce(words, axis=1)
+        return out
 
     def grams(self, sid: int, first: int | None = None) -> np.ndarray:
         """The set in global order, or its ``first`` grams."""

@@ -61,6 +61,19 @@ def test_bpe_training_counts_every_word(spark, monkeypatch):
     assert merges == [(b"a", b"b"), (b" ", b"ab"), (b"q", b"w")]
 
 
+def test_bpe_rounds_make_the_same_merges(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(" ".join("".join(rng.choice("aaabcdé") for _ in range(rng.randint(1, 12))) for _ in range(200)),) for _ in range(20)]
+    lines = spark.createDataFrame(rows, "text string").repartition(3)
+    whole = M.train_bpe(lines, 512)
+    held, merge = [], M.merge_words
+    monkeypatch.setattr(M, "merge_words", lambda data, *more: held.append(len(data)) or merge(data, *more))
+    monkeypatch.setattr(M, "HELD_SYMBOLS", 20_000)
+    monkeypatch.setattr(M, "ROUND_PAIRS", 64)
+    assert M.train_bpe(lines, 512) == whole and len(whole) == 256
+    assert len(held) > 1 and max(held) <= 20_000  # the driver never holds all words
+
+
 def test_bpe_queries_train_on_documents(spark, tmp_path):
     from textloom.plans import catalogue
 

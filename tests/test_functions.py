@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,37 @@ def test_chat(spark):
     assert one(spark, X.json_string(F.lit('"a\\n"'))) == "a\n"
     with pytest.raises(Exception):
         one(spark, X.json_string(F.lit("5")))
+
+
+def test_kernels_run_in_slices(spark):
+    rows = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 100_000).alias("t"))
+    most = K.arrow_batch(lambda t: pa.array([len(t)] * len(t), pa.int32()), "int")
+    assert max(r["n"] for r in rows.select(most("t").alias("n")).collect()) <= 11
+
+
+def test_pairs_at_once_equal_single_pairs():
+    rng = random.Random(4)
+    a, b = ([rng.choice([None, "éé", "".join(rng.choice("ab é") for _ in range(rng.randint(0, 9)))]) for _ in range(300)] for _ in range(2))
+    each = lambda f: [None if None in p else f(*p) for p in zip(a, b)]
+    x, y = pa.array(a, pa.string()), pa.array(b, pa.string())
+    assert K.pair_distances(x, y).to_pylist() == each(K.edit_distance)
+    assert K.pair_distances(x, y, True).to_pylist() == each(K.prefix_distance)
+    assert K.pair_operations(x, y).to_pylist() == each(lambda s, t: " ".join(f"{o}{i},{j}" for o, i, j in K.edit_operations(s, t)))
+
+
+def test_byte_spans_are_texts():
+    texts = ["", "a täst", None, "é\r\nx"]
+    assert K.byte_spans(pa.array(texts), 4).to_pylist() == ["0-0", "0-3,1-5,2-6,3-7", None, "0-3,3-6"]
+    assert K.byte_spans(pa.array(texts)[1:], 4).to_pylist() == ["0-3,1-5,2-6,3-7", None, "0-3,3-6"]
+    assert K.byte_values(pa.array(texts)[1:]).to_pylist() == [None if t is None else [*t.encode()] for t in texts[1:]]
+
+
+def test_white_space_operations_of_code_points_and_clusters():
+    rng = random.Random(2)
+    for _ in range(500):
+        s = "".join(rng.choice("ab  \té") for _ in range(rng.randint(0, 12)))
+        a, b = K.clean(s), K._SPACE.sub("", s)
+        spaced, tail = K.whitespace_operations(a, b), K.whitespace_operations(a + "é", b + "é")  # the mark forces clusters
+        assert list(spaced) == tail[:-1] and K.whitespace_repair(a, spaced) == b
+        back = K.whitespace_operations(b, a)
+        assert K.whitespace_repair(b, back) == a

@@ -136,8 +136,7 @@ def possible_char_substrings(s: Column | str, max_chars: int, use_graphemes: boo
             if t is None:
                 each.append(None)
                 continue
-            size = [len(t)] if t.isascii() and "\r" not in t else [len(c.encode()) for c in (K.clusters(t) if use_graphemes else t)]
-            at = np.arange(size[0] + 1) if t.isascii() and "\r" not in t else np.concatenate([[0], np.cumsum(size)])
+            at = K.char_bytes(t, use_graphemes)
             k = min(max_chars, len(at) - 1)
             each.append((at[: len(at) - k], at[k:], k))
         sizes = [0 if x is None else len(x[0]) for x in each]
@@ -152,7 +151,7 @@ def _boundaries(texts: pa.Array) -> pa.Array:
     rows = ["" if t is None else t for t in texts.to_pylist()]
     at = np.concatenate([[0], np.cumsum([len(t) for t in rows])]).astype(np.int64)
     points = np.frombuffer("".join(rows).encode("utf-32-le", "surrogatepass"), np.uint32)
-    word = ~np.isin(points, _SPACES)
+    word = ~np.isin(points, K._SPACES)
     first = np.zeros(len(points) + 1, bool)
     first[at] = True
     start = np.flatnonzero(word & (first[:-1] | ~np.concatenate([[False], word[:-1]])))
@@ -162,10 +161,6 @@ def _boundaries(texts: pa.Array) -> pa.Array:
     return lists(sizes, {"start": (start - at[row]).astype(np.int32), "end": (end - at[row]).astype(np.int32)}, texts.is_null())
 
 
-#: Code points of White_Space.
-_SPACES = np.array([*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
-
-
 def repair_whitespace(cs: Column, ops: Column) -> Column:
     """Apply keep / insert / delete codes (0, 1, 2) to characters; sizes must agree."""
     blank = lambda c: c.rlike(r"^(?U)\s+$")

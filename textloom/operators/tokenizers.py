@@ -13,12 +13,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.kernels import clusters
+from ..functions import kernels as K
 from ..sources.files import read_merges
 from .merges import MergeTable
 
@@ -166,8 +167,8 @@ class MergeTokenizer:
         ends = [[table.specials[t] for t in side] for side in (self.special.prefix, self.special.suffix)]
         split = None if ignore_special_tokens else regex.compile(f"({self.special.pattern})")
 
-        @F.pandas_udf("array<int>")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<int>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known: dict[str, list[int]] = {}
 
             def plain(t: str) -> list[int]:
@@ -185,8 +186,8 @@ class MergeTokenizer:
                     return plain(t)
                 return [i for k, part in enumerate(split.split(t)) for i in ([table.specials[part]] if k % 2 else plain(part))]
 
-            for texts in batches:
-                yield pd.Series([None if t is None else [*ends[0], *whole(t), *ends[1]] for t in texts])
+            for (texts,) in K.slices(batches):
+                yield pa.array([None if t is None else [*ends[0], *whole(t), *ends[1]] for t in texts.to_pylist()], pa.list_(pa.int32()))
 
         return run
 
@@ -226,14 +227,15 @@ class FileTokenizer:
     def encode(self, ignore_special_tokens: bool = False) -> Callable[[Column], Column]:
         made = self
 
-        @F.pandas_udf("array<int>")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<int>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             t = made.load()
             t.encode_special_tokens = ignore_special_tokens
             ends = [[t.token_to_id(x) for x in side] for side in (made.special.prefix, made.special.suffix)]
-            for texts in batches:
-                found = t.encode_batch([x or "" for x in texts], add_special_tokens=False)
-                yield pd.Series([None if x is None else [*ends[0], *e.ids, *ends[1]] for x, e in zip(texts, found)])
+            for (column,) in K.slices(batches):
+                texts = column.to_pylist()
+                found = t.encode_batch_fast([x or "" for x in texts], add_special_tokens=False)
+                yield pa.array([None if x is None else [*ends[0], *e.ids, *ends[1]] for x, e in zip(texts, found)], pa.list_(pa.int32()))
 
         return run
 

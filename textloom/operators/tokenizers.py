@@ -102,12 +102,12 @@ class ByteTokenizer:
 
     @staticmethod
     def _bytes(s: Column) -> Column:
-        pairs = F.regexp_extract_all(F.hex(F.encode(s, "utf-8")), F.lit("(..)"), F.lit(0))
-        return F.transform(pairs, lambda h: F.conv(h, 16, 10).cast("int"))
+        each = F.split(F.decode(F.encode(s, "utf-8"), "ISO-8859-1"), "")  # a character for each byte
+        return F.when(s == "", F.array().cast("array<int>")).otherwise(F.transform(each, F.ascii))
 
     def tokenize(self, s: Column, ignore_special_tokens: bool = False) -> Column:
         if ignore_special_tokens or not self.special.tokens:
-            return _framed(self._bytes(s), self.special, self.offset)
+            return _framed(K.arrow_batch(K.byte_values, "array<int>")(s), self.special, self.offset)
         table = F.create_map(*[F.lit(x) for t, i in self.special.ids(256).items() for x in (t, i)])
         return _framed(F.flatten(F.transform(_pieces(s, self.special, False), lambda p: F.when(F.element_at(table, p).isNotNull(), F.array(F.element_at(table, p))).otherwise(self._bytes(p)))), self.special, self.offset)
 
@@ -192,13 +192,7 @@ class MergeTokenizer:
         return run
 
     def decode(self, ignore_special_tokens: bool = True) -> Callable[[Column], Column]:
-        table = self.table
-
-        @F.pandas_udf("string")
-        def run(ids: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None else table.decode(x, ignore_special_tokens) for x in ids])
-
-        return run
+        return K.arrow(self.table.decode, "string", ignore_special_tokens=ignore_special_tokens)
 
 
 class FileTokenizer:

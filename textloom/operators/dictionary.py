@@ -13,6 +13,8 @@ from ..functions import text as X
 
 #: Words that are searched for at once in closest-term searches; more go in several blocks.
 BLOCK_KEYS = 20_000
+#: Terms that a task holds keys against at once.
+TERMS_AT_ONCE = 200_000
 
 
 def word_dictionary(lines: DataFrame, column: str = "text", max_sequences: int | None = None) -> DataFrame:
@@ -65,7 +67,8 @@ def closest(queries: DataFrame, key: str, dictionary: DataFrame, normalized: boo
 
     The distinct keys are sent out in blocks of BLOCK_KEYS and held against
     all terms where these lie: terms of one length at once, lengths near the
-    key's first, until no other length can be nearer.
+    key's first, until no other length can be nearer.  Only terms whose letters
+    don't rule them out are measured.
     """
     keys = queries.select(F.col(key).cast("string").alias("k")).where("k IS NOT NULL").distinct().orderBy("k")
     words = keys.select("k", X.nfkc("k").alias("q"))
@@ -76,9 +79,17 @@ def closest(queries: DataFrame, key: str, dictionary: DataFrame, normalized: boo
         shared = queries.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best, held, size = {}, [], 0
             for b in batches:
-                if b.num_rows:
-                    yield _nearest(shared.value, b.column("term").to_pylist(), b.column("freq").to_numpy(), normalized)
+                held.append(b)
+                size += b.num_rows
+                if size >= TERMS_AT_ONCE:
+                    _nearest(shared.value, pa.Table.from_batches(held), normalized, best)
+                    held, size = [], 0
+            if size:
+                _nearest(shared.value, pa.Table.from_batches(held), normalized, best)
+            rows = [(k, *best[k]) for k, _ in shared.value if k in best]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.string()))], ["k", "d", "freq", "term"])
 
         best = F.max(F.struct((-F.col("d")).alias("d"), "freq", "term")).alias("best")
         terms = dictionary.select(F.col("term").cast("string").alias("term"), F.col("freq").cast("bigint").alias("freq")).where("term IS NOT NULL")
@@ -95,28 +106,54 @@ def closest(queries: DataFrame, key: str, dictionary: DataFrame, normalized: boo
     return found.select(F.col("k").alias(key), F.col("best.term").alias("term"), F.col("best.freq").alias("freq"), (-F.col("best.d")).alias("distance"))
 
 
-def _nearest(keys: list[tuple[str, str]], terms: list[str], freq: np.ndarray, normalized: bool) -> pa.RecordBatch:
+def _letters(points: np.ndarray) -> np.ndarray:
+    """Two words of 64 bits for each row of code points: letters, by their last six bits, that it holds, and that it holds twice."""
+    once, twice = np.zeros((2, len(points)), np.uint64)
+    for c in points.T:
+        bit = np.uint64(1) << (c.astype(np.uint64) & np.uint64(63))
+        twice |= once & bit
+        once |= bit
+    return np.stack([once, twice])
+
+
+def _nearest(keys: list[tuple[str, str]], found: pa.Table, normalized: bool, best: dict[str, tuple[float, int, str]]) -> None:
+    """Better ``best`` (distance, freq, term) of the keys by the terms in ``found``.
+
+    An edit takes one letter of a key away and adds one of a term at most, so
+    letters that only one of both has, or has twice, bound the distance.
+    """
+    terms, freq = found.column("term").to_pylist(), found.column("freq").to_numpy()
     by: dict[int, list[int]] = {}
     for i, t in enumerate(terms):
         by.setdefault(len(t), []).append(i)
-    blocks = {n: (np.array(own), np.frombuffer("".join(terms[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n)) for n, own in by.items()}
-    rows = []
+    blocks = {}
+    for n, own in by.items():
+        table = np.frombuffer("".join(terms[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n)
+        blocks[n] = np.array(own), table, _letters(table)
     for k, q in keys:
         points = np.frombuffer(q.encode("utf-32-le", "surrogatepass"), np.uint32)
-        m, best = len(points), (np.inf, 0, "")
+        m, own_letters = len(points), _letters(points[None, :])
+        nearest = best.get(k, (np.inf, 0, ""))
         least = lambda n: abs(n - m) / (max(n, m, 1) if normalized else 1)
         for n in sorted(blocks, key=least):
-            if least(n) > best[0]:
+            if least(n) > nearest[0]:
                 break
-            own, table = blocks[n]
-            d = _distances(points, table) / (max(n, m, 1) if normalized else 1)
-            near = own[d == d.min()].tolist()
-            if d.min() <= best[0]:
-                most = max((int(freq[i]), terms[i]) for i in near)
-                if d.min() < best[0] or most > best[1:]:
-                    best = (float(d.min()), *most)
-        rows.append((k, *best))
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.int64(), pa.string()))], ["k", "d", "freq", "term"])
+            own, table, letters = blocks[n]
+            scale = max(n, m, 1) if normalized else 1
+            bound = np.maximum(np.bitwise_count(letters & ~own_letters).sum(axis=0), np.bitwise_count(own_letters & ~letters).sum(axis=0))
+            at = np.flatnonzero(bound <= nearest[0] * scale) if np.isfinite(nearest[0]) else np.arange(len(own))
+            bound = bound[at]
+            for b in np.unique(bound).tolist():
+                if max(b, abs(n - m)) / scale > nearest[0]:
+                    break
+                level = at[bound == b]
+                for part in (level[i : i + 50_000] for i in range(0, len(level), 50_000)):
+                    d = _distances(points, table[part]) / scale
+                    if d.min() <= nearest[0]:
+                        most = max((int(freq[i]), terms[i]) for i in own[part[d == d.min()]].tolist())
+                        if d.min() < nearest[0] or most > nearest[1:]:
+                            nearest = (float(d.min()), *most)
+        best[k] = nearest
 
 
 def _distances(q: np.ndarray, table: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,10 +17,13 @@ from ..operators.rows import padded_batches, with_index
 
 def windowed(items: DataFrame, max_length: int, context: int) -> DataFrame:
     """``item_idx, n_windows, window_idx, window`` with text of context and window, for batch and streaming DataFrames."""
-    w = X.char_windows("text", max_length, context, False)
-    out = items.select("item_idx", "text", w.alias("w")).select("item_idx", "text", F.size("w").alias("n_windows"), F.posexplode("w").alias("window_idx", "w"))
-    cut = lambda a, b: F.substring("text", F.col(f"w.{a}") + 1, F.col(f"w.{b}") - F.col(f"w.{a}"))
-    return out.select("item_idx", "n_windows", "window_idx", "w.*", cut("ctx_start", "ctx_end").alias("context"), cut("window_start", "window_end").alias("window"))
+    # texts are cut before windows become rows, so that no row carries the whole text
+    cut = lambda w, a, b: F.substring("text", w[a] + 1, w[b] - w[a])
+    names = ("ctx_start", "window_start", "window_end", "ctx_end")
+    one = lambda w: F.struct(*[w[n].alias(n) for n in names], cut(w, "ctx_start", "ctx_end").alias("context"), cut(w, "window_start", "window_end").alias("window"))
+    w = F.transform(X.char_windows("text", max_length, context, False), one)
+    out = items.select("item_idx", w.alias("w")).select("item_idx", F.size("w").alias("n_windows"), F.posexplode("w").alias("window_idx", "w"))
+    return out.select("item_idx", "n_windows", "window_idx", "w.*")
 
 
 def predict(windows: DataFrame, f: Callable[[pd.Series], pd.Series], column: str = "window") -> DataFrame:
@@ -40,6 +44,9 @@ def regroup_stream(outputs: DataFrame, timeout_ms: int | None = None) -> DataFra
     incomplete after that time is dropped from it (such a stream polls for ever,
     so it doesn't end by itself).  Repeated windows count once.
     """
+    outputs = outputs.select("item_idx", "n_windows", "window_idx", "output")
+    if not timeout_ms:
+        return _regroup_buckets(outputs)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -55,10 +62,37 @@ def regroup_stream(outputs: DataFrame, timeout_ms: int | None = None) -> DataFra
             yield pd.DataFrame({"item_idx": [key[0]], "output": ["".join(have[i] for i in sorted(have))]})
         else:
             state.update((done, list(have), list(have.values())))
-            if timeout_ms:
-                state.setTimeoutDuration(timeout_ms)
+            state.setTimeoutDuration(timeout_ms)
 
-    return outputs.groupBy("item_idx").applyInPandasWithState(run, "item_idx bigint, output string", "done boolean, idx array<int>, text array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout if timeout_ms else GroupStateTimeout.NoTimeout)
+    return outputs.groupBy("item_idx").applyInPandasWithState(run, "item_idx bigint, output string", "done boolean, idx array<int>, text array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+#: Groups of items that share a state; a group's items of one trigger are in memory at once.
+BUCKETS = 4096
+
+
+def _regroup_buckets(outputs: DataFrame) -> DataFrame:
+    """``regroup_stream`` without a time limit: a call of Python handles many items, not one."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        have: dict[int, dict[int, str]] = {}
+        totals: dict[int, int] = {}
+        rows = [zip(*state.get)] if state.exists else []
+        rows += [zip(*(pdf[c].tolist() for c in ("item_idx", "n_windows", "window_idx", "output"))) for pdf in batches]
+        for item, total, i, text in chain.from_iterable(rows):
+            have.setdefault(item, {})[i] = text
+            totals[item] = total
+        done = [item for item in have if len(have[item]) == totals[item]]
+        yield pd.DataFrame({"item_idx": pd.Series(done, dtype="int64"), "output": ["".join(have[k][i] for i in sorted(have[k])) for k in done]})
+        for item in done:
+            del have[item]
+        if have:
+            state.update(tuple(map(list, zip(*((item, totals[item], i, text) for item, own in have.items() for i, text in own.items())))))
+        elif state.exists:
+            state.remove()
+
+    kept = "item array<bigint>, total array<int>, idx array<int>, text array<string>"
+    return outputs.withColumn("bucket", F.pmod(F.xxhash64("item_idx"), F.lit(BUCKETS))).groupBy("bucket").applyInPandasWithState(run, "item_idx bigint, output string", kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def micro_batches(stream: DataFrame, limit: int, handle: Callable[[DataFrame, int], None], key: str = "item_idx", **options) -> DataStreamWriter:

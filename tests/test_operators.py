@@ -446,3 +446,61 @@ def test_run_time_metrics(spark):
     df, seen = G.progress(spark.createDataFrame([("é",), (None,)], "text string"), "p")
     df.collect()
     assert seen.get == {"items": 2, "bytes": 2}
+
+
+def test_byte_groups_are_those_of_code_points(spark, tmp_path):
+    from textloom.plans import catalogue
+
+    rows = [(1, ""), (2, "a\r\nb"), (3, "éx"), (4, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["groups"] for r in catalogue.byte_groups(spark, str(tmp_path)).collect()}
+    assert got == {1: "0", 2: "1,1,1,1", 3: "1,2,1", 4: None}  # as its SQL has it
+
+
+def test_words_are_counted_where_a_document_lies(spark, tmp_path):
+    from textloom.plans import catalogue
+
+    rows = [(1, "a b a"), (1, "b　c"), (2, "a\x1fb"), (3, None), (4, " ")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    df = catalogue.count_words_whitespace(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(1, "a", 2), (1, "b", 2), (1, "c", 1), (2, "a\x1fb", 1)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id" in plan and "word" not in plan.split("hashpartitioning(")[1].split(")")[0]
+
+
+def test_ranks_hold_few_whole_rows():
+    assert R.INDEX_ROWS <= 100_000
+
+
+def test_closest_measures_few_terms(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    terms = sorted({"".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(3000)})
+    measured, distances = [], D._distances
+    monkeypatch.setattr(D, "_distances", lambda q, table: measured.append(len(table)) or distances(q, table))
+    best = {}
+    D._nearest([("x", terms[7][:-1] + "z")], pa.table({"term": terms, "freq": [1] * len(terms)}), False, best)
+    assert best["x"][0] == 1.0 and sum(measured) < 300
+
+
+def test_draws_of_misspelling_are_those_of_choice():
+    import numpy as np
+
+    contexts = {("a", "c"): [("x", 1.0), ("b", 2.5), ("y", 0.3)]}
+    for seed in range(200):
+        a, b = np.random.default_rng(seed), np.random.default_rng(seed)
+        got, _ = R.edit_word("abc", a, contexts, ("replace",))
+        i = int((b.integers(1), b.integers(3))[1])
+        w = np.array([1.0, 0.3])
+        assert got == ("abc" if i != 1 else "a" + "xy"[int(b.choice(2, p=w / w.sum()))] + "c")
+
+
+def test_regroup_stream_keeps_open_items_of_a_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "BUCKETS", 1)
+    schema = "item_idx bigint, n_windows int, window_idx int, output string"
+    for rows in ([(1, 2, 1, "b"), (2, 1, 0, "x"), (3, 2, 0, "p")], [(1, 2, 0, "a")], [(3, 2, 0, "p"), (3, 2, 1, "q"), (4, 2, 0, "-")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    I.regroup_stream(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, "ab"), (2, "x"), (3, "pq")]

@@ -116,11 +116,21 @@ def _letters(points: np.ndarray) -> np.ndarray:
     return np.stack([once, twice])
 
 
+def _neighbours(points: np.ndarray) -> np.ndarray:
+    """64 bits for each row of code points: pairs of neighbours that it holds, ends of the row among them."""
+    out, before = np.zeros(len(points), np.uint64), np.zeros(len(points), np.uint64)
+    for c in [*points.T, np.zeros(len(points), np.uint32)]:
+        out |= np.uint64(1) << ((before * np.uint64(29) + c) & np.uint64(63))
+        before = c.astype(np.uint64)
+    return out
+
+
 def _nearest(keys: list[tuple[str, str]], found: pa.Table, normalized: bool, best: dict[str, tuple[float, int, str]]) -> None:
     """Better ``best`` (distance, freq, term) of the keys by the terms in ``found``.
 
     An edit takes one letter of a key away and adds one of a term at most, so
-    letters that only one of both has, or has twice, bound the distance.
+    letters that only one of both has, or has twice, bound the distance; it
+    changes two pairs of neighbours at most, so these bound it too.
     """
     terms, freq = found.column("term").to_pylist(), found.column("freq").to_numpy()
     by: dict[int, list[int]] = {}
@@ -129,20 +139,22 @@ def _nearest(keys: list[tuple[str, str]], found: pa.Table, normalized: bool, bes
     blocks = {}
     for n, own in by.items():
         table = np.frombuffer("".join(terms[i] for i in own).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(own), n)
-        blocks[n] = np.array(own), table, _letters(table)
+        blocks[n] = np.array(own), table, _letters(table), _neighbours(table)
     for k, q in keys:
         points = np.frombuffer(q.encode("utf-32-le", "surrogatepass"), np.uint32)
-        m, own_letters = len(points), _letters(points[None, :])
+        m, own_letters, own_pairs = len(points), _letters(points[None, :]), _neighbours(points[None, :])
         nearest = best.get(k, (np.inf, 0, ""))
         least = lambda n: abs(n - m) / (max(n, m, 1) if normalized else 1)
         for n in sorted(blocks, key=least):
             if least(n) > nearest[0]:
                 break
-            own, table, letters = blocks[n]
+            own, table, letters, pairs = blocks[n]
             scale = max(n, m, 1) if normalized else 1
-            bound = np.maximum(np.bitwise_count(letters & ~own_letters).sum(axis=0), np.bitwise_count(own_letters & ~letters).sum(axis=0))
+            more, less = np.bitwise_count(letters & ~own_letters), np.bitwise_count(own_letters & ~letters)
+            bound = np.maximum(more[0] + more[1], less[0] + less[1])
             at = np.flatnonzero(bound <= nearest[0] * scale) if np.isfinite(nearest[0]) else np.arange(len(own))
-            bound = bound[at]
+            more, less = np.bitwise_count(pairs[at] & ~own_pairs), np.bitwise_count(own_pairs & ~pairs[at])
+            bound = np.maximum(bound[at], (np.maximum(more, less) + 1) // 2)
             for b in np.unique(bound).tolist():
                 if max(b, abs(n - m)) / scale > nearest[0]:
                     break

@@ -504,3 +504,22 @@ def test_regroup_stream_keeps_open_items_of_a_bucket(spark, tmp_path, monkeypatc
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     I.regroup_stream(source).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, "ab"), (2, "x"), (3, "pq")]
+
+
+def test_draws_are_those_of_the_generator():
+    import numpy as np
+
+    for seed in range(50):
+        a, b, choose = np.random.default_rng([seed, 13]), R.Draws(np.random.default_rng([seed, 13])), random.Random(seed)
+        for _ in range(2000):
+            kind, n = choose.randrange(3), choose.choice([1, 2, 3, 4, 7, 40, 150])
+            if kind == 0:
+                assert a.random() == b.random()
+            elif kind == 1:
+                assert int(a.integers(n)) == b.integers(n)
+            else:
+                assert int(a.binomial(n, 0.2)) == b.binomial(n, 0.2)
+        p = choose.choice([0.4, 0.5, 0.9])
+        u = np.random.default_rng(seed).random(100).tolist()
+        c = np.random.default_rng(seed)
+        assert [R._geometric(x, p) for x in u] == [int(c.geometric(p)) for _ in u]
